@@ -1,3 +1,30 @@
 """SQL of the core's queries for DuckDB."""
 
 SQL: dict[str, str] = {}
+
+_REFS = """WITH t AS (
+  SELECT triple_id, loaded_at,
+    CASE WHEN raw_record IS NULL THEN head_id ELSE coalesce(raw_record->>'$.h', raw_record->>'$.head') END AS h,
+    CASE WHEN raw_record IS NULL THEN tail_id ELSE coalesce(raw_record->>'$.t', raw_record->>'$.tail') END AS g
+  FROM triples
+), u AS (
+  SELECT map_row, loaded_at, unnest(triple_ids) AS x, generate_subscripts(triple_ids, 1) - 1 AS p FROM title_triples
+), refs AS (
+  SELECT 'triples' AS src_table, triple_id AS src_key, 'head_id' AS ref_field, 0 AS ref_pos, 'e' AS kind, regexp_replace(lower(h), '[^\\p{L}\\p{N}]', '', 'g') AS k, loaded_at FROM t WHERE h IS NOT NULL
+  UNION ALL SELECT 'triples', triple_id, 'tail_id', 0, 'e', regexp_replace(lower(g), '[^\\p{L}\\p{N}]', '', 'g'), loaded_at FROM t WHERE g IS NOT NULL
+  UNION ALL SELECT 'title_triples', CAST(map_row AS VARCHAR), 'triple_ids', CAST(p AS INTEGER), 't', x, loaded_at FROM u WHERE x IS NOT NULL
+), lives AS (
+  SELECT 'e' AS kind, regexp_replace(lower(entity_id), '[^\\p{L}\\p{N}]', '', 'g') AS k, loaded_at AS a, deleted_at AS z FROM (SELECT entity_id, loaded_at, deleted_at FROM entities UNION SELECT entity_id, loaded_at, deleted_at FROM core_entities)
+  UNION ALL SELECT 't', triple_id, loaded_at, deleted_at FROM triples
+), orphans AS (
+  SELECT * FROM refs r WHERE NOT EXISTS (SELECT 1 FROM lives l WHERE l.kind = r.kind AND l.k = r.k AND l.a <= r.loaded_at AND (l.z IS NULL OR l.z > r.loaded_at))
+) """
+SQL["p1_found"] = _REFS + "SELECT src_table, src_key, ref_field, ref_pos FROM orphans"
+SQL["p1_report"] = _REFS + """, d AS (SELECT DISTINCT src_table, src_key FROM orphans), i AS (
+  SELECT DISTINCT r.src_table, r.src_key FROM refs r JOIN d ON d.src_table = 'triples' AND r.kind = 't' AND r.k = d.src_key
+  WHERE NOT EXISTS (SELECT 1 FROM d e WHERE e.src_table = r.src_table AND e.src_key = r.src_key)
+), o AS (SELECT src_table, strftime(loaded_at, '%Y-%m') AS period, count(*) AS n, count(DISTINCT src_key) AS m FROM orphans GROUP BY ALL
+), h AS (SELECT r.src_table, strftime(r.loaded_at, '%Y-%m') AS period, count(DISTINCT r.src_key) AS n FROM refs r JOIN i USING (src_table, src_key) GROUP BY ALL)
+SELECT e.src_table, e.period, e.n_refs, coalesce(o.n, 0) AS n_orphan_refs, coalesce(o.m, 0) AS n_direct_records, coalesce(h.n, 0) AS n_inherited_records
+FROM (SELECT src_table, strftime(loaded_at, '%Y-%m') AS period, count(*) AS n_refs FROM refs GROUP BY ALL) e
+LEFT JOIN o USING (src_table, period) LEFT JOIN h USING (src_table, period)"""
