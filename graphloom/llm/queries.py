@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from graphloom.functions.text import bare
+from graphloom.llm import dedupe
 from graphloom.llm.bpe import encode_corpus
+from graphloom.operators.orphans import triple_field
 from graphloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +25,47 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 @query
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+TRIPLE_RAW = ["head_id", "relation", "tail_id", "tail_literal", "raw_record"]
+
+
+def _triple_form() -> dict:
+    return {"head_key": bare(triple_field("head_id")), "relation_key": bare(triple_field("relation")), "tail_key": bare(triple_field("tail_id")), "literal_key": triple_field("tail_literal")}
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "triples").select("upstream_index", *TRIPLE_RAW)
+    return dedupe.copies(rows, TRIPLE_RAW, _triple_form(), "upstream_index")
+
+
+@query
+def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per record in canonical form, with the number of its copies."""
+    rows = table(spark, sf_dir, "triples").select("upstream_index", *TRIPLE_RAW)
+    return dedupe.canonical_groups(dedupe.raw_groups(rows, TRIPLE_RAW, "upstream_index"), _triple_form())
+
+
+_TRIPLE_SQL = """WITH f AS (
+  SELECT upstream_index,
+    CASE WHEN raw_record IS NULL THEN head_id ELSE coalesce(raw_record->>'$.h', raw_record->>'$.head') END AS h,
+    CASE WHEN raw_record IS NULL THEN relation ELSE coalesce(raw_record->>'$.r', raw_record->>'$.relation') END AS r,
+    CASE WHEN raw_record IS NULL THEN tail_id ELSE coalesce(raw_record->>'$.t', raw_record->>'$.tail') END AS t,
+    CASE WHEN raw_record IS NULL THEN tail_literal ELSE raw_record->>'$.tail_literal' END AS literal_key
+  FROM triples
+), k AS (
+  SELECT upstream_index, literal_key,
+    regexp_replace(lower(h), '[^\\p{L}\\p{N}]', '', 'g') AS head_key,
+    regexp_replace(lower(r), '[^\\p{L}\\p{N}]', '', 'g') AS relation_key,
+    regexp_replace(lower(t), '[^\\p{L}\\p{N}]', '', 'g') AS tail_key
+  FROM f
+) """
+SQL["p5_found"] = _TRIPLE_SQL + """SELECT keep_index, upstream_index AS copy_index FROM (
+  SELECT upstream_index, min(upstream_index) OVER (PARTITION BY head_key, relation_key, tail_key, literal_key) AS keep_index FROM k
+) WHERE upstream_index > keep_index"""
+SQL["p5_records"] = _TRIPLE_SQL + """, s AS (
+  SELECT k.*, t.head_id, t.relation, t.tail_id, t.tail_literal, t.raw_record FROM k JOIN triples t USING (upstream_index)
+) SELECT head_key, relation_key, tail_key, literal_key, min(upstream_index) AS keep_index, count(*) AS n_copies,
+  count(DISTINCT {'a': head_id, 'b': relation, 'c': tail_id, 'd': tail_literal, 'e': raw_record}) AS n_spellings
+FROM s GROUP BY ALL"""
