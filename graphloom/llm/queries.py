@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import bare
 from graphloom.llm import dedupe
 from graphloom.llm.bpe import encode_corpus
+from graphloom.llm.quality import text_quality
 from graphloom.operators.orphans import triple_field
 from graphloom.session import table
 
@@ -69,3 +70,13 @@ SQL["p5_records"] = _TRIPLE_SQL + """, s AS (
 ) SELECT head_key, relation_key, tail_key, literal_key, min(upstream_index) AS keep_index, count(*) AS n_copies,
   count(DISTINCT {'a': head_id, 'b': relation, 'c': tail_id, 'd': tail_literal, 'e': raw_record}) AS n_spellings
 FROM s GROUP BY ALL"""
+
+
+@query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_quality(table(spark, sf_dir, "documents"), keep=["doc_id"]).where("kind <> 'prose'").select("doc_id", "kind")
+
+
+@query
+def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_quality(table(spark, sf_dir, "documents"), keep=["doc_id"])
