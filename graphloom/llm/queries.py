@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import bare
-from graphloom.llm import dedupe
+from graphloom.llm import dedupe, value_map
 from graphloom.llm.bpe import encode_corpus
 from graphloom.llm.quality import text_quality
 from graphloom.operators.orphans import triple_field
@@ -80,3 +80,24 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_quality(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def _surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sides = F.array(*[F.struct(F.lit(s).alias("surface_side"), F.col(f"{s}_surface").alias("surface")) for s in ("head", "tail")])
+    return table(spark, sf_dir, "candidates").select("candidate_id", F.explode(sides).alias("s")).select("candidate_id", "s.*")
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _surfaces(spark, sf_dir)
+    matched, unmatched = value_map.map_values(rows, "surface", table(spark, sf_dir, "core_entities"), "entity_id", "canonical_name", "aliases")
+    known = matched.select("surface", F.col("entry").alias("entity_id")).unionByName(unmatched.select("surface", F.lit("").alias("entity_id")))
+    return rows.join(known, "surface").select("candidate_id", "surface_side", "entity_id").distinct()
+
+
+@query
+def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surfaces that name no entry, with the number of candidates' sides that hold each."""
+    rows = _surfaces(spark, sf_dir).distinct()
+    unmatched = value_map.map_values(rows, "surface", table(spark, sf_dir, "core_entities"), "entity_id", "canonical_name", "aliases")[1]
+    return rows.join(unmatched, "surface").groupBy("surface").agg(F.count(F.lit(1)).alias("n_rows"))
