@@ -50,11 +50,15 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         ids = model["vocab"]
-        self.byte_ids = [ids[c] for c in _byte_letters()]
-        self.merges: dict[int, tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
-            left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[ids[left] << 32 | ids[right]] = (rank, ids[left + right])
+        #: 255 is no byte of UTF-8 and stands between words.
+        self.byte_ids = np.array([ids[c] for c in _byte_letters()], np.int64)
+        self.byte_ids[255] = -1
+        pairs = [pair.split(" ") if isinstance(pair, str) else pair for pair in model["merges"]]
+        self.left, self.right = ([ids[p[n]] for p in pairs] for n in (0, 1))
+        self.new = [ids[a + b] for a, b in pairs]
+        self.ranks = {a << 32 | b: rank for rank, (a, b) in reversed(list(enumerate(zip(self.left, self.right))))}
+        self.keys = np.array(sorted(self.ranks), np.int64)
+        self.key_ranks = np.array([self.ranks[k] for k in self.keys.tolist()], np.int64)
 
 
 def _byte_letters() -> list[str]:
@@ -77,54 +81,64 @@ def _patterns():
     import regex
 
     # A word never continues over the step from a visible character to white space, so texts
-    # are first cut there with the faster engine; only distinct pieces meet the full pattern.
-    return re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+").findall, regex.compile(WORD_PATTERN).findall
-
-
-def replay(words: list[str], vocab: Vocabulary) -> list[list[int]]:
-    """The ids of each word: all merges in rank order over one inverted index of pairs."""
-    byte_ids, merges = vocab.byte_ids, vocab.merges
-    symbol, starts = [], []
-    for word in words:
-        starts.append(len(symbol))
-        symbol += [byte_ids[b] for b in word.encode("utf-8", "surrogatepass")]
-        symbol.append(-1)
+    # are first cut there with the faster engine; only distinct pieces meet the full pattern,
+    # which for ASCII the faster engine can say as well.
+    cut = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+").findall
+    ascii_words = re.compile(WORD_PATTERN.replace(r"\s\p{L}\p{N}", r"\sA-Za-z0-9").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]"), re.ASCII).findall
+    any_words = regex.compile(WORD_PATTERN).findall
+    return cut, lambda piece: ascii_words(piece) if piece.isascii() else any_words(piece)
+
+
+def replay(words: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """All merges in rank order over one inverted index of pairs: (ids of all words in a row,
+    where each word begins and, last, the end)."""
+    joined = b"\xff".join(word.encode("utf-8", "surrogatepass") for word in words) + b"\xff" if words else b""
+    first = vocab.byte_ids[np.frombuffer(joined, np.uint8)]
+    symbol = first.tolist()
     after = list(range(1, len(symbol) + 1))
     before = list(range(-1, len(symbol) - 1))
-    places: dict[int, tuple[int, list[int]]] = {}
-    queue: list[tuple[int, int]] = []
-
-    def note(left: int, right: int, at: int) -> None:
-        if left >= 0 and right >= 0 and (known := merges.get(pair := left << 32 | right)):
-            if pair in places:
-                places[pair][1].append(at)
-            else:
-                places[pair] = (known[1], [at])
-                heapq.heappush(queue, (known[0], pair))
-
-    for at in range(len(symbol) - 1):
-        note(symbol[at], symbol[at + 1], at)
+
+    # The index: for each rank, the places where its pair stands.
+    places: dict[int, list[int]] = {}
+    pairs = (first[:-1] << 32) | first[1:]
+    slot = np.minimum(np.searchsorted(vocab.keys, pairs), len(vocab.keys) - 1)
+    at = np.flatnonzero((vocab.keys[slot] == pairs) & (first[:-1] >= 0) & (first[1:] >= 0))
+    rank = vocab.key_ranks[slot[at]]
+    order = np.argsort(rank, kind="stable")
+    at, rank = at[order], rank[order]
+    bounds = np.flatnonzero(np.diff(rank, prepend=-1)) if len(rank) else np.array([], np.int64)
+    for lo, hi in zip(bounds.tolist(), [*bounds[1:].tolist(), len(rank)]):
+        places[int(rank[lo])] = at[lo:hi].tolist()
+    queue = sorted(places)
+
+    known, push, pop = vocab.ranks.get, heapq.heappush, heapq.heappop
     while queue:
-        _, pair = heapq.heappop(queue)
-        new, where = places.pop(pair)
-        left, right = pair >> 32, pair & 0xFFFFFFFF
-        for at in sorted(where):
+        rank = pop(queue)
+        where = places.pop(rank)
+        where.sort()
+        left, right, new = vocab.left[rank], vocab.right[rank], vocab.new[rank]
+        for at in where:
             if symbol[at] != left or symbol[gone := after[at]] != right:
                 continue
             symbol[at], symbol[gone] = new, -2
             after[at] = then = after[gone]
             before[then] = at
-            note(new, symbol[then], at)
-            if (prior := before[at]) >= 0:
-                note(symbol[prior], new, prior)
-    out = []
-    for at in starts:
-        ids = []
-        while symbol[at] != -1:
-            ids.append(symbol[at])
-            at = after[at]
-        out.append(ids)
-    return out
+            if (beside := symbol[then]) >= 0 and (r := known(new << 32 | beside)) is not None:
+                if r in places:
+                    places[r].append(at)
+                else:
+                    places[r] = [at]
+                    push(queue, r)
+            if (prior := before[at]) >= 0 and (beside := symbol[prior]) >= 0 and (r := known(beside << 32 | new)) is not None:
+                if r in places:
+                    places[r].append(prior)
+                else:
+                    places[r] = [prior]
+                    push(queue, r)
+    last = np.array(symbol, np.int64)
+    last = last[last != -2]
+    ends = np.flatnonzero(last == -1) - np.arange(len(words))
+    return last[last != -1].astype(np.int32), np.concatenate([[0], ends]).astype(np.int64)
 
 
 def _blocks(docs: DataFrame, text: Column, block_bytes: int) -> Column:
@@ -165,10 +179,8 @@ def _replay_batches(path: str):
         vocab, waiting = vocabulary(path), []
 
         def done():
-            ids = replay(waiting, vocab)
-            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            flat = pa.array([i for each in ids for i in each], pa.int32())
-            return pa.RecordBatch.from_pydict({"word": pa.array(waiting, pa.string()), "ids": pa.ListArray.from_arrays(pa.array(ends), flat)})
+            ids, begins = replay(waiting, vocab)
+            return pa.RecordBatch.from_pydict({"word": pa.array(waiting, pa.string()), "ids": pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(ids))})
 
         for batch in batches:
             waiting += batch.column("word").to_pylist()
@@ -181,29 +193,47 @@ def _replay_batches(path: str):
     return run
 
 
+class _Pieces(dict):
+    """Piece of text to its number; the ids of all pieces stand in a row in ``ids``."""
+
+    def __init__(self, words: dict[str, np.ndarray], path: str):
+        self.words, self.path, self.ids, self.begins = words, path, array("i"), [0]
+        self.split = _patterns()[1]
+
+    def __missing__(self, piece: str) -> int:
+        for word in self.split(piece):
+            if (ids := self.words.get(word)) is None:
+                self.words[word] = ids = array("i", replay([word], vocabulary(self.path))[0].tobytes())
+            self.ids += ids
+        self.begins.append(len(self.ids))
+        self[piece] = at = len(self.begins) - 2
+        return at
+
+
 def _spell(path: str, keep: list[str], count_only: bool):
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        cut, split = _patterns()
-        known = dict(zip(words.column("word").to_pylist(), words.column("ids").to_pylist()))
-        memo: dict[str, list[int]] = {}
-        flat, ends = array("i"), [0]
+        cut = _patterns()[0]
+        lists = words.column("ids").combine_chunks()
+        flat, begins = np.asarray(lists.values, np.int32), lists.offsets.to_pylist()
+        known = {w: array("i", flat[a:b].tobytes()) for w, a, b in zip(words.column("word").to_pylist(), begins, begins[1:])}
+        pieces = _Pieces(known, path)
+        number, used, ends = pieces.__getitem__, array("i"), [0]
         for text in docs.column("text").to_pylist():
-            for piece in cut(text) if text else ():
-                if (ids := memo.get(piece)) is None:
-                    ids = []
-                    for word in split(piece):
-                        if word not in known:
-                            known[word] = replay([word], vocabulary(path))[0]
-                        ids += known[word]
-                    memo[piece] = ids = array("i", ids)
-                flat += ids
-            ends.append(len(flat))
+            if text:
+                used.extend(map(number, cut(text)))
+            ends.append(len(used))
+        used = np.frombuffer(used, np.int32) if used else np.array([], np.int32)
+        begins = np.array(pieces.begins, np.int64)
+        lengths = np.diff(begins)[used] if len(used) else np.array([], np.int64)
+        reached = np.concatenate([[0], np.cumsum(lengths)])
+        bounds = reached[np.array(ends)]
         out = {name: docs.column(name) for name in keep}
-        bounds = np.array(ends, np.int64)
         if count_only:
             out["n_tokens"] = pa.array(np.diff(bounds), pa.int64())
         else:
-            out["ids"] = pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(flat, np.int32) if len(flat) else np.array([], np.int32))).cast(pa.list_(pa.int32()))
+            ids = np.frombuffer(pieces.ids, np.int32) if pieces.ids else np.array([], np.int32)
+            spelled = ids[np.repeat(begins[used] - reached[:-1], lengths) + np.arange(reached[-1])]
+            out["ids"] = pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(spelled)).cast(pa.list_(pa.int32()))
         return pa.table(out)
 
     return run
