@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import bare
-from graphloom.llm import dedupe, value_map
+from graphloom.llm import canonical_text, dedupe, value_map
 from graphloom.llm.bpe import encode_corpus
 from graphloom.llm.quality import text_quality
 from graphloom.operators.orphans import triple_field
@@ -101,3 +101,29 @@ def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _surfaces(spark, sf_dir).distinct()
     unmatched = value_map.map_values(rows, "surface", table(spark, sf_dir, "core_entities"), "entity_id", "canonical_name", "aliases")[1]
     return rows.join(unmatched, "surface").groupBy("surface").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mine = table(spark, sf_dir, "candidates").select(F.lit("candidate").alias("quote_kind"), F.col("candidate_id").alias("owner_key"), F.lit(0).alias("quote_pos"), F.col("passage_id").alias("unit_key"), "quote")
+    theirs = table(spark, sf_dir, "triples").select("triple_id", F.posexplode("sources").alias("quote_pos", "s"))
+    theirs = theirs.select(F.lit("triple").alias("quote_kind"), F.col("triple_id").alias("owner_key"), "quote_pos", F.col("s.source_id").alias("unit_key"), F.col("s.quote").alias("quote"))
+    return mine.unionByName(theirs)
+
+
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = table(spark, sf_dir, "text_units")
+    by_passage = units.select(F.lit("candidate").alias("quote_kind"), F.col("passage_id").alias("unit_key"), "raw_text")
+    by_source = units.select(F.lit("triple").alias("quote_kind"), F.concat_ws(":", "data_version", "question_id", "doc_index", "sent_index").alias("unit_key"), "raw_text")
+    return by_passage.unionByName(by_source)
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical_text.hidden_quotes(_quotes(spark, sf_dir), _units(spark, sf_dir))
+
+
+@query
+def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct quote and unit text in the one form in which what looks the same is the same."""
+    texts = _quotes(spark, sf_dir).select("quote").unionAll(_units(spark, sf_dir).select("raw_text"))
+    return canonical_text.canonical_texts(texts.where("quote is not null"), "quote")
