@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import bare
-from graphloom.llm import canonical_text, dedupe, value_map
+from graphloom.llm import canonical_text, dedupe, mixing, value_map
 from graphloom.llm.bpe import encode_corpus
 from graphloom.llm.quality import text_quality
 from graphloom.operators.orphans import triple_field
-from graphloom.session import table
+from graphloom.session import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -127,3 +127,20 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct quote and unit text in the one form in which what looks the same is the same."""
     texts = _quotes(spark, sf_dir).select("quote").unionAll(_units(spark, sf_dir).select("raw_text"))
     return canonical_text.canonical_texts(texts.where("quote is not null"), "quote")
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sizes = written(encode_corpus(table(spark, sf_dir, "documents"), keep=["doc_id", "source"], count_only=True), "sizes")
+    return mixing.mix(sizes, table(spark, sf_dir, "mix_targets"))
+
+
+@query
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the mix and how often each is used."""
+    return _mix(spark, sf_dir)[0]
+
+
+@query
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return _mix(spark, sf_dir)[1]
