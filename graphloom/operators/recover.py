@@ -1,0 +1,69 @@
+"""A hop whose edge is missing, answered from text: verify, link, commit, and go on in the graph."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from graphloom.functions.text import norm_name
+from graphloom.functions.verify import cue_in_text, names_match, span_ok, text_verdict
+from graphloom.plans.workload import CUE
+
+#: Presets: (name, method, text binding, re-entry, verify text, verify graph).
+PRESETS = [
+    ("core00", "relation_commit", False, False, False, True),
+    ("core01", "relation_commit", False, False, True, True),
+    ("core10", "relation_commit", True, True, False, True),
+    ("core11", "relation_commit", True, True, True, True),
+    ("simple_bind", "simple_slot", True, True, True, True),
+    ("cog_controlled", "cog_notebook", True, True, True, False),
+    ("iterative_text", "iterative_text", True, False, True, True),
+    ("no_reentry", "relation_commit", True, False, True, True),
+    ("verify_graph_off", "relation_commit", True, True, True, False),
+]
+
+
+def presets(only: list[str] | None = None):
+    """The presets as one array column, to be exploded beside every row."""
+    rows = [p for p in PRESETS if only is None or p[0] in only]
+    return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("preset", "method", "binding", "reentry", "verify_text", "verify_graph"), p)]) for p in rows])
+
+
+def verified(claims: DataFrame, nations: DataFrame) -> DataFrame:
+    """Claims of missing hops under each preset in ``p``: decision, reason, linked nation, outcome of the commit."""
+    variants = F.array(F.lit(CUE))
+    rows = claims.withColumn("v", text_verdict(
+        span_ok(F.col("quote"), F.col("char_start"), F.col("char_end"), F.col("quote")),
+        names_match(F.col("head_surface"), F.array("name")),
+        F.col("quote"), F.lit(CUE), variants, F.col("p.verify_text"),
+    ))
+    # The loose methods take any named tail once span and direction are right.
+    loose = F.col("p.method").isin("simple_slot", "cog_notebook") & ~F.col("v.reason").isin("INVALID_SPAN", "DIRECTION_MISMATCH") & F.contains("quote", "tail_surface")
+    decision = F.when(loose, "SUPPORTED").otherwise(F.col("v.decision"))
+    reason = F.when(loose, F.upper("p.method")).otherwise(F.col("v.reason"))
+    named = nations.select(norm_name(F.col("n_name")).alias("tail_norm"), F.col("n_nationkey").alias("linked_key"), F.col("n_regionkey").alias("linked_region"))
+    rows = rows.select("*", decision.alias("decision"), reason.alias("verdict_reason"), norm_name(F.col("tail_surface")).alias("tail_norm")).join(named, "tail_norm", "left")
+    outcome = F.when(F.col("decision") != "SUPPORTED", F.col("verdict_reason")).when(F.col("linked_key").isNull(), "UNLINKABLE").when(~F.col("p.binding"), "TEXT_BINDING_DISABLED").otherwise("TEXT_COMMIT")
+    return rows.withColumn("outcome", outcome)
+
+
+def answered(claims: DataFrame, nations: DataFrame, regions: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """(customer -> located in -> in region) for every customer and preset: status, answer and reason.
+
+    A masked hop is recovered from text; its successor is followed only where re-entry is allowed.
+    """
+    rows = claims.withColumn("p", F.explode(presets(only)))
+    rows = verified(rows, nations)
+    by_text = F.col("masked") & (F.col("outcome") == "TEXT_COMMIT")
+    node = F.when(~F.col("masked"), F.col("c_nationkey")).when(by_text, F.col("linked_key"))
+    onward = node.isNotNull() & (~F.col("masked") | F.col("p.reentry"))
+    hop = nations.select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("node_region"))
+    rows = rows.withColumn("node", node).withColumn("onward", onward).join(hop, "node", "left")
+    rows = rows.join(regions.select(F.col("r_regionkey").alias("node_region"), F.col("r_name").alias("region")), "node_region", "left")
+    status = F.when(F.col("onward"), "COMPLETE").otherwise("EXHAUSTED")
+    reason = F.when(F.col("onward"), F.when(F.col("masked"), "TEXT_COMMIT").otherwise("GRAPH")).when(by_text, "REENTRY_DISABLED").otherwise(F.col("outcome"))
+    return rows.select("c_custkey", F.col("p.preset").alias("preset"), status.alias("status"), F.when(F.col("onward"), F.col("region")).alias("answer"), reason.alias("reason"), "masked")
+
+
+def cue_checks(claims: DataFrame) -> DataFrame:
+    return claims.select("c_custkey", cue_in_text(F.col("quote"), F.array(F.lit(CUE))).alias("cue"))

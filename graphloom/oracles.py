@@ -28,3 +28,61 @@ SQL["p1_report"] = _REFS + """, d AS (SELECT DISTINCT src_table, src_key FROM or
 SELECT e.src_table, e.period, e.n_refs, coalesce(o.n, 0) AS n_orphan_refs, coalesce(o.m, 0) AS n_direct_records, coalesce(h.n, 0) AS n_inherited_records
 FROM (SELECT src_table, strftime(loaded_at, '%Y-%m') AS period, count(*) AS n_refs FROM refs GROUP BY ALL) e
 LEFT JOIN o USING (src_table, period) LEFT JOIN h USING (src_table, period)"""
+
+
+_E = """WITH e AS (
+  SELECT triple_id, upstream_index, active, sources, title,
+    regexp_replace(lower(CASE WHEN raw_record IS NULL THEN head_id ELSE coalesce(raw_record->>'$.h', raw_record->>'$.head') END), '[^\\p{L}\\p{N}]', '', 'g') AS head_key,
+    trim(regexp_replace(lower(CASE WHEN raw_record IS NULL THEN relation ELSE coalesce(raw_record->>'$.r', raw_record->>'$.relation') END), '[\\s\\p{Z}]+', ' ', 'g')) AS relation,
+    regexp_replace(lower(CASE WHEN raw_record IS NULL THEN tail_id ELSE coalesce(raw_record->>'$.t', raw_record->>'$.tail') END), '[^\\p{L}\\p{N}]', '', 'g') AS tail_key,
+    CASE WHEN raw_record IS NULL THEN tail_literal ELSE raw_record->>'$.tail_literal' END AS tail_literal
+  FROM triples
+), ent AS (
+  SELECT DISTINCT entity_id, canonical_name, aliases, entity_type FROM (SELECT entity_id, canonical_name, aliases, entity_type FROM core_entities UNION ALL SELECT entity_id, canonical_name, aliases, entity_type FROM entities)
+), nm AS (
+  SELECT DISTINCT entity_id, name, trim(regexp_replace(lower(name), '[\\s\\p{Z}]+', ' ', 'g')) AS norm
+  FROM (SELECT entity_id, unnest(list_concat([canonical_name], coalesce(aliases, []))) AS name FROM ent)
+  WHERE trim(regexp_replace(lower(name), '[\\s\\p{Z}]+', ' ', 'g')) <> ''
+) """.replace("\\\\", "\\")
+
+
+def _link(surfaces: str) -> str:
+    return f""", s AS (SELECT DISTINCT surface, trim(regexp_replace(lower(surface), '[\\s\\p{{Z}}]+', ' ', 'g')) AS norm FROM ({surfaces}) WHERE surface IS NOT NULL
+), link AS (
+  SELECT surface, count(DISTINCT entity_id) AS n_matches, coalesce(max(CAST(name = surface AS INT)), 0) AS exact FROM s LEFT JOIN nm USING (norm) GROUP BY surface
+) """
+
+
+SQL["q01_norm_names"] = _E + "SELECT DISTINCT entity_id, norm FROM nm"
+SQL["q02_match_surface_counts"] = _E + _link("SELECT head_surface AS surface FROM candidates") + "SELECT surface, n_matches FROM link"
+SQL["q03_outgoing"] = _E + "SELECT head_key, count(*) AS n_edges, min(upstream_index) AS first_index, max(upstream_index) AS last_index FROM e WHERE active AND head_key IS NOT NULL GROUP BY 1"
+SQL["q04_incoming"] = _E + "SELECT tail_key, count(*) AS n_edges, min(upstream_index) AS first_index, max(upstream_index) AS last_index FROM e WHERE active AND tail_key IS NOT NULL GROUP BY 1"
+_T = "WITH x AS (SELECT map_row, unnest(triple_ids) AS triple_id, generate_subscripts(triple_ids, 1) - 1 AS pos FROM title_triples) "
+SQL["q05_mask_active_titles"] = _T + "SELECT map_row, count(*) AS n_ids, count(*) FILTER (WHERE t.active AND t.deleted_at IS NULL) AS n_active FROM x LEFT JOIN triples t USING (triple_id) WHERE triple_id IS NOT NULL GROUP BY 1"
+SQL["q06_forced_candidates"] = _T + "SELECT map_row, CAST(min(pos) AS INT) AS pos, arg_min(triple_id, pos) AS triple_id FROM x JOIN triples t USING (triple_id) WHERE t.active GROUP BY 1"
+SQL["q07_both_endpoints"] = _E + "SELECT head_key, tail_key, count(*) AS n_edges, min(upstream_index) AS first_index FROM e WHERE active AND head_key IS NOT NULL AND tail_key IS NOT NULL GROUP BY 1, 2"
+SQL["q08_entity_literal"] = _E + "SELECT head_key, tail_literal, count(*) AS n_edges, min(upstream_index) AS first_index FROM e WHERE active AND head_key IS NOT NULL AND tail_literal IS NOT NULL GROUP BY 1, 2"
+SQL["q09_shape_classify"] = _E + _link("SELECT head_surface AS surface FROM candidates UNION SELECT tail_surface FROM candidates") + """, c AS (SELECT DISTINCT candidate_id, head_surface, tail_surface FROM candidates), r AS (
+  SELECT candidate_id, coalesce(h.n_matches, 0) AS h, coalesce(t.n_matches, 0) AS t FROM c LEFT JOIN link h ON h.surface = head_surface LEFT JOIN link t ON t.surface = tail_surface)
+SELECT candidate_id, CASE WHEN h > 1 OR t > 1 THEN 'ambiguous' WHEN h = 1 AND t = 1 THEN 'both_entity' WHEN h = 1 OR t = 1 THEN 'one_entity_one_var' ELSE 'wait' END AS shape FROM r"""
+SQL["q10_first_supported_edge"] = _E + """, k AS (SELECT *, coalesce(len(list_filter(sources, lambda s: s.quote IS NOT NULL AND s.title IS NOT NULL)), 0) > 0 AS ok FROM e WHERE active AND head_key IS NOT NULL AND relation IS NOT NULL
+), b AS (SELECT head_key, relation, min(upstream_index) AS f, arg_min(triple_id, upstream_index) AS triple_id FROM k WHERE ok GROUP BY 1, 2)
+SELECT b.head_key, b.relation, b.triple_id, count(k.triple_id) AS n_rejected FROM b LEFT JOIN k ON k.head_key = b.head_key AND k.relation = b.relation AND k.upstream_index < b.f GROUP BY 1, 2, 3"""
+SQL["q11_two_hop"] = _E + """, h AS (SELECT relation, head_key, arg_min(tail_key, upstream_index) AS tail_key FROM e WHERE active AND head_key IS NOT NULL AND tail_key IS NOT NULL GROUP BY 1, 2
+), s AS (SELECT DISTINCT regexp_replace(lower(entity_id), '[^\\p{L}\\p{N}]', '', 'g') AS head_key FROM core_entities)
+SELECT s.head_key, a.tail_key AS middle, b.tail_key AS answer FROM s JOIN h a ON a.head_key = s.head_key AND a.relation = 'funded by' LEFT JOIN h b ON b.head_key = a.tail_key AND b.relation = 'supplied by'""".replace("\\\\", "\\")
+SQL["q13_integrity_audit"] = _E + """, k AS (SELECT DISTINCT regexp_replace(lower(entity_id), '[^\\p{L}\\p{N}]', '', 'g') AS k FROM ent)
+SELECT 'dangling_end' AS issue, count(*) AS n FROM (SELECT head_key AS k FROM e UNION ALL SELECT tail_key FROM e) WHERE k IS NOT NULL AND k NOT IN (SELECT k FROM k)
+UNION ALL SELECT 'id_with_two_records', count(*) FROM (SELECT entity_id FROM ent GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'null_head', count(*) FROM e WHERE head_key IS NULL
+UNION ALL SELECT 'tail_missing', count(*) FROM e WHERE tail_key IS NULL AND tail_literal IS NULL
+UNION ALL SELECT 'tail_twice', count(*) FROM e WHERE tail_key IS NOT NULL AND tail_literal IS NOT NULL""".replace("\\\\", "\\")
+SQL["q22_verify_graph"] = _E + """, v AS (SELECT triple_id, relation, array_to_string(list_filter(list_transform(sources, lambda s: s.quote), lambda x: x IS NOT NULL), ' ') AS q,
+  coalesce(len(list_filter(sources, lambda s: s.quote IS NOT NULL AND s.title IS NOT NULL)), 0) > 0 AS located FROM e WHERE relation IS NOT NULL
+), w AS (SELECT *, relation <> '' AND contains(q, relation) AS cue, instr(q, relation) AS i FROM v
+), y AS (SELECT *, substring(q, greatest(1, i - 8), i - greatest(1, i - 8)) AS b FROM w)
+SELECT triple_id, CASE WHEN NOT located THEN 'UNKNOWN' WHEN cue AND NOT (regexp_matches(b, '没有|并未|并非|不是|从未|不曾|never|not ')) THEN 'SUPPORTED' ELSE 'CONFLICT' END AS decision,
+  CASE WHEN NOT located THEN 'SOURCE_UNLOCATABLE' WHEN cue AND NOT (regexp_matches(b, '没有|并未|并非|不是|从未|不曾|never|not ')) THEN 'GRAPH_SOURCE_OK' ELSE 'GRAPH_SOURCE_REJECT' END AS reason FROM y"""
+SQL["q51_fingerprint"] = """SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substring(sha256(concat_ws('|', triple_id, CAST(upstream_index AS VARCHAR), coalesce(head_id, '~'), coalesce(relation, '~'), coalesce(tail_id, '~'), coalesce(tail_literal, '~'), CAST(active AS VARCHAR))), 1, 8) AS BIGINT)) AS VARCHAR) AS checksum FROM triples"""
+SQL["q57_link_reject_reasons"] = _E + _link("SELECT tail_surface AS surface FROM candidates") + """, c AS (SELECT DISTINCT candidate_id, tail_surface AS surface FROM candidates)
+SELECT CASE WHEN n_matches = 0 THEN 'UNLINKABLE' WHEN n_matches > 1 THEN 'AMBIGUOUS_ENTITY' WHEN exact = 1 THEN 'EXACT_NAME' ELSE 'ALIAS_UNIQUE' END AS reason, count(*) AS n_candidates FROM c JOIN link USING (surface) GROUP BY 1"""

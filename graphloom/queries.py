@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import flatten, orphans
+from graphloom.functions import score, verify
+from graphloom.functions.text import bare, norm_name
+from graphloom.operators import flatten, graph, orphans, recover
+from graphloom.plans import workload
 from graphloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +68,133 @@ def p3_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = ["accepted_evidence/*", "accepted_evidence/*/source"]
     rows = flatten.linked(flatten.branch_nodes(table(spark, sf_dir, "branch_states"), kinds).where("kind = 'object'"), *kinds)
     return rows.select("rec_key", "path", "parent_path", "parent_pos", "pre", "post", "depth").distinct()
+
+
+# Graph access over the evidence tables.
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.edge_table(table(spark, sf_dir, "triples"))
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.entity_names(graph.entity_table(table(spark, sf_dir, "core_entities"), table(spark, sf_dir, "entities")))
+
+
+@query
+def q01_norm_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _names(spark, sf_dir).select("entity_id", "norm").distinct()
+
+
+@query
+def q02_match_surface_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "candidates").select(F.col("head_surface").alias("surface"))
+    return graph.link_surfaces(s, _names(spark, sf_dir)).select("surface", "n_matches")
+
+
+@query
+def q03_outgoing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.side(_edges(spark, sf_dir), "head_key")
+
+
+@query
+def q04_incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.side(_edges(spark, sf_dir), "tail_key")
+
+
+def _title_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "title_triples").select("map_row", F.posexplode("triple_ids").alias("pos", "triple_id")).where("triple_id is not null")
+
+
+@query
+def q05_mask_active_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each title entry, and those still active once deleted triples are masked."""
+    triples = table(spark, sf_dir, "triples").select("triple_id", "active", "deleted_at")
+    live = graph.mask(triples.select("triple_id", "active"), triples.where("deleted_at is not null"))
+    ids = _title_ids(spark, sf_dir).join(live, "triple_id", "left")
+    return ids.groupBy("map_row").agg(F.count(F.lit(1)).alias("n_ids"), F.count_if(F.coalesce("active", F.lit(False))).alias("n_active"))
+
+
+@query
+def q06_forced_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of a title's ids, in their given order, that exists and is active."""
+    live = table(spark, sf_dir, "triples").where("active").select("triple_id")
+    return _title_ids(spark, sf_dir).join(live, "triple_id").groupBy("map_row").agg(F.min("pos").alias("pos"), F.min_by("triple_id", "pos").alias("triple_id"))
+
+
+@query
+def q07_both_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _edges(spark, sf_dir).where("active and head_key is not null and tail_key is not null")
+    return e.groupBy("head_key", "tail_key").agg(F.count(F.lit(1)).alias("n_edges"), F.min("upstream_index").alias("first_index"))
+
+
+@query
+def q08_entity_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _edges(spark, sf_dir).where("active and head_key is not null and tail_literal is not null")
+    return e.groupBy("head_key", "tail_literal").agg(F.count(F.lit(1)).alias("n_edges"), F.min("upstream_index").alias("first_index"))
+
+
+@query
+def q09_shape_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each candidate's ends resolve; ambiguity on either end wins."""
+    c = table(spark, sf_dir, "candidates").select("candidate_id", "head_surface", "tail_surface").distinct()
+    sides = c.select(F.explode(F.array("head_surface", "tail_surface")).alias("surface"))
+    n = graph.link_surfaces(sides, _names(spark, sf_dir)).select("surface", "n_matches")
+    h = n.select(F.col("surface").alias("head_surface"), F.col("n_matches").alias("h"))
+    t = n.select(F.col("surface").alias("tail_surface"), F.col("n_matches").alias("t"))
+    rows = c.join(h, "head_surface", "left").join(t, "tail_surface", "left").fillna(0, ["h", "t"])
+    shape = F.when((F.col("h") > 1) | (F.col("t") > 1), "ambiguous").when((F.col("h") == 1) & (F.col("t") == 1), "both_entity").when((F.col("h") == 1) | (F.col("t") == 1), "one_entity_one_var").otherwise("wait")
+    return rows.select("candidate_id", shape.alias("shape"))
+
+
+@query
+def q10_first_supported_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per head and relation the first edge with a source that can be located, and how many came before it."""
+    e = _edges(spark, sf_dir).where("active and head_key is not null and relation is not null")
+    located = F.coalesce(F.exists("sources", lambda s: s["quote"].isNotNull() & s["title"].isNotNull()), F.lit(False))
+    return graph.first_accepted(e.withColumn("ok", located), ["head_key", "relation"], F.col("upstream_index"), F.col("ok"), ["triple_id"]).select("head_key", "relation", "triple_id", "n_rejected")
+
+
+@query
+def q11_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Core entities through 'funded by' and then 'supplied by', the first edge of each hop."""
+    e = _edges(spark, sf_dir).where("active and head_key is not null and tail_key is not null")
+    hop = lambda r: e.where(F.col("relation") == r).groupBy("head_key").agg(F.min_by("tail_key", "upstream_index").alias("tail_key"))
+    start = table(spark, sf_dir, "core_entities").select(bare(F.col("entity_id")).alias("head_key")).distinct()
+    one = start.join(hop("funded by"), "head_key").select("head_key", F.col("tail_key").alias("middle"))
+    return one.join(hop("supplied by").withColumnRenamed("head_key", "middle").withColumnRenamed("tail_key", "answer"), "middle", "left").select("head_key", "middle", "answer")
+
+
+@query
+def q13_integrity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities, e = graph.entity_table(table(spark, sf_dir, "core_entities"), table(spark, sf_dir, "entities")), _edges(spark, sf_dir)
+    known = entities.select(bare(F.col("entity_id")).alias("k")).distinct()
+    ends = e.select(F.explode(F.array("head_key", "tail_key")).alias("k")).where("k is not null")
+    one = lambda name, rows: rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("issue"), "n")
+    repeated = entities.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    parts = [one("dangling_end", ends.join(known, "k", "left_anti")), one("id_with_two_records", repeated), one("null_head", e.where("head_key is null")), one("tail_missing", e.where("tail_key is null and tail_literal is null")), one("tail_twice", e.where("tail_key is not null and tail_literal is not null"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query
+def q22_verify_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _edges(spark, sf_dir).where("relation is not null")
+    sources = F.col("sources")
+    quotes = F.concat_ws(" ", F.transform(sources, lambda s: s["quote"]))
+    located = F.coalesce(F.exists(sources, lambda s: s["quote"].isNotNull() & s["title"].isNotNull()), F.lit(False))
+    v = verify.graph_verdict(F.lit(True), F.col("relation"), F.array("relation"), quotes, located, F.lit(False), F.lit(True))
+    return e.select("triple_id", v.alias("v")).select("triple_id", "v.decision", "v.reason")
+
+
+@query
+def q51_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.fingerprint(table(spark, sf_dir, "triples").select("triple_id", "upstream_index", "head_id", "relation", "tail_id", "tail_literal", "active"))
+
+
+@query
+def q57_link_reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "candidates").select("candidate_id", F.col("tail_surface").alias("surface")).distinct()
+    return c.join(graph.link_surfaces(c, _names(spark, sf_dir)), "surface").groupBy("reason").agg(F.count(F.lit(1)).alias("n_candidates"))
