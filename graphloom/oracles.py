@@ -86,3 +86,110 @@ SELECT triple_id, CASE WHEN NOT located THEN 'UNKNOWN' WHEN cue AND NOT (regexp_
 SQL["q51_fingerprint"] = """SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substring(sha256(concat_ws('|', triple_id, CAST(upstream_index AS VARCHAR), coalesce(head_id, '~'), coalesce(relation, '~'), coalesce(tail_id, '~'), coalesce(tail_literal, '~'), CAST(active AS VARCHAR))), 1, 8) AS BIGINT)) AS VARCHAR) AS checksum FROM triples"""
 SQL["q57_link_reject_reasons"] = _E + _link("SELECT tail_surface AS surface FROM candidates") + """, c AS (SELECT DISTINCT candidate_id, tail_surface AS surface FROM candidates)
 SELECT CASE WHEN n_matches = 0 THEN 'UNLINKABLE' WHEN n_matches > 1 THEN 'AMBIGUOUS_ENTITY' WHEN exact = 1 THEN 'EXACT_NAME' ELSE 'ALIAS_UNIQUE' END AS reason, count(*) AS n_candidates FROM c JOIN link USING (surface) GROUP BY 1"""
+
+_C = """WITH cl AS (
+  SELECT c_custkey, c_name AS name, n_name AS nation, c_nationkey, c_mktsegment AS seg, c_acctbal < 0 AS masked FROM customer JOIN nation ON c_nationkey = n_nationkey
+), q AS (
+  SELECT *, CASE seg WHEN 'AUTOMOBILE' THEN name || ' is not located in ' || nation || '.' WHEN 'FURNITURE' THEN name || ' and ' || nation || ' are listed.'
+    WHEN 'MACHINERY' THEN name || ' is located in ' || nation || '(访问学者).' ELSE name || ' is located in ' || nation || '.' END AS quote,
+    CASE WHEN seg = 'HOUSEHOLD' THEN nation ELSE name END AS hs, CASE WHEN seg = 'HOUSEHOLD' THEN name ELSE nation END AS ts FROM cl
+), m AS (SELECT * FROM q WHERE masked
+), p(preset, method, binding, reentry, vt) AS (VALUES ('core00', 'relation_commit', false, false, false), ('core01', 'relation_commit', false, false, true), ('core10', 'relation_commit', true, true, false),
+  ('core11', 'relation_commit', true, true, true), ('simple_bind', 'simple_slot', true, true, true), ('cog_controlled', 'cog_notebook', true, true, true), ('iterative_text', 'iterative_text', true, false, true),
+  ('no_reentry', 'relation_commit', true, false, true), ('verify_graph_off', 'relation_commit', true, true, true)
+), v AS (
+  SELECT q.*, p.*, seg <> 'HOUSEHOLD' AND method IN ('simple_slot', 'cog_notebook') AND contains(quote, ts) AS loose,
+    CASE WHEN seg = 'HOUSEHOLD' THEN 'DIRECTION_MISMATCH' WHEN seg = 'FURNITURE' THEN 'COOCCURRENCE' WHEN vt AND seg = 'AUTOMOBILE' THEN 'NEGATION' WHEN vt AND seg = 'MACHINERY' THEN 'QUALIFIER_MISMATCH' WHEN vt THEN 'TEXT_SUPPORTED' ELSE 'TEXT_PROGRAMMATIC_ACCEPT' END AS r
+  FROM q CROSS JOIN p
+), w AS (
+  SELECT *, CASE WHEN loose THEN upper(method) ELSE r END AS reason, loose OR r LIKE 'TEXT_%' AS ok FROM v
+), x AS (
+  SELECT w.*, CASE WHEN NOT ok THEN reason WHEN seg = 'HOUSEHOLD' THEN 'UNLINKABLE' WHEN NOT binding THEN 'TEXT_BINDING_DISABLED' ELSE 'TEXT_COMMIT' END AS outcome FROM w
+), a AS (
+  SELECT c_custkey, preset, masked, CASE WHEN on_ THEN 'COMPLETE' ELSE 'EXHAUSTED' END AS status, CASE WHEN on_ THEN r_name END AS answer, r_name AS gold,
+    CASE WHEN on_ THEN CASE WHEN masked THEN 'TEXT_COMMIT' ELSE 'GRAPH' END WHEN masked AND outcome = 'TEXT_COMMIT' THEN 'REENTRY_DISABLED' ELSE outcome END AS reason
+  FROM (SELECT *, NOT masked OR (outcome = 'TEXT_COMMIT' AND reentry) AS on_ FROM x) JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
+) """
+SQL["q12_three_hop"] = "SELECT o_orderkey, n_name, r_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE NOT c_acctbal < 0"
+SQL["q18_relation_cue_match"] = _C + "SELECT c_custkey, true AS fits, contains(quote, 'located in') OR contains(quote, 'LOCATED  IN') OR contains(quote, ' ') AS cue FROM m"
+SQL["q19_negation_window"] = _C + "SELECT c_custkey, contains(quote, 'located in') AND regexp_matches(substring(quote, greatest(1, instr(quote, 'located in') - 8), instr(quote, 'located in') - greatest(1, instr(quote, 'located in') - 8)), '没有|并未|并非|不是|从未|不曾|never|not ') AS negated FROM m"
+SQL["q20_qualifier"] = _C + "SELECT c_custkey, regexp_matches(quote, '预科|短期交流|访问学者|进修|荣誉学位|交换生') AS conflict, lower(hs) = lower(name) AS direction FROM m"
+SQL["q21_verify_text"] = _C + "SELECT c_custkey, preset, CASE WHEN ok THEN 'SUPPORTED' WHEN reason = 'NEGATION' THEN 'CONFLICT' ELSE 'UNKNOWN' END AS decision, reason FROM w WHERE masked AND preset IN ('core11', 'core00', 'simple_bind')"
+SQL["q27_text_commit_children"] = _C + "SELECT c_custkey, c_nationkey AS bound_nation, quote, 0 AS char_start, CAST(length(quote) AS INT) AS char_end FROM x WHERE masked AND preset = 'core11' AND outcome = 'TEXT_COMMIT'"
+SQL["q28_successor_reentry"] = _C + "SELECT o_orderkey, status, answer, reason FROM orders JOIN a ON c_custkey = o_custkey WHERE preset = 'core11'"
+SQL["q29_no_reentry"] = _C + "SELECT c_custkey, status, answer, reason FROM a WHERE preset = 'no_reentry'"
+SQL["q30_core_matrix"] = _C + "SELECT preset, status, reason, count(*) AS n FROM a WHERE preset IN ('core00', 'core01', 'core10', 'core11') GROUP BY 1, 2, 3"
+SQL["q31_simple_slot"] = _C + "SELECT c_custkey, status, answer, reason FROM a WHERE preset = 'simple_bind'"
+SQL["q32_notebook"] = _C + "SELECT c_custkey, CASE WHEN status = 'COMPLETE' THEN 'fact' ELSE 'judgment' END AS entry, reason FROM a WHERE preset = 'cog_controlled' AND masked"
+SQL["q33_iterative_text"] = _C + "SELECT preset, status, reason, count(*) AS n FROM a WHERE preset IN ('iterative_text', 'verify_graph_off') GROUP BY 1, 2, 3"
+SQL["q45_method_report"] = _C + "SELECT preset, count(*) AS n, round(avg(CASE WHEN answer IS NULL THEN 0.0 ELSE 1.0 END), 6) AS mean_f1, round(avg(CASE WHEN answer = gold THEN 1 ELSE 0 END), 6) AS mean_em, count(*) FILTER (WHERE status <> 'COMPLETE') AS n_failed FROM a GROUP BY 1"
+SQL["q46_paired_delta"] = _C + """, pair(baseline, other) AS (VALUES ('core00', 'core11'), ('core01', 'core11'), ('core10', 'core11'), ('no_reentry', 'core11'))
+SELECT baseline, other, count(*) AS n, round(avg((b.answer IS NOT NULL)::INT - (c.answer IS NOT NULL)::INT), 6) AS delta FROM pair JOIN a c ON c.preset = baseline JOIN a b ON b.preset = other AND b.c_custkey = c.c_custkey GROUP BY 1, 2"""
+SQL["q58_binding_off"] = _C + "SELECT reason, count(*) AS n FROM a WHERE preset = 'core01' AND masked GROUP BY 1"
+
+_B = """WITH b AS (SELECT DISTINCT ON (question_id, branch_id) * FROM branch_states
+), pr AS (SELECT question_id, branch_id, status, e FROM (SELECT question_id, branch_id, status, unnest(accepted_evidence) AS e FROM b) WHERE e IS NOT NULL
+), unit AS (SELECT DISTINCT passage_id, question_id, doc_index, sent_index, visible, raw_text, data_version || ':' || question_id || ':' || doc_index || ':' || sent_index AS source_id FROM text_units
+), nf AS (SELECT * FROM b WHERE NOT list_contains(coalesce(reason_codes, []), 'FORKED')
+) """
+SQL["q16_ready_constraints"] = _B + """, r AS (SELECT question_id, branch_id, list_distinct(list_filter(coalesce(pending_constraints, []), lambda c: c IS NOT NULL AND NOT list_contains(list_transform(list_filter(coalesce(accepted_evidence, []), lambda e: e IS NOT NULL AND NOT e.invalidated), lambda e: e.constraint_id), c))) AS x FROM b)
+SELECT question_id, branch_id, CAST(len(x) AS INT) AS n_ready, list_min(x) AS first_ready FROM r"""
+SQL["q17_span_ok"] = _B + "SELECT candidate_id, char_start >= 0 AND char_end <= length(raw_text) AND char_start < char_end AND substring(raw_text, char_start + 1, char_end - char_start) = quote AS ok FROM (SELECT DISTINCT candidate_id, passage_id, char_start, char_end, quote FROM candidates) JOIN (SELECT DISTINCT passage_id, raw_text FROM unit) USING (passage_id)"
+_TOP = _B + ", t AS (SELECT question_id, passage_id, row_number() OVER (PARTITION BY question_id ORDER BY doc_index, sent_index, passage_id) AS rank FROM (SELECT DISTINCT question_id, passage_id, doc_index, sent_index, visible, raw_text FROM text_units) WHERE visible) "
+SQL["q23_ordered_topk"] = _TOP + "SELECT question_id, passage_id, CAST(rank AS INT) AS rank FROM t WHERE rank <= 8"
+SQL["q55_scripted_semi"] = _TOP + "SELECT candidate_id FROM (SELECT DISTINCT candidate_id, question_id, passage_id FROM candidates) c WHERE EXISTS (SELECT 1 FROM t WHERE t.rank <= 8 AND t.question_id = c.question_id AND t.passage_id = c.passage_id)"
+SQL["q23b_followup_topk"] = _B + """, nb AS (SELECT question_id, branch_id, list_distinct(list_filter(list_transform(list_filter(map_values(coalesce(bindings, MAP {})), lambda x: x IS NOT NULL), lambda x: x.canonical_name), lambda n: n IS NOT NULL AND n <> '')) AS names FROM b
+), s AS (SELECT question_id, branch_id, passage_id, doc_index, sent_index, 2 * len(list_filter(names, lambda n: contains(raw_text, n))) AS score FROM nb JOIN (SELECT DISTINCT question_id, passage_id, doc_index, sent_index, raw_text FROM text_units) USING (question_id))
+SELECT question_id, branch_id, passage_id, CAST(score AS INT) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id, branch_id ORDER BY score DESC, doc_index, sent_index, passage_id) AS rank FROM s) WHERE rank <= 8"""
+SQL["q23c_lexical_jaccard"] = _B + """, x AS (SELECT candidate_id, list_filter(list_distinct(string_split(trim(regexp_replace(lower(quote), '[\\s\\p{Z}]+', ' ', 'g')), ' ')), lambda w: w <> '') AS q, list_filter(list_distinct(string_split(trim(regexp_replace(lower(raw_text), '[\\s\\p{Z}]+', ' ', 'g')), ' ')), lambda w: w <> '') AS r
+  FROM (SELECT DISTINCT candidate_id, passage_id, quote FROM candidates) JOIN (SELECT DISTINCT passage_id, raw_text FROM unit) USING (passage_id))
+SELECT candidate_id, round(CASE WHEN len(q) + len(r) = 0 THEN 0 ELSE len(list_intersect(q, r)) / (len(q) + len(r) - len(list_intersect(q, r))) END, 6) AS score FROM x""".replace("\\\\", "\\")
+SQL["q26_relation_cap"] = "SELECT candidate_id, CAST(place AS INT) AS place FROM (SELECT candidate_id, row_number() OVER (PARTITION BY question_id, constraint_id, branch_id ORDER BY retrieval_rank, candidate_id) AS place FROM (SELECT DISTINCT question_id, constraint_id, branch_id, candidate_id, retrieval_rank FROM candidates)) WHERE place <= 3"
+SQL["q25_candidate_json_parse"] = """SELECT candidate_id, CASE WHEN raw_text IS NULL OR quote = '' THEN 'DROPPED_PASSAGE' WHEN instr(raw_text, quote) = 0 THEN 'NOT_IN_TEXT' ELSE 'LOCATED' END AS status,
+  CAST(CASE WHEN raw_text IS NULL OR quote = '' OR instr(raw_text, quote) = 0 THEN 0 ELSE instr(raw_text, quote) - 1 END AS INT) AS char_start
+FROM (SELECT DISTINCT candidate_id, passage_id, quote FROM candidates) LEFT JOIN (SELECT DISTINCT passage_id, raw_text FROM text_units) USING (passage_id)"""
+SQL["q34_fork_cap_ambiguous"] = _B + """SELECT b.question_id, b.branch_id, count(*) AS n_children, greatest(0, count(*) - greatest(0, coalesce(any_value(b.budget).max_active_branches, 3))) AS n_truncated
+FROM b JOIN b k ON k.question_id = b.question_id AND k.parent_branch_id = b.branch_id GROUP BY 1, 2"""
+SQL["q35_run_status"] = _B + """SELECT question_id, CASE WHEN count(*) FILTER (WHERE status = 'COMPLETE') > 1 THEN 'AMBIGUOUS' WHEN count(*) FILTER (WHERE status = 'COMPLETE') = 1 THEN 'COMPLETE'
+  WHEN bool_or(status = 'INVALIDATED') THEN 'INVALIDATED' WHEN bool_or(status = 'BUDGET_EXHAUSTED') THEN 'BUDGET_EXHAUSTED' ELSE 'EXHAUSTED' END AS status, count(*) AS n_branches FROM nf GROUP BY 1"""
+SQL["q36_revoke_cascade"] = _B + """SELECT question_id, branch_id, count(*) FILTER (WHERE coalesce(e.produces_variable = '?place', false) OR coalesce(e.parent_binding_id LIKE '%-place', false)) AS n_revoked, count(*) AS n_proofs
+FROM pr WHERE NOT e.invalidated GROUP BY 1, 2 HAVING n_revoked > 0"""
+SQL["q37_budget_cut"] = _B + """, s AS (SELECT question_id, branch_id, coalesce(budget.steps_used, 0) AS used, coalesce(budget.max_steps, 32) AS most, coalesce(sum(coalesce(budget.steps_used, 0)) OVER (PARTITION BY question_id ORDER BY depth, branch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b)
+SELECT question_id, branch_id, CAST(before AS BIGINT) AS steps_before, before + used <= most AS fits FROM s"""
+SQL["q38_active_chain"] = _B + "SELECT b.question_id, b.branch_id, coalesce(string_agg(e.proof_id, ',' ORDER BY e.acquisition_order, e.proof_id) FILTER (WHERE NOT e.invalidated), '') AS chain FROM b LEFT JOIN pr ON pr.question_id = b.question_id AND pr.branch_id = b.branch_id GROUP BY 1, 2"
+SQL["q39_reason_rollup"] = _B + "SELECT question_id, string_agg(DISTINCT r, ',' ORDER BY r) AS reasons FROM (SELECT question_id, unnest(reason_codes) AS r FROM b) WHERE r IS NOT NULL GROUP BY 1"
+_G = """WITH an AS (SELECT candidate_id, regexp_replace(lower(ground_truth_answer), '[^\\p{L}\\p{N}]', '', 'g') AS g, regexp_replace(lower(tail_surface), '[^\\p{L}\\p{N}]', '', 'g') AS t
+  FROM (SELECT DISTINCT candidate_id, question_id, tail_surface FROM candidates) JOIN (SELECT DISTINCT id AS question_id, ground_truth_answer FROM phase2_records) USING (question_id)) """.replace("\\\\", "\\")
+SQL["q40_exact_match"] = _G + "SELECT candidate_id, CASE WHEN g IS NULL THEN NULL ELSE coalesce(g = t, false) END AS em FROM an"
+SQL["q41_token_f1"] = _G + """, gc AS (SELECT candidate_id, c, count(*) AS n FROM (SELECT candidate_id, unnest(string_split(g, '')) AS c FROM an) WHERE c <> '' GROUP BY 1, 2
+), tc AS (SELECT candidate_id, c, count(*) AS n FROM (SELECT candidate_id, unnest(string_split(t, '')) AS c FROM an) WHERE c <> '' GROUP BY 1, 2
+), s AS (SELECT candidate_id, sum(least(gc.n, tc.n)) AS s FROM gc JOIN tc USING (candidate_id, c) GROUP BY 1)
+SELECT candidate_id, round(CASE WHEN g IS NULL OR g = '' THEN NULL WHEN t IS NULL OR t = '' THEN 0.0 ELSE 2.0 * coalesce(s, 0) / (length(g) + length(t)) END, 6) AS f1 FROM an LEFT JOIN s USING (candidate_id)"""
+SQL["q42_proof_precision"] = _E + """, b AS (SELECT DISTINCT ON (question_id, branch_id) * FROM branch_states
+), nf AS (SELECT * FROM b WHERE NOT list_contains(coalesce(reason_codes, []), 'FORKED')
+), x AS (SELECT question_id, branch_id, unnest(accepted_evidence) AS p FROM nf
+), y AS (SELECT question_id, branch_id, regexp_replace(lower(p.head_entity_id), '[^\\p{L}\\p{N}]', '', 'g') AS h, regexp_replace(lower(p.tail_entity_id), '[^\\p{L}\\p{N}]', '', 'g') AS t FROM x WHERE p IS NOT NULL AND NOT p.invalidated
+), g AS (SELECT DISTINCT head_key, tail_key FROM e WHERE head_key IS NOT NULL AND tail_key IS NOT NULL)
+SELECT question_id, branch_id, count(*) AS n_proofs, round(avg((g.head_key IS NOT NULL)::INT), 6) AS precision FROM y LEFT JOIN g ON g.head_key = y.h AND g.tail_key = y.t GROUP BY 1, 2""".replace("\\\\", "\\")
+SQL["q43_support"] = _B + """, h AS (SELECT question_id, branch_id, e.proof_id AS pid, coalesce(max(contains(raw_text, e.source.quote)::INT), 0) AS held FROM pr p LEFT JOIN (SELECT DISTINCT source_id, raw_text FROM unit) u ON u.source_id = p.e.source.source_id
+  WHERE NOT e.invalidated AND e.source IS NOT NULL GROUP BY question_id, branch_id, e.proof_id, e.source.source_id, e.source.quote)
+SELECT question_id, branch_id, count(*) AS n_sources, CAST(sum(held) AS BIGINT) AS n_supported FROM h GROUP BY 1, 2""".replace("SELECT question_id, branch_id, e.proof_id", "SELECT p.question_id, p.branch_id, e.proof_id").replace("GROUP BY question_id, branch_id, e.proof_id", "GROUP BY p.question_id, p.branch_id, e.proof_id")
+SQL["q44_cost_view"] = "SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS n_access, count(*) FILTER (WHERE event_type = 'click') AS n_calls, count(*) FILTER (WHERE event_type = 'error') AS n_errors, CAST(coalesce(sum(CAST(props->>'$.k' AS BIGINT)), 0) AS BIGINT) AS tokens FROM events GROUP BY 1"
+SQL["q47_quote_locator"] = """WITH h AS (SELECT candidate_id, count(*) FILTER (WHERE contains(raw_text, quote)) AS n_hits FROM (SELECT DISTINCT candidate_id, question_id, quote FROM candidates WHERE quote <> '') JOIN (SELECT DISTINCT question_id, passage_id, doc_index, sent_index, visible, raw_text FROM text_units) USING (question_id) GROUP BY 1)
+SELECT candidate_id, n_hits, CASE WHEN n_hits = 1 THEN 'unique' WHEN n_hits = 0 THEN 'unlocated' ELSE 'multiple_spans' END AS issue FROM h"""
+SQL["q48_sentence_explode"] = "SELECT doc_id, count(*) AS n_sentences, CAST(max(length(s)) AS INT) AS longest, CAST(sum(length(s)) AS BIGINT) AS n_chars FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[.\\n]+')) AS s FROM documents) WHERE s <> '' GROUP BY 1"
+SQL["q50_gold_split"] = "SELECT DISTINCT id, question, received_at FROM phase2_records"
+SQL["q49_localization_audit"] = """WITH c AS (SELECT DISTINCT * FROM candidates), i AS (
+  SELECT question_id, 'hard' AS severity, 'unknown passage' AS message FROM c WHERE passage_id NOT IN (SELECT passage_id FROM text_units)
+  UNION ALL SELECT question_id, 'hard', 'unknown branch' FROM c WHERE NOT EXISTS (SELECT 1 FROM branch_states b WHERE b.question_id = c.question_id AND b.branch_id = c.branch_id)
+  UNION ALL SELECT question_id, 'soft', 'blank head' FROM c WHERE head_surface IS NULL OR trim(head_surface) = ''
+  UNION ALL SELECT question_id, 'hard', 'empty span' FROM c WHERE char_start >= char_end)
+SELECT question_id, severity, message, count(*) AS n FROM i GROUP BY 1, 2, 3"""
+SQL["q52_cache_key"] = "SELECT DISTINCT candidate_id, sha256(concat_ws('|', question_id, constraint_id, branch_id, prompt_hash)) AS cache_key FROM candidates"
+SQL["q59_no_successor_flag"] = _E + """, b AS (SELECT DISTINCT ON (question_id, branch_id) * FROM branch_states
+), x AS (SELECT question_id, branch_id, unnest(map_values(bindings)) AS v FROM b
+), y AS (SELECT DISTINCT question_id, branch_id, regexp_replace(lower(v.entity_id), '[^\\p{L}\\p{N}]', '', 'g') AS head_key FROM x WHERE v.entity_id IS NOT NULL AND NOT v.is_literal)
+SELECT * FROM y WHERE head_key NOT IN (SELECT head_key FROM e WHERE active AND head_key IS NOT NULL)""".replace("\\\\", "\\")
+SQL["q60_replay_chain"] = _B + "SELECT p.question_id, p.e.kind AS kind, count(*) AS n_proofs, count(DISTINCT p.e.proof_id) AS n_ids FROM pr p JOIN nf USING (question_id, branch_id) WHERE NOT p.e.invalidated AND nf.status <> 'INVALIDATED' GROUP BY 1, 2"
+SQL["q24_vector_topk"] = """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""

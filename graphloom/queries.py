@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import score, verify
 from graphloom.functions.text import bare, norm_name
-from graphloom.operators import flatten, graph, orphans, recover
-from graphloom.plans import workload
+from graphloom.operators import audit, flatten, graph, orphans, recover, vectors
+from graphloom.plans import compiler, workload
 from graphloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,3 +198,420 @@ def q51_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q57_link_reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "candidates").select("candidate_id", F.col("tail_surface").alias("surface")).distinct()
     return c.join(graph.link_surfaces(c, _names(spark, sf_dir)), "surface").groupBy("reason").agg(F.count(F.lit(1)).alias("n_candidates"))
+
+
+# Questions over the sales graph: customers lack edges that sentences still tell.
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation")
+
+
+def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workload.customers(spark, sf_dir).where("masked")
+
+
+def _answered(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
+    return recover.answered(workload.customers(spark, sf_dir), _nations(spark, sf_dir), table(spark, sf_dir, "region"), list(only) or None)
+
+
+@query
+def q12_three_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders through their customer and its nation to the region, by edges alone."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    c = workload.customers(spark, sf_dir).where("not masked").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
+    n = _nations(spark, sf_dir).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    return o.join(c, "c_custkey").join(n, "n_nationkey").select("o_orderkey", "n_name", "r_name")
+
+
+@query
+def q18_relation_cue_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _claims(spark, sf_dir)
+    v = F.array(F.lit(workload.CUE), F.lit("LOCATED  IN"), F.lit(" "))
+    return c.select("c_custkey", verify.relation_matches(F.lit("Located in"), v).alias("fits"), verify.cue_in_text(F.col("quote"), v).alias("cue"))
+
+
+@query
+def q19_negation_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _claims(spark, sf_dir).select("c_custkey", verify.negation_before_cue(F.col("quote"), F.array(F.lit(workload.CUE))).alias("negated"))
+
+
+@query
+def q20_qualifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array("name")
+    return _claims(spark, sf_dir).select("c_custkey", verify.qualifier_conflict(F.col("quote"), F.lit(workload.CUE)).alias("conflict"), verify.names_match(F.col("head_surface"), names).alias("direction"))
+
+
+@query
+def q21_verify_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _claims(spark, sf_dir).withColumn("p", F.explode(recover.presets(["core11", "core00", "simple_bind"])))
+    return recover.verified(rows, _nations(spark, sf_dir)).select("c_custkey", F.col("p.preset").alias("preset"), "decision", F.col("verdict_reason").alias("reason"))
+
+
+@query
+def q27_text_commit_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _claims(spark, sf_dir).withColumn("p", F.explode(recover.presets(["core11"])))
+    return recover.verified(rows, _nations(spark, sf_dir)).where("outcome = 'TEXT_COMMIT'").select("c_custkey", F.col("linked_key").alias("bound_nation"), "quote", "char_start", "char_end")
+
+
+@query
+def q28_successor_reentry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order's region; a customer's missing hop is recovered from text and the graph goes on from there."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    return o.join(_answered(spark, sf_dir, "core11"), "c_custkey").select("o_orderkey", "status", "answer", "reason")
+
+
+@query
+def q29_no_reentry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answered(spark, sf_dir, "no_reentry").select("c_custkey", "status", "answer", "reason")
+
+
+@query
+def q30_core_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answered(spark, sf_dir, "core00", "core01", "core10", "core11").groupBy("preset", "status", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def q31_simple_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answered(spark, sf_dir, "simple_bind").select("c_custkey", "status", "answer", "reason")
+
+
+@query
+def q32_notebook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notebook of the loose method: a fact per commit, a judgment per refusal."""
+    rows = _answered(spark, sf_dir, "cog_controlled").where("masked")
+    return rows.select("c_custkey", F.when(F.col("status") == "COMPLETE", "fact").otherwise("judgment").alias("entry"), "reason")
+
+
+@query
+def q33_iterative_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answered(spark, sf_dir, "iterative_text", "verify_graph_off").groupBy("preset", "status", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def q45_method_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per preset: questions, mean F1 and exact matches against the true region, share answered."""
+    rows = _scored(spark, sf_dir)
+    return rows.groupBy("preset").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("f1"), 6).alias("mean_f1"), F.round(F.avg(F.col("em").cast("int")), 6).alias("mean_em"), F.count_if(F.col("status") != "COMPLETE").alias("n_failed"))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold = workload.customers(spark, sf_dir).join(_nations(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", F.col("r_name").alias("gold"))
+    told, g = F.col("answer"), F.col("gold")
+    return _answered(spark, sf_dir).join(gold, "c_custkey").select("c_custkey", "preset", "status", score.token_f1(g, told).alias("f1"), score.exact_match(g, told).alias("em"))
+
+
+@query
+def q46_paired_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean difference of F1 between pairs of presets on the same questions."""
+    s = _scored(spark, sf_dir).select("c_custkey", "preset", "f1")
+    wide = s.groupBy("c_custkey").pivot("preset", [p[0] for p in recover.PRESETS]).agg(F.first("f1"))
+    pairs = [("core00", "core11"), ("core01", "core11"), ("core10", "core11"), ("no_reentry", "core11")]
+    pair = F.explode(F.array(*[F.struct(F.lit(a).alias("baseline"), F.lit(b).alias("other"), (F.col(b) - F.col(a)).alias("d")) for a, b in pairs])).alias("x")
+    return wide.select(pair).groupBy("x.baseline", "x.other").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x.d"), 6).alias("delta"))
+
+
+# Plans, branches, proofs and texts of the evidence tables.
+
+
+PLAN_ROW = "question_id string, cid string, relation string, rank int, terminal boolean, answer string, reason string"
+
+
+def _patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query triples of every question, in order, as one JSON list per question."""
+    kinds = ["triples_evidence/*/query_triple"]
+    leaves = [f"{kinds[0]}/{c}" for c in ("head", "relation", "tail")]
+    nodes = flatten.evidence_nodes(table(spark, sf_dir, "phase2_records"), leaves).where("kind = 'text'")
+    at = F.split("path", "/")
+    rows = nodes.select(F.col("rec_key").alias("question_id"), at[1].cast("int").alias("n"), at[3].alias("field"), "value").distinct()
+    wide = rows.groupBy("question_id", "n").pivot("field", ["head", "relation", "tail"]).agg(F.min("value")).where("head is not null and tail is not null")
+    return wide.groupBy("question_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("n", "head", "relation", "tail")))).alias("patterns"))
+
+
+def _compile_batches(batches):
+    import json
+
+    import pandas as pd
+
+    for pdf in batches:
+        out = []
+        for qid, patterns in zip(pdf["question_id"], pdf["patterns"]):
+            plan = compiler.compile_plan(json.loads(patterns))
+            ranks = compiler.topo_ranks(plan)
+            out += [(qid, c.cid, c.relation, ranks[c.cid], c.terminal, plan.answer, None) for c in plan.constraints] or [(qid, None, None, None, None, None, plan.reason)]
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in PLAN_ROW.split(", ")]).astype({"rank": "Int32"})
+
+
+@query
+def q14_plan_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plans = _patterns(spark, sf_dir).mapInPandas(_compile_batches, PLAN_ROW)
+    return plans.groupBy("question_id").agg(F.count("cid").alias("n_constraints"), F.max("answer").alias("answer"), F.max("reason").alias("reason"))
+
+
+@query
+def q15_topo_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _patterns(spark, sf_dir).mapInPandas(_compile_batches, PLAN_ROW).where("cid is not null").select("question_id", "cid", "rank", "terminal")
+
+
+def _branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per branch; re-delivered rows are identical, so any of them stands for all."""
+    cols = ["question_id", "branch_id"]
+    b = table(spark, sf_dir, "branch_states")
+    return b.withColumn("body", F.to_json(F.struct(*[c for c in b.columns if c not in cols]))).dropDuplicates([*cols, "body"]).drop("body")
+
+
+def _proofs(b: DataFrame) -> DataFrame:
+    return b.select("question_id", "branch_id", "status", F.explode("accepted_evidence").alias("e")).where("e is not null").select("question_id", "branch_id", "status", F.col("e").dropFields("branch_id").alias("e")).select("question_id", "branch_id", "status", "e.*")
+
+
+@query
+def q16_ready_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending constraints of each branch that no active proof answers."""
+    proven = F.transform(F.filter(F.coalesce("accepted_evidence", F.array()), lambda e: e.isNotNull() & ~e["invalidated"]), lambda e: e["constraint_id"])
+    b = _branches(spark, sf_dir)
+    pending = F.filter("pending_constraints", lambda c: c.isNotNull())
+    empty = F.array().cast("array<string>")
+    ready = F.array_except(F.coalesce(pending, empty), F.when(F.col("accepted_evidence").isNull(), empty).otherwise(proven))
+    return b.select("question_id", "branch_id", F.size(ready).alias("n_ready"), F.array_min(ready).alias("first_ready"))
+
+
+@query
+def q17_span_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "candidates").select("candidate_id", "passage_id", "char_start", "char_end", "quote").distinct()
+    u = table(spark, sf_dir, "text_units").select("passage_id", "raw_text").distinct()
+    return c.join(u, "passage_id").select("candidate_id", verify.span_ok(F.col("raw_text"), F.col("char_start"), F.col("char_end"), F.col("quote")).alias("ok"))
+
+
+TOP_K = 8
+
+
+def _visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "text_units").select("question_id", "passage_id", "doc_index", "sent_index", "visible", "raw_text").distinct()
+
+
+@query
+def q23_ordered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first visible units of every question."""
+    w = Window.partitionBy("question_id").orderBy("doc_index", "sent_index", "passage_id")
+    return _visible(spark, sf_dir).where("visible").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= TOP_K).select("question_id", "passage_id", "rank")
+
+
+@query
+def q23b_followup_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of every branch by how many bound names they hold, hidden units included."""
+    names = F.array_distinct(F.transform(F.filter(F.map_values("bindings"), lambda x: x.isNotNull()), lambda x: x["canonical_name"]))
+    b = _branches(spark, sf_dir).select("question_id", "branch_id", F.coalesce(names, F.array().cast("array<string>")).alias("names"))
+    rows = b.join(_visible(spark, sf_dir).drop("visible"), "question_id")
+    points = F.size(F.filter("names", lambda n: n.isNotNull() & (n != "") & F.contains("raw_text", n))) * 2
+    w = Window.partitionBy("question_id", "branch_id").orderBy(F.desc("score"), "doc_index", "sent_index", "passage_id")
+    return rows.withColumn("score", points).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= TOP_K).select("question_id", "branch_id", "passage_id", "score", "rank")
+
+
+@query
+def q23c_lexical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "candidates").select("candidate_id", "passage_id", "quote").distinct()
+    u = table(spark, sf_dir, "text_units").select("passage_id", "raw_text").distinct()
+    words = lambda x: F.array_distinct(F.filter(F.split(norm_name(x), " "), lambda w: w != ""))
+    q, r = words(F.col("quote")), words(F.col("raw_text"))
+    both = F.size(F.array_union(q, r))
+    return c.join(u, "passage_id").select("candidate_id", F.round(F.when(both == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(q, r)) / both), 6).alias("score"))
+
+
+@query
+def q26_relation_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates that are verified: the first three of each constraint of a branch."""
+    c = table(spark, sf_dir, "candidates").select("question_id", "constraint_id", "branch_id", "candidate_id", "retrieval_rank").distinct()
+    w = Window.partitionBy("question_id", "constraint_id", "branch_id").orderBy("retrieval_rank", "candidate_id")
+    return c.withColumn("place", F.row_number().over(w)).where("place <= 3").select("candidate_id", "place")
+
+
+@query
+def q25_candidate_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model answers of the form {"relations": [...]} read back: place of each quote, or why it is dropped."""
+    c = table(spark, sf_dir, "candidates").select("candidate_id", "passage_id", "quote").distinct()
+    content = F.to_json(F.struct(F.array(F.struct("candidate_id", "passage_id", "quote")).alias("relations")))
+    read = c.select(F.from_json(content, "relations array<struct<candidate_id:string,passage_id:string,quote:string>>").alias("j")).select(F.explode("j.relations").alias("r")).select("r.*")
+    u = table(spark, sf_dir, "text_units").select("passage_id", "raw_text").distinct()
+    at = F.position(F.col("quote"), F.col("raw_text"))
+    status = F.when(F.col("raw_text").isNull() | (F.coalesce("quote", F.lit("")) == ""), "DROPPED_PASSAGE").when(at == 0, "NOT_IN_TEXT").otherwise("LOCATED")
+    start = F.when(status == "LOCATED", at - 1).otherwise(F.lit(0))
+    return read.join(u, "passage_id", "left").select("candidate_id", status.alias("status"), start.cast("int").alias("char_start"))
+
+
+@query
+def q34_fork_cap_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Children of every branch and those beyond the cap of active branches."""
+    b = _branches(spark, sf_dir)
+    kids = b.where("parent_branch_id is not null").groupBy("question_id", F.col("parent_branch_id").alias("branch_id")).agg(F.count(F.lit(1)).alias("n_children"))
+    room = F.greatest(F.lit(0), F.coalesce("budget.max_active_branches", F.lit(3)))
+    return b.join(kids, ["question_id", "branch_id"]).select("question_id", "branch_id", "n_children", F.greatest(F.lit(0), F.col("n_children") - room).cast("long").alias("n_truncated"))
+
+
+@query
+def q35_run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status of a question from its branches, by precedence."""
+    b = _branches(spark, sf_dir).where(~F.array_contains(F.coalesce("reason_codes", F.array().cast("array<string>")), "FORKED"))
+    has = lambda s: F.max((F.col("status") == s).cast("int")) == 1
+    n = F.count_if(F.col("status") == "COMPLETE")
+    status = F.when(n > 1, "AMBIGUOUS").when(n == 1, "COMPLETE").when(has("INVALIDATED"), "INVALIDATED").when(has("BUDGET_EXHAUSTED"), "BUDGET_EXHAUSTED").otherwise("EXHAUSTED")
+    return b.groupBy("question_id").agg(status.alias("status"), F.count(F.lit(1)).alias("n_branches"))
+
+
+@query
+def q36_revoke_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What revoking '?place' takes from each branch: its binding, proofs that produce it, and proofs that stand on it."""
+    p = _proofs(_branches(spark, sf_dir)).where("not invalidated")
+    hit = (F.col("produces_variable") == "?place") | F.col("parent_binding_id").endswith("-place")
+    return p.groupBy("question_id", "branch_id").agg(F.count_if(F.coalesce(hit, F.lit(False))).alias("n_revoked"), F.count(F.lit(1)).alias("n_proofs")).where("n_revoked > 0")
+
+
+@query
+def q37_budget_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps spent before each branch of a question, and whether its own still fit."""
+    w = Window.partitionBy("question_id").orderBy("depth", "branch_id")
+    b = _branches(spark, sf_dir).select("question_id", "branch_id", "depth", F.coalesce("budget.steps_used", F.lit(0)).alias("used"), F.coalesce("budget.max_steps", F.lit(32)).alias("most"))
+    spent = F.coalesce(F.sum("used").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return b.select("question_id", "branch_id", spent.cast("long").alias("steps_before"), (spent + F.col("used") <= F.col("most")).alias("fits"))
+
+
+@query
+def q38_active_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of every branch that are not invalidated, by acquisition."""
+    live = F.filter("accepted_evidence", lambda e: e.isNotNull() & ~e["invalidated"])
+    chain = F.transform(F.array_sort(F.transform(live, lambda e: F.struct(e["acquisition_order"], e["proof_id"].alias("id")))), lambda s: s["id"])
+    return _branches(spark, sf_dir).select("question_id", "branch_id", F.array_join(F.coalesce(chain, F.array().cast("array<string>")), ",").alias("chain"))
+
+
+@query
+def q39_reason_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _branches(spark, sf_dir).select("question_id", F.explode("reason_codes").alias("r")).where("r is not null")
+    return r.groupBy("question_id").agg(F.array_join(F.array_sort(F.collect_set("r")), ",").alias("reasons"))
+
+
+@query
+def q40_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(spark, sf_dir).select("candidate_id", score.exact_match(F.col("gold"), F.col("told")).alias("em"))
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate's tail against the true answer of its question."""
+    gold = table(spark, sf_dir, "phase2_records").select(F.col("id").alias("question_id"), F.col("ground_truth_answer").alias("gold")).distinct()
+    return table(spark, sf_dir, "candidates").select("candidate_id", "question_id", F.col("tail_surface").alias("told")).distinct().join(gold, "question_id")
+
+
+@query
+def q41_token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(spark, sf_dir).select("candidate_id", F.round(score.token_f1(F.col("gold"), F.col("told")), 6).alias("f1"))
+
+
+@query
+def q42_proof_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each branch's active proofs whose ends an edge of the graph joins."""
+    p = _proofs(_branches(spark, sf_dir).where(~F.array_contains(F.coalesce("reason_codes", F.array().cast("array<string>")), "FORKED"))).where("not invalidated")
+    p = p.select("question_id", "branch_id", bare(F.col("head_entity_id")).alias("head_key"), bare(F.col("tail_entity_id")).alias("tail_key"))
+    gold = _edges(spark, sf_dir).where("head_key is not null and tail_key is not null").select("head_key", "tail_key").distinct().withColumn("hit", F.lit(1))
+    return p.join(gold, ["head_key", "tail_key"], "left").groupBy("question_id", "branch_id").agg(F.count(F.lit(1)).alias("n_proofs"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("precision"))
+
+
+@query
+def q43_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active proofs with a source, and those whose quote stands in the unit named."""
+    p = _proofs(_branches(spark, sf_dir)).where("not invalidated and source is not null").select("question_id", "branch_id", "proof_id", F.col("source.source_id").alias("source_id"), F.col("source.quote").alias("quote"))
+    u = table(spark, sf_dir, "text_units").select(F.concat_ws(":", "data_version", "question_id", "doc_index", "sent_index").alias("source_id"), "raw_text").distinct()
+    held = F.coalesce(F.max((F.contains("raw_text", "quote")).cast("int")), F.lit(0))
+    each = p.join(u, "source_id", "left").groupBy("question_id", "branch_id", "proof_id", "source_id", "quote").agg(held.alias("held"))
+    return each.groupBy("question_id", "branch_id").agg(F.count(F.lit(1)).alias("n_sources"), F.sum("held").alias("n_supported"))
+
+
+@query
+def q44_cost_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user as an event log: accesses, calls, failures and tokens."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("tokens"))
+    of = lambda t: F.count_if(F.col("event_type") == t)
+    return e.groupBy("user_id").agg(of("view").alias("n_access"), of("click").alias("n_calls"), of("error").alias("n_errors"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+
+
+@query
+def q47_quote_locator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of the question that hold each candidate's quote: one is unique, none or several are ambiguous."""
+    c = table(spark, sf_dir, "candidates").select("candidate_id", "question_id", "quote").distinct().where("quote <> ''")
+    hits = c.join(_visible(spark, sf_dir), "question_id").groupBy("candidate_id").agg(F.count_if(F.contains("raw_text", "quote")).alias("n_hits"))
+    return hits.select("candidate_id", "n_hits", F.when(F.col("n_hits") == 1, "unique").when(F.col("n_hits") == 0, "unlocated").otherwise("multiple_spans").alias("issue"))
+
+
+@query
+def q48_sentence_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of every document: how many and how long."""
+    s = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", r"[.\n]+")).alias("s")).where("s <> ''")
+    return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.max(F.length("s")).alias("longest"), F.sum(F.length("s")).alias("n_chars"))
+
+
+@query
+def q50_gold_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The public side of every question; the gold column stays behind."""
+    return audit.public_view(table(spark, sf_dir, "phase2_records")).select("id", "question", "received_at").distinct()
+
+
+@query
+def q49_localization_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of candidates and branches against the tables they name, by severity."""
+    c = table(spark, sf_dir, "candidates").distinct()
+    u = table(spark, sf_dir, "text_units").select("passage_id").distinct()
+    b = table(spark, sf_dir, "branch_states").select("question_id", "branch_id").distinct()
+    issue = lambda rows, severity, message: rows.select("question_id", F.lit(severity).alias("severity"), F.lit(message).alias("message"))
+    parts = [
+        issue(c.join(u, "passage_id", "left_anti"), "hard", "unknown passage"),
+        issue(c.join(b, ["question_id", "branch_id"], "left_anti"), "hard", "unknown branch"),
+        issue(c.where("head_surface is null or trim(head_surface) = ''"), "soft", "blank head"),
+        issue(c.where("char_start >= char_end"), "hard", "empty span"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("question_id", "severity", "message").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def q52_cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "candidates").select("candidate_id", "question_id", "constraint_id", "branch_id", "prompt_hash").distinct()
+    return c.select("candidate_id", F.sha2(F.concat_ws("|", "question_id", "constraint_id", "branch_id", "prompt_hash"), 256).alias("cache_key"))
+
+
+@query
+def q53_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event properties with the values of secret keys blanked, at any depth."""
+    return table(spark, sf_dir, "events").select("event_id", audit.scrub(F.col("props")).alias("props"))
+
+
+@query
+def q55_scripted_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates whose passage is among the first visible units of their question."""
+    top = q23_ordered_topk(spark, sf_dir).select("question_id", "passage_id")
+    return table(spark, sf_dir, "candidates").select("candidate_id", "question_id", "passage_id").distinct().join(top, ["question_id", "passage_id"], "left_semi").select("candidate_id")
+
+
+@query
+def q58_binding_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answered(spark, sf_dir, "core01").where("masked").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def q59_no_successor_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bound entities of each branch from which no active edge leads on."""
+    bound = _branches(spark, sf_dir).select("question_id", "branch_id", F.explode(F.map_values("bindings")).alias("v")).where("v.entity_id is not null and not v.is_literal")
+    bound = bound.select("question_id", "branch_id", bare(F.col("v.entity_id")).alias("head_key")).distinct()
+    heads = _edges(spark, sf_dir).where("active and head_key is not null").select("head_key").distinct()
+    return bound.join(heads, "head_key", "left_anti").select("question_id", "branch_id", "head_key")
+
+
+@query
+def q60_replay_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of each question's branches that still count, as one number per kind."""
+    b = _branches(spark, sf_dir).where("status <> 'INVALIDATED'").where(~F.array_contains(F.coalesce("reason_codes", F.array().cast("array<string>")), "FORKED"))
+    return _proofs(b).where("not invalidated").groupBy("question_id", "kind").agg(F.count(F.lit(1)).alias("n_proofs"), F.countDistinct("proof_id").alias("n_ids"))
+
+
+@query
+def q24_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors by dot product, for every query vector."""
+    return vectors.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=20)
