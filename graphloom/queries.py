@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import score, verify
 from graphloom.functions.text import bare, norm_name
-from graphloom.operators import audit, flatten, graph, orphans, recover, vectors
+from graphloom.operators import audit, closure, flatten, graph, orphans, recover, vectors
 from graphloom.plans import compiler, workload
 from graphloom.session import table
 
@@ -353,6 +353,30 @@ def q15_topo_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _patterns(spark, sf_dir).mapInPandas(_compile_batches, PLAN_ROW).where("cid is not null").select("question_id", "cid", "rank", "terminal")
 
 
+def _constraint_batches(batches):
+    import json
+
+    import pandas as pd
+
+    columns = [c.split()[0] for c in closure.CONSTRAINT.split(", ")]
+    for pdf in batches:
+        yield pd.DataFrame([r for qid, patterns in zip(pdf["question_id"], pdf["patterns"]) for r in closure.constraint_rows(qid, compiler.compile_plan(json.loads(patterns)))], columns=columns)
+
+
+@query
+def q62_plan_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question's own plan answered from the evidence graph: what is proven, bound and why not more."""
+    from graphloom.session import written
+
+    constraints = written(_patterns(spark, sf_dir).mapInPandas(_constraint_batches, closure.CONSTRAINT), "plans")
+    names = _names(spark, sf_dir).select(bare(F.col("entity_id")).alias("entity_id"), "norm").distinct()
+    quotes = F.concat_ws(" ", F.transform("sources", lambda x: x["quote"]))
+    located = F.coalesce(F.exists("sources", lambda x: x["quote"].isNotNull() & x["title"].isNotNull()), F.lit(False))
+    edges = _edges(spark, sf_dir).select("triple_id", F.col("upstream_index").alias("ord"), F.col("head_key").alias("head_id"), F.col("tail_key").alias("tail_id"), "tail_literal", "relation", "active", quotes.alias("quotes"), located.alias("located"))
+    done = closure.closure(closure.start(constraints), constraints, names, edges, verify=False)
+    return done.select("question_id", F.size("proofs").alias("n_proofs"), F.size("bindings").alias("n_bound"), F.array_join(F.array_sort("reasons"), ",").alias("reasons"))
+
+
 def _branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per branch; re-delivered rows are identical, so any of them stands for all."""
     cols = ["question_id", "branch_id"]

@@ -46,5 +46,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package from where the driver has it, whatever their folder."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    held = spark.sparkContext.environment
+    if root not in held.get("PYTHONPATH", "").split(os.pathsep):
+        held["PYTHONPATH"] = os.pathsep.join(filter(None, [root, held.get("PYTHONPATH", "")]))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
