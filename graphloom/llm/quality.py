@@ -197,7 +197,8 @@ def shape(line: str) -> tuple[str, int, int, int, int, tuple[int, ...]]:
     if letters >= 10 and not stop and 5 * len(known) < len(words):
         plain = _PAIRED.sub("k", " ".join(words))
         hard = sum(map(len, _HARD.findall(plain)))
-        if hard > 0.18 * len(plain) or letters > 26 * len(words):
+        # Names are written in capitals; small letters alone without any known word need less proof.
+        if hard > (0.06 if not known and "," not in bare and bare.islower() else 0.18) * len(plain) or letters > 26 * len(words):
             return ("junk", *told)
     parts = [p.strip() for p in bare.split(",")]
     if len(parts) >= 3 and not stop and not known and all(p and " " not in p for p in parts):
