@@ -1,0 +1,149 @@
+"""Whole sets of questions answered by rounds: graph closure, one recovered hop per branch, forks, and on.
+
+A round takes for each running branch its first open constraint that text may answer: not
+terminal, all it depends on proven, one end a known entity, the other an open variable, not tried
+yet on this branch. The first visible sentences of the question are searched for its candidates;
+the first few are verified and linked; every accepted one forks a child, up to the cap of active
+branches, and closure goes on from the child. Rounds end when no branch has anything left to try.
+
+Tables besides those of ``closure``: units (``question_id, passage_id, doc_index, sent_index, visible,
+raw_text``) and candidates (``question_id, cid, pos, passage_id, head_surface, predicate, tail_surface,
+char_start, char_end, quote``). Groups that are sorted are the sentences of one question and the
+candidates of one constraint, and only their first ``text_top_k`` and ``max_relations`` go on.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from graphloom.functions.text import norm_name
+from graphloom.functions.verify import names_match, span_ok, text_verdict
+from graphloom.operators.closure import PROOF, closure, start
+from graphloom.operators.graph import link_surfaces
+from graphloom.session import written
+
+
+@dataclass(frozen=True)
+class Config:
+    text_binding: bool = True
+    reentry: bool = True
+    verify_text: bool = True
+    verify_graph: bool = True
+    include_terminal: bool = False
+    max_active: int = 3
+    text_top_k: int = 8
+    max_relations: int = 3
+    max_rounds: int = 16
+
+
+def _codes(*columns):
+    return F.filter(F.array(*columns), lambda c: c.isNotNull())
+
+
+def answer(constraints: DataFrame, names: DataFrame, edges: DataFrame, units: DataFrame, candidates: DataFrame, config: Config = Config(), forced: DataFrame | None = None) -> DataFrame:
+    """Finished branches: ``question_id, branch_id, bindings, proofs, reasons, status, depth``."""
+    constraints = written(constraints, "constraints")
+    needed = constraints.select("question_id", F.explode("depends_on").alias("cid")).distinct().withColumn("needed", F.lit(True))
+    asked = written(constraints.join(needed, ["question_id", "cid"], "left"), "asked")
+    total = constraints.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_constraints"))
+    w = Window.partitionBy("question_id").orderBy("doc_index", "sent_index", "passage_id")
+    top = units.where("visible").withColumn("at", F.row_number().over(w)).where(F.col("at") <= config.text_top_k).select("question_id", "passage_id", "raw_text")
+    called = written(names.groupBy("entity_id").agg(F.collect_set("norm").alias("called")), "called")
+    state = start(constraints).withColumns({"tried": F.array().cast("array<string>"), "depth": F.lit(0)})
+    running = closure(state, constraints, names, edges, forced, config.verify_graph)
+    finished: list[DataFrame] = []
+    for _ in range(config.max_rounds):
+        running = running.join(total, "question_id")
+        open_ = running.where(F.size("proofs") < F.col("n_constraints"))
+        finished.append(running.where(F.size("proofs") >= F.col("n_constraints")).drop("n_constraints").withColumn("status", F.lit("COMPLETE")))
+        running = open_.drop("n_constraints")
+        target = _targets(running, asked, names, config)
+        finished.append(running.join(target.select("branch_id"), "branch_id", "left_anti").withColumn("status", F.lit("EXHAUSTED")))
+        if target.isEmpty():
+            break
+        verdicts = written(_verdicts(target, top, candidates, called, names, config), "verdicts")
+        parents = running.join(target.select("branch_id", "cid"), "branch_id")
+        children, parents = _forked(parents, verdicts, config)
+        children, parents = written(children, "children"), written(parents, "parents")
+        finished.append(parents.where("forked").drop("forked").withColumn("status", F.lit("FORKED")))
+        if config.reentry:
+            children = closure(children, constraints, names, edges, forced, config.verify_graph)
+        else:
+            children = children.withColumn("reasons", F.array_union("reasons", F.array(F.lit("REENTRY_DISABLED"))))
+            finished.append(children.withColumn("status", F.lit("EXHAUSTED")))
+            children = children.limit(0)
+        running = children.unionByName(parents.where("not forked").drop("forked"))
+    else:
+        finished.append(running.withColumn("status", F.lit("BUDGET_EXHAUSTED")))
+    out = finished[0]
+    for part in finished[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _targets(running: DataFrame, asked: DataFrame, names: DataFrame, config: Config) -> DataFrame:
+    """The constraint that each branch tries next, with the entity at its known end."""
+    one = names.groupBy("norm").agg(F.countDistinct("entity_id").alias("n"), F.min("entity_id").alias("const")).where("n = 1").drop("n")
+    rows = running.join(asked, "question_id").where(~F.exists("proofs", lambda p: p["cid"] == F.col("cid")) & ~F.array_contains("tried", F.col("cid")))
+    rows = rows.where(F.size(F.array_except("depends_on", F.transform("proofs", lambda p: p["cid"]))) == 0)
+    if not config.include_terminal:
+        rows = rows.where("not terminal and needed")
+    for end in ("head", "tail"):
+        norm = F.when(F.col(f"{end}_kind") == "entity", norm_name(F.col(end)))
+        rows = rows.withColumn("norm", norm).join(one.withColumnRenamed("const", f"{end}_const"), "norm", "left").drop("norm")
+        rows = rows.withColumn(f"{end}_id", F.when(F.col(f"{end}_kind") == "variable", F.col("bindings")[F.col(end)]["id"]).otherwise(F.col(f"{end}_const")))
+        rows = rows.withColumn(f"{end}_open", (F.col(f"{end}_kind") == "variable") & F.col("bindings")[F.col(end)].isNull())
+    forward = F.col("head_id").isNotNull() & F.col("tail_open") & (F.col("tail_value") == "entity")
+    backward = F.col("tail_id").isNotNull() & F.col("head_open")
+    rows = rows.where(forward | backward).withColumn("forward", forward)
+    pick = F.struct("rank", "cid", F.when(F.col("forward"), F.col("head_id")).otherwise(F.col("tail_id")).alias("bound_id"), F.when(F.col("forward"), F.col("tail")).otherwise(F.col("head")).alias("variable"), "forward", "relation", "variants")
+    return written(rows.groupBy("question_id", "branch_id").agg(F.min(F.struct("rank", "cid")).alias("k"), F.min_by(pick, F.struct("rank", "cid")).alias("p")).select("question_id", "branch_id", "p.*"), "targets")
+
+
+def _verdicts(target: DataFrame, top: DataFrame, candidates: DataFrame, called: DataFrame, names: DataFrame, config: Config) -> DataFrame:
+    """Verified and linked candidates of each branch's target, in order."""
+    rows = target.join(candidates, ["question_id", "cid"]).join(top, ["question_id", "passage_id"])
+    w = Window.partitionBy("branch_id").orderBy("pos")
+    rows = rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= config.max_relations)
+    rows = rows.join(called, F.col("bound_id") == F.col("entity_id"), "left").drop("entity_id")
+    bound = F.when(F.col("forward"), F.col("head_surface")).otherwise(F.col("tail_surface"))
+    free = F.when(F.col("forward"), F.col("tail_surface")).otherwise(F.col("head_surface"))
+    span = span_ok(F.col("raw_text"), F.col("char_start"), F.col("char_end"), F.col("quote"))
+    v = text_verdict(span, names_match(bound, F.coalesce("called", F.array().cast("array<string>"))), F.col("quote"), F.col("relation"), F.col("variants"), F.lit(config.verify_text))
+    rows = rows.withColumn("v", v).withColumn("surface", free)
+    links = link_surfaces(rows.select("surface"), names.select("entity_id", F.col("norm").alias("name"), "norm"))
+    rows = rows.join(links.select("surface", "n_matches", F.col("entity_id").alias("linked")), "surface", "left")
+    supported = F.col("v.decision") == "SUPPORTED"
+    outcome = F.when(~supported, F.col("v.reason")).when(F.coalesce("n_matches", F.lit(0)) == 0, "UNLINKABLE").when(F.col("n_matches") > 1, "AMBIGUOUS_ENTITY").when(F.lit(not config.text_binding), "TEXT_BINDING_DISABLED").otherwise("TEXT_COMMIT")
+    return rows.select("branch_id", "cid", "place", "variable", "forward", "bound_id", "linked", outcome.alias("outcome"))
+
+
+def _forked(parents: DataFrame, verdicts: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
+    """(children, parents with ``forked``); a parent without a child has tried its constraint."""
+    taken = verdicts.where("outcome = 'TEXT_COMMIT'").withColumn("n", F.row_number().over(Window.partitionBy("branch_id").orderBy("place")))
+    head, tail = F.when(F.col("forward"), F.col("bound_id")).otherwise(F.col("linked")), F.when(F.col("forward"), F.col("linked")).otherwise(F.col("bound_id"))
+    nil = F.lit(None).cast("string")
+    proof = F.array(F.struct(F.col("cid"), nil.alias("triple_id"), head.alias("head_id"), tail.alias("tail_id"), nil.alias("tail_literal"), F.lit("TEXT_COMMIT").alias("reason"), F.lit(0).cast("long").alias("n_rejected"))).cast(PROOF)
+    born = parents.drop("cid").join(taken.where(F.col("n") <= config.max_active), "branch_id")
+    bound = F.map_concat("bindings", F.map_from_arrays(F.array("variable"), F.array(F.struct(F.col("linked").alias("id"), nil.alias("literal")))))
+    children = born.select("question_id", F.concat("branch_id", F.lit("."), "n").alias("branch_id"), bound.alias("bindings"), F.concat("proofs", proof).alias("proofs"), "reasons", "tried", (F.col("depth") + 1).alias("depth"))
+    told = verdicts.groupBy("branch_id").agg(F.collect_set("outcome").alias("codes"), F.count_if(F.col("outcome") == "TEXT_COMMIT").alias("kids"))
+    codes = F.when(F.col("kids").isNull(), F.array(F.lit("NO_TEXT_CANDIDATE"))).otherwise(F.filter("codes", lambda c: c != "TEXT_COMMIT"))
+    codes = F.array_union(codes, F.when(F.col("kids") > config.max_active, F.array(F.lit("FORK_TRUNCATED"))).otherwise(F.array().cast("array<string>")))
+    out = parents.join(told, "branch_id", "left").select("question_id", "branch_id", "bindings", "proofs", F.array_union("reasons", codes).alias("reasons"), F.array_union("tried", F.array("cid")).alias("tried"), "depth", F.coalesce(F.col("kids") > 0, F.lit(False)).alias("forked"))
+    return children, out
+
+
+def outcomes(branches: DataFrame, answers: DataFrame) -> DataFrame:
+    """Status and answer of each question: several answers are ambiguous, one is complete, and it is
+    uncertain where another branch stayed unfinished. ``answers`` names each question's variable, null for a check."""
+    live = branches.where("status <> 'FORKED'").join(answers, "question_id", "left")
+    told = F.when(F.col("status") == "COMPLETE", F.coalesce(F.col("bindings")[F.col("variable")]["id"], F.col("bindings")[F.col("variable")]["literal"]))
+    done = F.count_if(F.col("status") == "COMPLETE")
+    each = live.withColumn("told", told).groupBy("question_id").agg(F.array_sort(F.collect_set("told")).alias("answers"), done.alias("done"), F.count_if(F.col("status") != "COMPLETE").alias("undone"), F.max((F.col("status") == "BUDGET_EXHAUSTED").cast("int")).alias("cut"))
+    codes = branches.groupBy("question_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("reasons")))).alias("reasons"))
+    status = F.when(F.size("answers") > 1, "AMBIGUOUS").when(F.col("done") > 0, "COMPLETE").when(F.col("cut") == 1, "BUDGET_EXHAUSTED").otherwise("EXHAUSTED")
+    return each.join(codes, "question_id").select("question_id", status.alias("status"), F.when(F.size("answers") == 1, F.col("answers")[0]).alias("answer"), "answers", ((F.col("done") > 0) & (F.col("undone") > 0)).alias("uncertain"), "reasons")

@@ -1,6 +1,6 @@
 """Graph closure of compiled plans for whole sets of questions.
 
-A question's state is one row: bindings of variables, constraints proven, proofs, reasons. The
+The state of a question's branch is one row: bindings of variables, constraints proven, proofs, reasons. The
 constraints of one rank are answered together for all questions by joins with the edges on the
 end that is bound; only the first supported edge of each constraint counts, and it is found by
 an aggregate that combines on the map side, so a hub's edges never stand in one task. As a
@@ -37,7 +37,7 @@ def constraint_rows(question_id: str, plan: Plan) -> list[tuple]:
 
 def start(constraints: DataFrame) -> DataFrame:
     empty = F.lit(None).cast("map<string,struct<id:string,literal:string>>")
-    return constraints.select("question_id").distinct().select("question_id", F.coalesce(empty, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<struct<id:string,literal:string>>"))).alias("bindings"), F.array().cast(PROOF).alias("proofs"), F.array().cast("array<string>").alias("reasons"))
+    return constraints.select("question_id").distinct().select("question_id", F.concat("question_id", F.lit("/b0")).alias("branch_id"), F.coalesce(empty, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<struct<id:string,literal:string>>"))).alias("bindings"), F.array().cast(PROOF).alias("proofs"), F.array().cast("array<string>").alias("reasons"))
 
 
 def _resolved(constraints: DataFrame, names: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def _step(state: DataFrame, constraints: DataFrame, edges: DataFrame, forced: Da
         F.when(vague, "ambiguous").when(h.isNotNull() & t_open, "from_head").when(t.isNotNull() & h_open, "from_tail")
         .when(h.isNotNull() & t.isNotNull(), "both").when(h.isNotNull() & (F.col("tail_kind") == "literal"), "literal").otherwise("wait")
     )
-    asked = rows.select("question_id", "cid", "head", "tail", "tail_value", "relation", "variants", h.alias("h"), t.alias("t"), shape.alias("shape"))
+    asked = rows.select("question_id", "branch_id", "cid", "head", "tail", "tail_value", "relation", "variants", h.alias("h"), t.alias("t"), shape.alias("shape"))
     e = edges.where("active").select("triple_id", "ord", "head_id", "tail_id", "tail_literal", F.col("relation").alias("edge_relation"), "quotes", "located")
     by_head = asked.where("shape in ('from_head', 'both', 'literal')").join(e, F.col("h") == F.col("head_id"))
     by_head = by_head.where("shape = 'from_head' or (shape = 'both' and tail_id = t) or (shape = 'literal' and tail_literal = tail)")
@@ -90,12 +90,12 @@ def _step(state: DataFrame, constraints: DataFrame, edges: DataFrame, forced: Da
     place = F.struct(F.coalesce("pos", F.lit(0)).alias("pos"), F.col("ord"), F.col("triple_id").alias("tie"))
     ok = F.col("v.decision") == "SUPPORTED"
     edge = F.struct("triple_id", "head_id", "tail_id", "tail_literal", F.col("v.reason").alias("reason"))
-    best = pool.groupBy("question_id", "cid").agg(
+    best = pool.groupBy("branch_id", "cid").agg(
         F.min(F.when(ok, place)).alias("first"), F.min_by(edge, F.when(ok, place)).alias("edge"),
         F.collect_set(F.when(~ok, F.col("v.reason"))).alias("refused"),
     )
-    earlier = pool.select("question_id", "cid", place.alias("place")).join(best.select("question_id", "cid", "first"), ["question_id", "cid"]).where("place < first").groupBy("question_id", "cid").agg(F.count(F.lit(1)).alias("n_rejected"))
-    told = asked.join(best, ["question_id", "cid"], "left").join(earlier, ["question_id", "cid"], "left")
+    earlier = pool.select("branch_id", "cid", place.alias("place")).join(best.select("branch_id", "cid", "first"), ["branch_id", "cid"]).where("place < first").groupBy("branch_id", "cid").agg(F.count(F.lit(1)).alias("n_rejected"))
+    told = asked.join(best, ["branch_id", "cid"], "left").join(earlier, ["branch_id", "cid"], "left")
     literal = (F.col("shape") == "from_head") & (F.col("tail_value") == "literal")
     pair = lambda a, b: F.struct(a.alias("id"), b.alias("literal"))
     nil = F.lit(None).cast("string")
@@ -105,14 +105,15 @@ def _step(state: DataFrame, constraints: DataFrame, edges: DataFrame, forced: Da
     proof = F.struct("cid", "edge.triple_id", "edge.head_id", "edge.tail_id", "edge.tail_literal", "edge.reason", F.coalesce("n_rejected", F.lit(0)).alias("n_rejected"))
     reason = F.when(F.col("shape") == "ambiguous", F.array(F.lit("AMBIGUOUS_ENTITY"))).when(~done, F.coalesce("refused", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
     # At most one row per constraint of a plan: these lists are as long as a plan.
-    news = told.groupBy("question_id").agg(
+    news = told.groupBy("branch_id").agg(
         F.collect_list(F.when(done & F.col("variable").isNotNull(), F.struct("variable", "value"))).alias("bound"),
         F.array_sort(F.collect_list(F.when(done, proof))).alias("proven"), F.array_distinct(F.flatten(F.collect_list(reason))).alias("why"),
     )
-    out = state.join(news, "question_id", "left")
+    carried = [c for c in state.columns if c not in ("question_id", "branch_id", "bindings", "proofs", "reasons")]
+    out = state.join(news, "branch_id", "left")
     return out.select(
-        "question_id",
+        "question_id", "branch_id",
         F.map_concat("bindings", F.map_from_entries(F.coalesce("bound", F.array().cast("array<struct<variable:string,value:struct<id:string,literal:string>>>")))).alias("bindings"),
         F.concat("proofs", F.coalesce("proven", F.array()).cast(PROOF)).alias("proofs"),
-        F.array_union("reasons", F.coalesce("why", F.array().cast("array<string>"))).alias("reasons"),
+        F.array_union("reasons", F.coalesce("why", F.array().cast("array<string>"))).alias("reasons"), *carried,
     )

@@ -1,0 +1,64 @@
+import pytest
+from pyspark.sql import functions as F
+
+from graphloom.operators import answer as A
+from graphloom.operators import closure as C
+from graphloom.plans.compiler import compile_plan
+
+PLAN = [{"head": "星河", "relation": "作者", "tail": "?author"}, {"head": "?author", "relation": "毕业于", "tail": "?university"}, {"head": "?university", "relation": "位于", "tail": "?city"}]
+NAMES = [("book", "星河"), ("lin", "林岚"), ("uni", "明川大学"), ("uni", "明川大"), ("city", "临江市"), ("hai", "海川大学"), ("haicity", "海川市"), ("x1", "双名大学"), ("x2", "双名大学"), ("island", "孤岛大学")]
+EDGES = [("t1", 1, "book", "lin", None, "作者", True, "《星河》的作者是林岚。", True), ("t2", 2, "uni", "city", None, "位于", True, "明川大学位于临江市。", True), ("t3", 3, "hai", "haicity", None, "位于", True, "海川大学位于海川市。", True), ("t4", 4, "lin", "hai", None, "任教", True, "林岚任教海川大学", True)]
+TEXT = "林岚毕业于明川大学，后来任教。"
+
+
+def case(text=TEXT, visible=True, quote=None, head="林岚", tail="明川大学", start=0, more=()):
+    quote = text if quote is None else quote
+    return [(text, visible, quote, head, tail, start), *more]
+
+
+OTHER = ("林岚毕业于海川大学。", True, "林岚毕业于海川大学。", "林岚", "海川大学", 0)
+CASES = {
+    "normal": (case(), "COMPLETE", "city", None), "negation": (case("林岚没有毕业于明川大学。"), "EXHAUSTED", None, "NEGATION"), "cooccurrence": (case("林岚和明川大学。"), "EXHAUSTED", None, "COOCCURRENCE"),
+    "qualifier": (case("林岚毕业于明川大学预科。"), "EXHAUSTED", None, "QUALIFIER_MISMATCH"), "reversed": (case(head="明川大学", tail="林岚"), "EXHAUSTED", None, "DIRECTION_MISMATCH"), "span": (case(start=1), "EXHAUSTED", None, "INVALID_SPAN"),
+    "hidden": (case(visible=False), "EXHAUSTED", None, "NO_TEXT_CANDIDATE"), "unlinkable": (case("林岚毕业于无名大学。", tail="无名大学"), "EXHAUSTED", None, "UNLINKABLE"), "same_name": (case("林岚毕业于双名大学。", tail="双名大学"), "EXHAUSTED", None, "AMBIGUOUS_ENTITY"),
+    "alias": (case("林岚毕业于明川大。", tail="明川大"), "COMPLETE", "city", None), "two_answers": (case(more=[OTHER]), "AMBIGUOUS", None, None), "dead_end": (case("林岚毕业于孤岛大学。", tail="孤岛大学"), "EXHAUSTED", None, None), "nothing": ([], "EXHAUSTED", None, "NO_TEXT_CANDIDATE"),
+}
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    plan = compile_plan(PLAN)
+    rows, units, cands = [], [], []
+    for q, (items, *_) in CASES.items():
+        rows += C.constraint_rows(q, plan)
+        for n, (text, visible, quote, head, tail, start) in enumerate(items):
+            units.append((q, f"{q}{n}", n, 0, visible, text))
+            cands.append((q, "c1", n, f"{q}{n}", head, "毕业于", tail, start, start + len(quote), quote))
+    return (
+        spark.createDataFrame(rows, C.CONSTRAINT), spark.createDataFrame(NAMES, "entity_id string, norm string"),
+        spark.createDataFrame(EDGES, "triple_id string, ord long, head_id string, tail_id string, tail_literal string, relation string, active boolean, quotes string, located boolean"),
+        spark.createDataFrame(units, "question_id string, passage_id string, doc_index int, sent_index int, visible boolean, raw_text string"),
+        spark.createDataFrame(cands, "question_id string, cid string, pos int, passage_id string, head_surface string, predicate string, tail_surface string, char_start int, char_end int, quote string"),
+    )
+
+
+def _run(tables, **config):
+    branches = A.answer(*tables, A.Config(**config))
+    names = tables[0].select("question_id", F.lit("?city").alias("variable")).distinct()
+    return {r.question_id: r for r in A.outcomes(branches, names).collect()}
+
+
+def test_cases(tables):
+    got = _run(tables)
+    for q, (_, status, told, reason) in CASES.items():
+        assert (got[q].status, got[q].answer) == (status, told), q
+        assert reason is None or reason in got[q].reasons, q
+    assert got["two_answers"].answers == ["city", "haicity"] and not got["normal"].uncertain
+
+
+def test_switches(tables):
+    off = _run(tables, text_binding=False)
+    assert off["normal"].status == "EXHAUSTED" and "TEXT_BINDING_DISABLED" in off["normal"].reasons
+    still = _run(tables, reentry=False, verify_text=False)
+    assert still["normal"].status == "EXHAUSTED" and "REENTRY_DISABLED" in still["normal"].reasons
+    assert "REENTRY_DISABLED" in still["negation"].reasons
