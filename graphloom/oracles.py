@@ -193,3 +193,9 @@ SELECT * FROM y WHERE head_key NOT IN (SELECT head_key FROM e WHERE active AND h
 SQL["q60_replay_chain"] = _B + "SELECT p.question_id, p.e.kind AS kind, count(*) AS n_proofs, count(DISTINCT p.e.proof_id) AS n_ids FROM pr p JOIN nf USING (question_id, branch_id) WHERE NOT p.e.invalidated AND nf.status <> 'INVALIDATED' GROUP BY 1, 2"
 SQL["q24_vector_topk"] = """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
 SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
+
+SQL["q56_actionable"] = _B + """, x AS (SELECT question_id, branch_id, list_filter(pending_constraints, lambda c: c IS NOT NULL AND NOT list_contains(list_transform(list_filter(coalesce(accepted_evidence, []), lambda e: e IS NOT NULL AND NOT e.invalidated), lambda e: e.constraint_id), c)) AS o FROM b)
+SELECT question_id, branch_id, o[1] AS cid FROM x WHERE len(o) > 0"""
+SQL["q64_snapshot_ids"] = "SELECT DISTINCT entity_id, upstream_id FROM (SELECT entity_id, upstream_id FROM core_entities UNION ALL SELECT entity_id, upstream_id FROM entities) WHERE upstream_id IS NOT NULL"
+SQL["q65_title_lookup"] = "SELECT DISTINCT candidate_id, u.passage_id FROM candidates c JOIN text_units u ON u.title = c.title WHERE c.quote <> '' AND contains(raw_text, quote)"
+SQL["q66_usage_bound"] = "SELECT DISTINCT id, CAST(greatest(1, length(question)) AS INT) AS token_bound FROM phase2_records"

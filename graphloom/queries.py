@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import score, verify
 from graphloom.functions.text import bare, norm_name
-from graphloom.operators import audit, closure, flatten, graph, orphans, recover, vectors
+from graphloom.operators import answer, audit, closure, flatten, graph, orphans, recover, vectors
 from graphloom.plans import compiler, workload
 from graphloom.session import table
 
@@ -363,20 +363,36 @@ def _constraint_batches(batches):
         yield pd.DataFrame([r for qid, patterns in zip(pdf["question_id"], pdf["patterns"]) for r in closure.constraint_rows(qid, compiler.compile_plan(json.loads(patterns)))], columns=columns)
 
 
-@query
-def q62_plan_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every question's own plan answered from the evidence graph: what is proven, bound and why not more."""
-    from graphloom.session import written
-
-    constraints = written(_patterns(spark, sf_dir).mapInPandas(_constraint_batches, closure.CONSTRAINT), "plans")
+def _planned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Constraints of every question's own plan, names and edges of the evidence graph."""
+    constraints = orphans.written(_patterns(spark, sf_dir).mapInPandas(_constraint_batches, closure.CONSTRAINT), "plans")
     names = _names(spark, sf_dir).select(bare(F.col("entity_id")).alias("entity_id"), "norm").distinct()
     quotes = F.concat_ws(" ", F.transform("sources", lambda x: x["quote"]))
     located = F.coalesce(F.exists("sources", lambda x: x["quote"].isNotNull() & x["title"].isNotNull()), F.lit(False))
     edges = _edges(spark, sf_dir).select("triple_id", F.col("upstream_index").alias("ord"), F.col("head_key").alias("head_id"), F.col("tail_key").alias("tail_id"), "tail_literal", "relation", "active", quotes.alias("quotes"), located.alias("located"))
+    return constraints, names, edges
+
+
+@query
+def q62_plan_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question's own plan answered from the evidence graph: what is proven, bound and why not more."""
+    constraints, names, edges = _planned(spark, sf_dir)
     done = closure.closure(closure.start(constraints), constraints, names, edges, verify=False)
     return done.select("question_id", F.size("proofs").alias("n_proofs"), F.size("bindings").alias("n_bound"), F.array_join(F.array_sort("reasons"), ",").alias("reasons"))
 
 
+@query
+def q63_answer_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same plans with missing hops recovered from the question's own sentences."""
+    constraints, names, edges = _planned(spark, sf_dir)
+    c = table(spark, sf_dir, "candidates").select("question_id", F.col("constraint_id").alias("cid"), F.struct("retrieval_rank", "candidate_id").alias("pos"), "passage_id", "head_surface", F.col("predicate_surface").alias("predicate"), "tail_surface", "char_start", "char_end", "quote").distinct()
+    units = _visible(spark, sf_dir)
+    branches = orphans.written(answer.answer(constraints, names, edges, units, c, answer.Config(verify_graph=False, include_terminal=True)), "branches")
+    asked = constraints.where("terminal").groupBy("question_id").agg(F.min(F.when(F.col("tail_kind") == "variable", F.col("tail"))).alias("variable"))
+    out = answer.outcomes(branches, asked)
+    return out.select("question_id", "status", "answer", "uncertain", F.array_join("reasons", ",").alias("reasons"))
+
+
 def _branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per branch; re-delivered rows are identical, so any of them stands for all."""
     cols = ["question_id", "branch_id"]
@@ -639,3 +655,34 @@ def q60_replay_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q24_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest vectors by dot product, for every query vector."""
     return vectors.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=20)
+
+
+@query
+def q56_actionable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first pending constraint of each branch, in the order given, that no active proof answers."""
+    b = _branches(spark, sf_dir).where("pending_constraints is not null")
+    proven = F.transform(F.filter("accepted_evidence", lambda e: e.isNotNull() & ~e["invalidated"]), lambda e: e["constraint_id"])
+    open_ = F.filter("pending_constraints", lambda c: c.isNotNull() & ~F.coalesce(F.array_contains(proven, c), F.lit(False)))
+    return b.select("question_id", "branch_id", F.try_element_at(open_, F.lit(1)).alias("cid")).where("cid is not null")
+
+
+@query
+def q64_snapshot_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all entities with their upstream ids."""
+    both = table(spark, sf_dir, "core_entities").select("entity_id", "upstream_id").unionByName(table(spark, sf_dir, "entities").select("entity_id", "upstream_id"))
+    return both.where("upstream_id is not null").distinct()
+
+
+@query
+def q65_title_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units that carry a candidate's title and hold its quote."""
+    c = table(spark, sf_dir, "candidates").select("candidate_id", "title", "quote").distinct().where("title is not null and quote <> ''")
+    u = table(spark, sf_dir, "text_units").select("passage_id", "title", "raw_text").distinct()
+    return c.join(u, "title").where(F.contains("raw_text", "quote")).select("candidate_id", "passage_id").distinct()
+
+
+@query
+def q66_usage_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every question's prompt at most, where no usage was reported."""
+    r = table(spark, sf_dir, "phase2_records").select("id", "question").distinct()
+    return r.select("id", F.greatest(F.lit(1), F.length("question")).alias("token_bound"))
