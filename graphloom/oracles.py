@@ -199,3 +199,23 @@ SELECT question_id, branch_id, o[1] AS cid FROM x WHERE len(o) > 0"""
 SQL["q64_snapshot_ids"] = "SELECT DISTINCT entity_id, upstream_id FROM (SELECT entity_id, upstream_id FROM core_entities UNION ALL SELECT entity_id, upstream_id FROM entities) WHERE upstream_id IS NOT NULL"
 SQL["q65_title_lookup"] = "SELECT DISTINCT candidate_id, u.passage_id FROM candidates c JOIN text_units u ON u.title = c.title WHERE c.quote <> '' AND contains(raw_text, quote)"
 SQL["q66_usage_bound"] = "SELECT DISTINCT id, CAST(greatest(1, length(question)) AS INT) AS token_bound FROM phase2_records"
+
+
+def _as_list(x: str) -> str:
+    """A JSON list from a list, an object, or a text that spells a list; else null."""
+    spelled = f"TRY_CAST({x}->>'$' AS JSON)"
+    return f"CASE json_type({x}) WHEN 'ARRAY' THEN {x} WHEN 'OBJECT' THEN json_array({x}) WHEN 'VARCHAR' THEN CASE WHEN json_type({spelled}) = 'ARRAY' THEN {spelled} END END"
+
+
+SQL["p3_found"] = f"""WITH j AS (SELECT DISTINCT id, TRY_CAST(phase2_json AS JSON) AS j FROM phase2_records WHERE json_valid(phase2_json)
+), a AS (SELECT id, {_as_list("json_extract(j, '$.triples_evidence')")} AS l FROM j WHERE json_type(j) = 'OBJECT'
+), b AS (SELECT id, i, json_extract(l, '$[' || i || ']') AS o FROM (SELECT id, l, unnest(range(CAST(json_array_length(l) AS BIGINT))) AS i FROM a WHERE l IS NOT NULL)
+), c AS (SELECT id, i, {_as_list("json_extract(o, '$.candidate_evidences')")} AS l FROM b WHERE json_type(o) = 'OBJECT'
+), d AS (SELECT id, i, k, json_extract(l, '$[' || k || ']') AS o FROM (SELECT id, i, l, unnest(range(CAST(json_array_length(l) AS BIGINT))) AS k FROM c WHERE l IS NOT NULL)
+), s AS (SELECT DISTINCT ON (question_id, branch_id) question_id || '/' || branch_id AS key, accepted_evidence, bindings FROM branch_states
+), e AS (SELECT key, unnest(accepted_evidence) AS e, generate_subscripts(accepted_evidence, 1) - 1 AS i FROM s
+), m AS (SELECT key, unnest(map_keys(bindings)) AS name, unnest(map_values(bindings)) AS v FROM s)
+SELECT 'phase2_records' AS rec_table, id AS rec_key, 'triples_evidence/' || i || '/candidate_evidences/' || k AS child_path FROM d WHERE json_type(o) = 'OBJECT'
+UNION SELECT 'branch_states', key, 'accepted_evidence/' || i FROM e WHERE e IS NOT NULL
+UNION SELECT 'branch_states', key, 'accepted_evidence/' || i || '/source' FROM e WHERE e.source IS NOT NULL
+UNION SELECT 'branch_states', key, 'bindings/' || name FROM m WHERE v IS NOT NULL"""
