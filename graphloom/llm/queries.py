@@ -144,3 +144,30 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and reached share of each source."""
     return _mix(spark, sf_dir)[1]
+
+
+def _sql_looks(x: str) -> str:
+    """SQL for the looks of a text, by the same tables of characters."""
+    one = {a: b for a, b in canonical_text._ONE.items() if b} | canonical_text.LOOK_ALIKES
+    for n in range(0x370, 0x530):
+        looks = canonical_text.skeleton(chr(n))
+        if looks != chr(n) and len(looks) == 1:
+            one[chr(n)] = looks
+    # Full-width letters have no look-alikes of their own, so one pass does.
+    drop = "".join(a for a, b in canonical_text._ONE.items() if not b)
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    return f"nfc_normalize(translate({x}, {quoted(''.join(one) + drop)}, {quoted(''.join(one.values()))}))"
+
+
+SQL["p2_found"] = f"""WITH t AS (SELECT triple_id, unnest(sources) AS s, generate_subscripts(sources, 1) - 1 AS p FROM triples
+), q AS (
+  SELECT DISTINCT 'candidate' AS quote_kind, candidate_id AS owner_key, 0 AS quote_pos, passage_id AS unit_key, quote FROM candidates WHERE quote <> ''
+  UNION SELECT 'triple', triple_id, CAST(p AS INT), s.source_id, s.quote FROM t WHERE s.quote <> ''
+), u AS (
+  SELECT DISTINCT 'candidate' AS quote_kind, passage_id AS unit_key, raw_text FROM text_units
+  UNION SELECT 'triple', data_version || ':' || question_id || ':' || doc_index || ':' || sent_index, raw_text FROM text_units
+), x AS (
+  SELECT quote_kind, owner_key, quote_pos, bool_or(contains(raw_text, quote)) AS held, bool_or({_sql_looks("quote")} <> '' AND contains({_sql_looks("raw_text")}, {_sql_looks("quote")})) AS seen
+  FROM q JOIN u USING (quote_kind, unit_key) GROUP BY 1, 2, 3
+)
+SELECT quote_kind, owner_key, quote_pos FROM x WHERE seen AND NOT held"""
