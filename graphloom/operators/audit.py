@@ -5,10 +5,15 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.functions.text import bare
+from graphloom.operators.flatten import evidence_nodes
+from graphloom.operators.orphans import triple_field
+from graphloom.session import written
+
 #: Columns that hold the truth of a question.
 GOLD = {"answer", "ground_truth_answer", "gold_answer", "supporting_facts", "evidences", "gold_links", "missing_edges"}
 #: Parts of keys whose values are secret.
@@ -42,3 +47,71 @@ def scrub(texts: pd.Series) -> pd.Series:
             return text
 
     return texts.map(one)
+
+
+ROW, KG, EVIDENCE = "triples_evidence/*", "triples_evidence/*/kg_triples/*", "triples_evidence/*/candidate_evidences/*"
+FIELDS = {ROW: ["query_triple_index"], KG: ["kg_triple_id", "head_entity_id", "tail_entity_id", "relation"], EVIDENCE: ["title", "paragraph_idx", "sent_idx", "evidence", "context"]}
+
+
+def _items(nodes: DataFrame, kind: str, depth: int) -> DataFrame:
+    """One row per item of a list with its fields as text; ``is_object`` tells what the others are."""
+    here = nodes.where(F.col("node_type").isin(kind, *[f"{kind}/{f}" for f in FIELDS[kind]]))
+    fields = [F.max(F.when(F.col("node_type") == f"{kind}/{f}", F.col("value"))).alias(f) for f in FIELDS[kind]]
+    numbers = [F.max(F.when((F.col("node_type") == f"{kind}/{f}") & (F.col("kind") == "number") & F.col("value").rlike(r"^-?\d+$"), F.col("value"))).try_cast("long").alias(f"{f}_int") for f in FIELDS[kind]]
+    whole = F.max((F.col("node_type") == kind) & (F.col("kind") == "object")).alias("is_object")
+    return here.groupBy(F.col("rec_key").alias("question_id"), F.substring_index("path", "/", depth).alias("path")).agg(whole, *fields, *numbers)
+
+
+def _number(key: Column) -> Column:
+    """The number of a bare key, which is its id without the namespace."""
+    return F.regexp_extract(key, r"(\d+)$", 1).try_cast("long")
+
+
+def phase2_issues(phase2: DataFrame, triples: DataFrame, entities: DataFrame, units: DataFrame) -> DataFrame:
+    """Faults of evidence records against the tables they name: ``question_id, path, severity, message``.
+
+    Ids of records carry no namespace, so ends agree by number; relations agree as bare text. The
+    plan is not in the tables: a query index has to be below the number of the record's own triples.
+    """
+    types = [t for kind, fields in FIELDS.items() for t in (kind, *[f"{kind}/{f}" for f in fields])]
+    nodes = written(evidence_nodes(phase2, types), "nodes")
+    rows, kg, told = _items(nodes, ROW, 2), _items(nodes, KG, 4), _items(nodes, EVIDENCE, 4)
+    issue = lambda df, severity, message: df.select("question_id", "path", F.lit(severity).alias("severity"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
+
+    empty = phase2.select(F.col("id").alias("question_id")).distinct().join(rows.select("question_id").distinct(), "question_id", "left_anti").withColumn("path", F.lit("triples_evidence"))
+    n = rows.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    at = F.col("query_triple_index_int")
+    rows = rows.join(n, "question_id").withColumn("in_range", F.coalesce((at >= 0) & (at < F.col("n_rows")), F.lit(False)))
+
+    record = triples.select(F.col("upstream_index").cast("string").alias("kg_triple_id"), F.lit(True).alias("known"), _number(bare(triple_field("head_id"))).alias("head"), _number(bare(triple_field("tail_id"))).alias("tail"), bare(triple_field("relation")).alias("told_relation"))
+    named = kg.where("is_object").join(record, "kg_triple_id", "left")
+    found = named.where("known")
+    differs = lambda item, held: item.isNotNull() & ~item.eqNullSafe(held)
+    known = entities.select(F.col("upstream_id").cast("long").alias("number")).where("number is not null").distinct()
+    ends = kg.where("is_object").select("question_id", "path", F.explode(F.array("head_entity_id_int", "tail_entity_id_int")).alias("number")).where("number is not null")
+
+    # A fault of the index hides the evidences below, as their triple is not known.
+    told = told.where("is_object").withColumn("row", F.substring_index("path", "/", 2)).join(rows.where("in_range").select("question_id", F.col("path").alias("row")), ["question_id", "row"])
+    told = told.withColumn("quote", F.coalesce(F.nullif("evidence", F.lit("")), F.nullif("context", F.lit(""))))
+    sentences = units.select("question_id", "doc_index", "sent_index", F.col("title").alias("unit_title"), "raw_text").distinct()
+    agrees = lambda asked, held: asked.isNull() | F.coalesce(asked == held, F.lit(False))
+    hit = agrees(F.col("paragraph_idx_int"), F.col("doc_index")) & agrees(F.col("sent_idx_int"), F.col("sent_index")) & agrees(F.nullif("title", F.lit("")), F.col("unit_title")) & (F.col("quote").isNull() | F.contains("raw_text", "quote"))
+    located = told.join(sentences, "question_id").groupBy("question_id", "path", "sent_idx_int").agg(F.count_if(hit).alias("n_hits"))
+
+    parts = [
+        issue(empty, "hard", "no triples evidence"),
+        issue(rows.where("not in_range"), "hard", "query index out of range"),
+        issue(kg.where("not is_object"), "hard", "kg triple is not an object"),
+        issue(named.where("known is null"), "hard", "kg triple id missing"),
+        issue(found.where(differs(F.col("head_entity_id"), F.col("head").cast("string"))), "hard", "kg triple head mismatch"),
+        issue(found.where(differs(F.col("tail_entity_id"), F.col("tail").cast("string"))), "hard", "kg triple tail mismatch"),
+        issue(found.where(~bare(F.col("relation")).eqNullSafe(F.col("told_relation"))), "hard", "kg triple relation mismatch"),
+        issue(ends.join(known, "number", "left_anti"), "hard", "kg entity id missing"),
+        issue(located.where("sent_idx_int is not null and n_hits = 0"), "hard", "sentence index does not locate quote"),
+        issue(located.where("sent_idx_int is null and n_hits = 0"), "soft", "quote unlocated"),
+        issue(located.where("n_hits > 1"), "soft", "quote in multiple spans"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -611,6 +611,14 @@ def q49_localization_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("question_id", "severity", "message").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def q49b_evidence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The issues of q49 and those of the evidence records against triples, entities and sentences."""
+    known = table(spark, sf_dir, "core_entities").select("upstream_id").unionByName(table(spark, sf_dir, "entities").select("upstream_id"))
+    found = audit.phase2_issues(table(spark, sf_dir, "phase2_records").select("id", "phase2_json").distinct(), table(spark, sf_dir, "triples"), known, table(spark, sf_dir, "text_units"))
+    return q49_localization_audit(spark, sf_dir).unionByName(found.groupBy("question_id", "severity", "message").agg(F.count(F.lit(1)).alias("n")))
+
+
 @query
 def q52_cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "candidates").select("candidate_id", "question_id", "constraint_id", "branch_id", "prompt_hash").distinct()
