@@ -116,6 +116,11 @@ def ready_for_recovery(plan: Plan, proven: set[str], attempts: dict[str, int], l
     return [cid for _, _, cid in sorted(out)]
 
 
+def dependencies(plan: Plan) -> set[tuple[str, str]]:
+    """(read, written) for every variable that some constraint writes from another."""
+    return {(t.text, w) for c in plan.constraints for t in (c.head, c.tail) if t.kind == "variable" and t.text not in c.writes for w in c.writes}
+
+
 def dependent_variables(plan: Plan, variable: str) -> set[str]:
     """The variable and all that are written from it, directly or not."""
     doomed = {variable}

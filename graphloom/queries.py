@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import score, verify
 from graphloom.functions.text import bare, norm_name
-from graphloom.operators import answer, audit, closure, flatten, graph, orphans, recover, vectors
+from graphloom.operators import answer, audit, closure, flatten, graph, orphans, recover, revoke, vectors
 from graphloom.plans import compiler, workload
 from graphloom.session import table
 
@@ -505,6 +505,23 @@ def q36_revoke_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("question_id", "branch_id").agg(F.count_if(F.coalesce(hit, F.lit(False))).alias("n_revoked"), F.count(F.lit(1)).alias("n_proofs")).where("n_revoked > 0")
 
 
+def _dependency_batches(batches):
+    import json
+
+    import pandas as pd
+
+    for pdf in batches:
+        yield pd.DataFrame([(qid, *pair) for qid, patterns in zip(pdf["question_id"], pdf["patterns"]) for pair in compiler.dependencies(compiler.compile_plan(json.loads(patterns)))], columns=["question_id", "reads", "writes"])
+
+
+@query
+def q36b_revoke_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What revoking each variable of a branch takes from it, through all that depends on it."""
+    plans = _patterns(spark, sf_dir).mapInPandas(_dependency_batches, "question_id string, reads string, writes string")
+    rows = revoke.revocations(_branches(spark, sf_dir), plans)
+    return rows.select("question_id", "branch_id", "variable", "doomed", "dropped", F.size("revoked").alias("n_revoked"), F.array_join(F.array_sort("revoked"), ",").alias("revoked"), "n_proofs")
+
+
 @query
 def q37_budget_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps spent before each branch of a question, and whether its own still fit."""
