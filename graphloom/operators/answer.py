@@ -39,6 +39,14 @@ class Config:
     max_rounds: int = 16
 
 
+def followed(asked: DataFrame, units: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` units of each branch and constraint by two points for every bound name (``names``) and for the ``relation`` that they hold."""
+    held = F.size(F.filter("names", lambda n: n.isNotNull() & (n != "") & F.contains("raw_text", n)))
+    told = F.coalesce((F.col("relation") != "") & F.contains("raw_text", "relation"), F.lit(False)).cast("int")
+    w = Window.partitionBy("question_id", "branch_id", "cid").orderBy(F.desc("score"), "doc_index", "sent_index", "passage_id")
+    return asked.join(units, "question_id").withColumn("score", (held + told) * 2).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def _codes(*columns):
     return F.filter(F.array(*columns), lambda c: c.isNotNull())
 

@@ -447,6 +447,26 @@ def q23b_followup_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("score", points).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= TOP_K).select("question_id", "branch_id", "passage_id", "score", "rank")
 
 
+def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relation of every constraint of a question; the first variant stands for one that is missing."""
+    row = "triples_evidence/*"
+    kinds = [f"{row}/query_triple_index", f"{row}/query_triple/relation", f"{row}/query_triple/relation_variants/*"]
+    nodes = flatten.evidence_nodes(table(spark, sf_dir, "phase2_records"), kinds)
+    of = lambda n: F.when(F.col("node_type") == kinds[n], F.col("value"))
+    told = F.coalesce(F.nullif(F.max(of(1)), F.lit("")), F.min_by(of(2), F.when(F.col("node_type") == kinds[2], F.col("pos"))))
+    rows = nodes.groupBy(F.col("rec_key").alias("question_id"), F.split("path", "/")[1].alias("n")).agg(F.max(of(0)).alias("given"), told.alias("relation"))
+    return rows.groupBy("question_id", F.concat(F.lit("c"), F.coalesce("given", "n")).alias("cid")).agg(F.min_by("relation", F.col("n").cast("int")).alias("relation"))
+
+
+@query
+def q23d_followup_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of every branch and pending constraint by the names bound and the relation that they hold, hidden units included."""
+    names = F.transform(F.filter(F.map_values("bindings"), lambda x: x.isNotNull()), lambda x: x["canonical_name"])
+    asked = F.array_distinct(F.filter("pending_constraints", lambda c: c.isNotNull()))
+    b = _branches(spark, sf_dir).select("question_id", "branch_id", F.coalesce(names, F.array().cast("array<string>")).alias("names"), F.explode_outer(asked).alias("cid"))
+    return answer.followed(b.join(_relations(spark, sf_dir), ["question_id", "cid"], "left"), _visible(spark, sf_dir), TOP_K).select("question_id", "branch_id", "cid", "passage_id", "score", "rank")
+
+
 @query
 def q23c_lexical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "candidates").select("candidate_id", "passage_id", "quote").distinct()

@@ -1,0 +1,8 @@
+from graphloom.operators import answer
+
+
+def test_followup_counts_bindings_and_relation(spark):
+    units = spark.createDataFrame([("q", f"u{n}", n, 0, t) for n, t in enumerate(["nothing", "Lin here", "Lin studied at", "studied at"])], "question_id string, passage_id string, doc_index int, sent_index int, raw_text string")
+    asked = spark.createDataFrame([("q", "b", "c0", ["Lin", "Lin", "", None], "studied at"), ("q", "b", "c1", ["Lin"], None), ("q", "b", None, [], None)], "question_id string, branch_id string, cid string, names array<string>, relation string")
+    got = {c: [(r.passage_id, r.score) for r in sorted(answer.followed(asked, units, 3).collect(), key=lambda r: r.rank) if r.cid == c] for c in ("c0", "c1", None)}
+    assert got == {"c0": [("u2", 6), ("u1", 4), ("u3", 2)], "c1": [("u1", 2), ("u2", 2), ("u0", 0)], None: [("u0", 0), ("u1", 0), ("u2", 0)]}
