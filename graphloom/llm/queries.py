@@ -83,24 +83,69 @@ def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed names of every candidate, re-delivered rows once."""
     sides = F.array(*[F.struct(F.lit(s).alias("surface_side"), F.col(f"{s}_surface").alias("surface")) for s in ("head", "tail")])
-    return table(spark, sf_dir, "candidates").select("candidate_id", F.explode(sides).alias("s")).select("candidate_id", "s.*")
+    rows = table(spark, sf_dir, "candidates").select("candidate_id", "head_surface", "tail_surface").distinct()
+    return rows.select("candidate_id", F.explode(sides).alias("s")).select("candidate_id", "s.*")
+
+
+def _mapped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _surfaces(spark, sf_dir)
+    return rows, value_map.map_values(rows, "surface", table(spark, sf_dir, "core_entities"), "entity_id", "canonical_name", "aliases")
 
 
 @query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _surfaces(spark, sf_dir)
-    matched, unmatched = value_map.map_values(rows, "surface", table(spark, sf_dir, "core_entities"), "entity_id", "canonical_name", "aliases")
-    known = matched.select("surface", F.col("entry").alias("entity_id")).unionByName(unmatched.select("surface", F.lit("").alias("entity_id")))
-    return rows.join(known, "surface").select("candidate_id", "surface_side", "entity_id").distinct()
+    rows, mapped = _mapped(spark, sf_dir)
+    return rows.join(mapped, "surface").select("candidate_id", "surface_side", F.coalesce("entry", F.lit("")).alias("entity_id"))
 
 
 @query
 def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surfaces that name no entry, with the number of candidates' sides that hold each."""
-    rows = _surfaces(spark, sf_dir).distinct()
-    unmatched = value_map.map_values(rows, "surface", table(spark, sf_dir, "core_entities"), "entity_id", "canonical_name", "aliases")[1]
-    return rows.join(unmatched, "surface").groupBy("surface").agg(F.count(F.lit(1)).alias("n_rows"))
+    rows, mapped = _mapped(spark, sf_dir)
+    counts = rows.where("surface is not null").groupBy("surface").agg(F.count(F.lit(1)).alias("n_rows"))
+    known = mapped.where("entry is not null").select("surface")
+    return counts.where(F.col("surface").rlike(r"(?U)\S")).join(known, "surface", "left_anti")
+
+
+def _sql_words(x: str) -> str:
+    fold = "translate(lower({}), '{}', '{}')".format(x, *value_map._accents())
+    plain = f"regexp_replace(regexp_replace({fold}, '[\\p{{M}}\\p{{Cf}}]', '', 'g'), '\\([^()]*\\)[^\\p{{L}}\\p{{N}}]*$', '')".replace("\\\\", "\\")
+    words = f"list_filter(string_split(regexp_replace({plain}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')".replace("\\\\", "\\")
+    told = f"list_filter({words}, lambda w: w NOT IN ({', '.join(map(repr, value_map.FILLERS))}))"
+    return f"CASE WHEN len({told}) > 0 THEN {told} ELSE {words} END"
+
+
+#: Every typed word is compared with every anchor, and every pair is verified: no segments.
+_P4_SQL = f"""WITH sides AS (
+  SELECT DISTINCT candidate_id, 'head' AS surface_side, head_surface AS surface FROM candidates UNION SELECT candidate_id, 'tail', tail_surface FROM candidates
+), rows AS (SELECT * FROM sides WHERE regexp_matches(surface, '[^\\s\\p{{Z}}\\x1c-\\x1f\\x85]')
+), typed AS (SELECT DISTINCT surface, {_sql_words("surface")} AS words FROM rows
+), listed AS (SELECT DISTINCT entry, {_sql_words("n")} AS words FROM (SELECT entity_id AS entry, unnest(list_concat([canonical_name], coalesce(aliases, []))) AS n FROM core_entities) WHERE n IS NOT NULL
+), names AS (SELECT *, row_number() OVER () AS no FROM listed WHERE len(words) > 0
+), each AS (SELECT no, entry, words, word, list_sort(list_filter(list_distinct(words), lambda w: w <> word)) AS rest FROM (SELECT no, entry, words, unnest(list_distinct(words)) AS word FROM names)
+), used AS (SELECT word, count(DISTINCT entry) AS n FROM each GROUP BY 1
+), seen AS (SELECT DISTINCT a.word FROM each a JOIN each b ON a.entry = b.entry AND a.rest = b.rest AND length(a.word) > 1 AND length(b.word) = 1 AND a.word[1] = b.word
+), told AS (SELECT each.*, n, length(word) > 1 AND coalesce(n <= (SELECT max(n) FROM used JOIN seen USING (word)), false) AS cut FROM each JOIN used USING (word)
+), least AS (SELECT no, any_value(entry) AS entry, min(n) AS low, bool_and(length(word) = 1) AS letters, list(word) AS all_words, list(word) FILTER (WHERE cut) AS cuts FROM told GROUP BY no
+), ref AS (SELECT least.*, word AS anchor FROM least JOIN told USING (no) WHERE n <= greatest(low, (SELECT sqrt(count(DISTINCT entry)) FROM names)) AND (length(word) > 1 OR letters)
+), near AS (
+  SELECT word, anchor, levenshtein(word, anchor) AS e FROM (SELECT DISTINCT unnest(words) AS word FROM typed) CROSS JOIN (SELECT DISTINCT anchor FROM ref) WHERE levenshtein(word, anchor) <= length(anchor) // 4
+), pairs AS (
+  SELECT row_number() OVER () AS pair, surface, entry, e, list_distinct(list_filter(words, lambda w: w <> word)) AS mine, list_filter(all_words, lambda w: w <> ref.anchor) AS others, coalesce(cuts, []) AS cuts
+  FROM (SELECT surface, words, unnest(list_distinct(words)) AS word FROM typed) JOIN near USING (word) JOIN ref ON ref.anchor = near.anchor
+), kept AS (SELECT * FROM pairs WHERE len(mine) > 0 OR len(others) = 0
+), costs AS (
+  SELECT pair, m, min(CASE WHEN length(m) < length(o) AND regexp_matches(o, '^' || array_to_string(string_split(m, ''), '.*')) AND (length(m) > 1 OR list_contains(cuts, o)) THEN 0 WHEN levenshtein(m, o) <= length(o) // 4 THEN levenshtein(m, o) END) AS c
+  FROM (SELECT pair, cuts, m, unnest(others) AS o FROM (SELECT pair, cuts, others, unnest(mine) AS m FROM kept)) GROUP BY 1, 2
+), sums AS (SELECT pair, sum(c) AS s, count(c) AS n FROM costs GROUP BY 1
+), good AS (
+  SELECT surface, entry, min({{'e': e + coalesce(s, 0), 'm': greatest(0, len(others) - len(mine))}}) AS cost FROM kept LEFT JOIN sums USING (pair) WHERE coalesce(n, 0) = len(mine) GROUP BY 1, 2
+), best AS (SELECT surface, entry FROM good QUALIFY cost = min(cost) OVER (PARTITION BY surface) AND count(*) OVER (PARTITION BY surface, cost) = 1
+) """
+SQL["p4_found"] = _P4_SQL + "SELECT candidate_id, surface_side, coalesce(entry, '') AS entity_id FROM rows LEFT JOIN best USING (surface)"
+SQL["p4_unmatched"] = _P4_SQL + "SELECT surface, count(*) AS n_rows FROM rows WHERE surface NOT IN (SELECT surface FROM best) GROUP BY 1"
 
 
 def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
