@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import bare
 from graphloom.llm import canonical_text, dedupe, mixing, value_map
 from graphloom.llm.bpe import encode_corpus
-from graphloom.llm.quality import text_quality
+from graphloom.llm.quality import NO_SYMBOL, STOP_END, WORD_RUN, _words, text_counts, text_quality
 from graphloom.operators.orphans import triple_field
 from graphloom.session import table, written
 
@@ -82,6 +82,23 @@ def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_quality(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+@query
+def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain counts of every text as it stands."""
+    return text_counts(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+_STOP_SQL = STOP_END.replace("'", "''")
+SQL["p8_counts"] = f"""WITH w AS (
+  SELECT doc_id, text, regexp_extract_all(text, '{WORD_RUN}') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\p{{Z}}\\p{{C}}]')) AS lines, length(regexp_replace(text, '{NO_SYMBOL}', '', 'g')) AS symbols FROM documents
+), c AS (
+  SELECT *, len(words) AS n, len(lines) AS m, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS letters, len(list_filter(words, lambda x: lower(x) IN ({", ".join("'" + w.replace("'", "''") + "'" for w in sorted(_words()[0]))}))) AS common,
+    len(list_filter(lines, lambda x: regexp_matches(x, '{_STOP_SQL}'))) AS stops FROM w
+)
+SELECT doc_id, CAST(n AS INT) AS n_words, CAST(m AS INT) AS n_lines, round(CASE WHEN n > 0 THEN letters / n END, 6) AS mean_word_length, round(CASE WHEN symbols + letters > 0 THEN symbols / (symbols + letters) END, 6) AS symbol_ratio,
+  round(CASE WHEN m > 0 THEN stops / m END, 6) AS stop_line_share, round(CASE WHEN n > 0 THEN common / n END, 6) AS common_word_share FROM c""".replace("\\\\p", "\\p")
+
+
 def _surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed names of every candidate, re-delivered rows once."""
     sides = F.array(*[F.struct(F.lit(s).alias("surface_side"), F.col(f"{s}_surface").alias("surface")) for s in ("head", "tail")])
