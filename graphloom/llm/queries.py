@@ -210,14 +210,16 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql_looks(x: str) -> str:
     """SQL for the looks of a text, by the same tables of characters."""
-    one = {a: b for a, b in canonical_text._ONE.items() if b} | canonical_text.LOOK_ALIKES
-    for n in range(0x370, 0x530):
+    fold = {chr(n): b for n, b in canonical_text._FOLD.items()}
+    one = {a: canonical_text.LOOK_ALIKES.get(b, b) for a, b in fold.items() if len(b) == 1} | canonical_text.LOOK_ALIKES
+    for n in [*range(0x370, 0x590), *range(0x1F00, 0x2000)]:
         looks = canonical_text.skeleton(chr(n))
-        if looks != chr(n) and len(looks) == 1:
+        if looks != chr(n) and len(looks) == 1 and chr(n) not in fold:
             one[chr(n)] = looks
-    # Full-width letters have no look-alikes of their own, so one pass does.
-    drop = "".join(a for a, b in canonical_text._ONE.items() if not b)
+    drop = "".join(a for a, b in fold.items() if not b)
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    for a, b in fold.items():
+        x = f"replace({x}, '{a}', '{b}')" if len(b) > 1 else x
     return f"nfc_normalize(translate({x}, {quoted(''.join(one) + drop)}, {quoted(''.join(one.values()))}))"
 
 
@@ -233,3 +235,24 @@ SQL["p2_found"] = f"""WITH t AS (SELECT triple_id, unnest(sources) AS s, generat
   FROM q JOIN u USING (quote_kind, unit_key) GROUP BY 1, 2, 3
 )
 SELECT quote_kind, owner_key, quote_pos FROM x WHERE seen AND NOT held"""
+
+
+def _sql_table_form(looks: str) -> str:
+    """The table's form of looks without accents on shared letters."""
+    to = {chr(n): c for n, c in canonical_text._TO_CYRILLIC.items()}
+    latin = "".join(c for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" if c not in to)
+    return f"CASE WHEN regexp_matches({looks}, '[Ѐ-ԯ]') AND NOT regexp_matches(strip_accents({looks}), '[{latin}]') THEN nfc_normalize(translate({looks}, '{''.join(to)}', '{''.join(to.values())}')) ELSE {looks} END"
+
+
+_RUNS = canonical_text.LETTERS.replace("{Is", "{")
+_FOLDED = "".join(chr(n) for n in canonical_text._FOLD).replace("'", "''")
+_SCRIPTS = " + ".join(f"CAST(regexp_matches(token, '\\p{{{a}}}') AS INT)" for a in (*canonical_text.ALPHABETS, "Han"))
+SQL["p2_forms"] = f"""WITH t AS (SELECT unnest(sources) AS s FROM triples
+), c AS (SELECT quote AS text FROM candidates UNION ALL SELECT s.quote FROM t UNION ALL SELECT raw_text FROM text_units UNION ALL SELECT raw_text FROM text_units
+), tok AS (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '(?s)[{_RUNS}]+|[^{_RUNS}]+')) AS token FROM c WHERE text IS NOT NULL) GROUP BY 1
+), k AS (SELECT token, n, {_sql_looks("token")} AS looks, translate(token, '{_FOLDED}', '') = token AND nfc_normalize(token) = token AND {_SCRIPTS} < 2 AS clean FROM tok
+), best AS (SELECT looks, arg_min(token, {{'n': -n, 't': token}}) AS spelled FROM k WHERE clean GROUP BY 1
+), f AS (SELECT token, coalesce(spelled, {_sql_table_form("looks")}) AS form FROM k LEFT JOIN best USING (looks)
+), d AS (SELECT DISTINCT text, regexp_extract_all(text, '(?s)[{_RUNS}]+|[^{_RUNS}]+') AS parts FROM c WHERE text IS NOT NULL
+), e AS (SELECT text, unnest(parts) AS token, generate_subscripts(parts, 1) AS p FROM d)
+SELECT d.text, coalesce(g.form, '') AS form FROM d LEFT JOIN (SELECT text, string_agg(form, '' ORDER BY p) AS form FROM e JOIN f USING (token) GROUP BY 1) g USING (text)"""

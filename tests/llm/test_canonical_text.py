@@ -53,8 +53,26 @@ def test_against_skeletons_on_tables(spark, small):
 
 
 def test_forms_of_texts(spark):
-    rows = [("Ｓｈіp",), ("Ship",), (None,), ("",), ("​",), ("Совет сo",), ("Совет со",), ("Ship" * 5000 + " ｘ",)]
+    rows = [("Ｓｈіp",), ("Ship",), (None,), ("",), ("\u200b",), ("Совет сo",), ("Совет со",), ("Ship" * 5000 + " ｘ",), ("ﬁne \U0001d400b",)]
     got = {r.text: r.form for r in C.canonical_texts(spark.createDataFrame(rows, "text string")).collect()}
-    assert got["Ｓｈіp"] == "Ship" and got[None] is None and got[""] == "" and got["​"] == ""
-    assert got["Совет сo"] == got["Совет со"] == "Совет co" and got["Ship" * 5000 + " ｘ"] == "Ship" * 5000 + " x"
+    assert got["Ｓｈіp"] == "Ship" and got[None] is None and got[""] == "" and got["\u200b"] == "" and got["ﬁne \U0001d400b"] == "fine Ab"
+    assert got["Совет сo"] == got["Совет со"] == "Совет со" and got["Ship" * 5000 + " ｘ"] == "Ship" * 5000 + " x"
     assert C.canonical_texts(spark.createDataFrame([], "text string")).count() == 0
+
+
+def test_the_corpus_chooses_the_spelling(spark):
+    """By the table alone every one of these would be Latin."""
+    cyrillic, latin, mixed = "\u0440\u043e\u0440", "pop", "\u0440o\u0440"
+    assert {C.table_form(w) for w in (cyrillic, latin, mixed)} == {latin}
+    form = lambda *texts: {r.text: r.form for r in C.canonical_texts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert form(cyrillic, cyrillic, latin, mixed) == dict.fromkeys([cyrillic, latin, mixed], cyrillic)
+    assert form(cyrillic, latin, latin, mixed) == dict.fromkeys([cyrillic, latin, mixed], latin)
+    assert form(mixed) == {mixed: latin}
+    told = {r.token: r.known for r in C.token_forms(spark.createDataFrame([(cyrillic,), ("\u0455x",)], "text string").union(spark.createDataFrame([(mixed,)], "text string"))).collect()}
+    assert told == {mixed: True, "\u0455x": False}
+
+
+def test_new_look_alikes():
+    same = [("νοte", "vote"), ("հello", "hello"), ("\U0001d5b2hip", "Ship"), ("ﬃ", "ffi"), ("ｶﾞ", "ガ")]
+    assert all(C.skeleton(a) == C.skeleton(b) for a, b in same)
+    assert C.skeleton("²") != C.skeleton("2") and C.skeleton("e\u0301") == C.skeleton("é") != C.skeleton("e")
