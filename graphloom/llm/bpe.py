@@ -7,11 +7,13 @@ merged place. Documents are then spelled from the finished words.
 
 Plan:
 
-1. one scan cuts every text into words and keeps the distinct words of each block of
-   neighbouring rows (no shuffle of texts);
+1. one scan cuts every text into words and keeps the distinct words of each block: a run of
+   neighbouring rows that begins anew after ``block_bytes`` of text, counted as the rows go by
+   (no shuffle of texts, no scan for sizes);
 2. the distinct words of the corpus are shuffled once and replayed, each in one task;
 3. the finished words travel back to the blocks that hold them, and each block is
-   spelled next to its own small dictionary (one shuffle of texts).
+   spelled next to its own small dictionary (one shuffle of texts, into as many partitions
+   as the number of blocks asks for, whatever the session's setting).
 
 No dictionary of the corpus is ever broadcast or collected. A word occurs at most once
 in each block, so no join key can hold more than one row per block.
@@ -27,7 +29,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +44,10 @@ WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205
 
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 BLOCK_BYTES = 4_000_000
-REPLAY_WORDS = 200_000
+#: Blocks that a task spells on average.
+TASK_BLOCKS = 2
+#: Bytes of words that are replayed together.
+REPLAY_BYTES = 2_000_000
 
 
 class Vocabulary:
@@ -141,52 +148,66 @@ def replay(words: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]
     return last[last != -1].astype(np.int32), np.concatenate([[0], ends]).astype(np.int64)
 
 
-def _blocks(docs: DataFrame, text: Column, block_bytes: int) -> Column:
-    """Names runs of neighbouring rows of about block_bytes of text each.
+def _blocked(block_bytes: int):
+    """Adds ``block`` to rows with ``text``: each holds at most block_bytes before its last text.
 
     A rerun that reads rows in another order only costs lookups: words missing from a
     block's dictionary are replayed on the spot.
     """
-    total = docs.agg(F.sum(F.octet_length(text)).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    each = max(1, int((total["n"] or 0) * block_bytes / max(total["b"] or 0, 1)))
-    return F.floor(F.monotonically_increasing_id() / F.lit(each)).cast("long")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, passed = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0), np.int64)
+            ends = passed + np.cumsum(sizes)
+            block = pa.array((task << 32) + (ends - sizes) // block_bytes)
+            passed = int(ends[-1]) if len(ends) else passed
+            yield pa.RecordBatch.from_arrays([*batch.columns, block], [*batch.schema.names, "block"])
+
+    return run
 
 
-def _block_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _block_words(block_bytes: int):
     cut, split = _patterns()
-    block, pieces = None, set()
-
-    def words():
-        found = set()
-        for piece in pieces:
-            found.update(split(piece))
-        return pa.RecordBatch.from_pydict({"block": pa.array([block] * len(found), pa.int64()), "word": pa.array(list(found), pa.string())})
-
-    for batch in batches:
-        for now, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist()):
-            if now != block:
-                if pieces:
-                    yield words()
-                block, pieces = now, set()
-            if text:
-                pieces.update(cut(text))
-    if pieces:
-        yield words()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, pieces = None, set()
+
+        def words():
+            found = set()
+            for piece in pieces:
+                found.update(split(piece))
+            return pa.RecordBatch.from_pydict({"block": pa.array([block] * len(found), pa.int64()), "word": pa.array(list(found), pa.string())})
+
+        for batch in _blocked(block_bytes)(batches):
+            for now, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist()):
+                if now != block:
+                    if pieces:
+                        yield words()
+                    block, pieces = now, set()
+                if text:
+                    pieces.update(cut(text))
+        if pieces:
+            yield words()
+
+    return run
 
 
 def _replay_batches(path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, waiting = vocabulary(path), []
+        vocab, waiting, size = vocabulary(path), [], 0
 
         def done():
             ids, begins = replay(waiting, vocab)
             return pa.RecordBatch.from_pydict({"word": pa.array(waiting, pa.string()), "ids": pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(ids))})
 
         for batch in batches:
-            waiting += batch.column("word").to_pylist()
-            if len(waiting) >= REPLAY_WORDS:
-                yield done()
-                waiting = []
+            for word in batch.column("word").to_pylist():
+                waiting.append(word)
+                size += len(word)
+                if size >= REPLAY_BYTES:
+                    yield done()
+                    waiting, size = [], 0
         if waiting:
             yield done()
 
@@ -256,10 +277,12 @@ def encode_corpus(
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
     text = F.col(f"`{text_col}`")
     names = [f"k{n}" for n in range(len(keep))]
-    blocked = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], text.alias("text"), _blocks(docs, text, block_bytes).alias("block"))
-    held = written(blocked.select("block", "text").mapInArrow(_block_words, "block long, word string"), "bpe-words")
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], text.alias("text"))
+    held = written(rows.select("text").mapInArrow(_block_words(block_bytes), "block long, word string"), "bpe-words")
+    parts = max(1, -(-held.select("block").distinct().count() // TASK_BLOCKS))
+    blocked = rows.mapInArrow(_blocked(block_bytes), T.StructType([*rows.schema, T.StructField("block", T.LongType())])).repartition(parts, "block")
     finished = held.select("word").distinct().mapInArrow(_replay_batches(tokenizer), "word string, ids array<int>")
-    dictionary = held.join(finished, "word").select("block", "word", "ids")
-    result = T.StructType([*(blocked.schema[n] for n in names), T.StructField("n_tokens", T.LongType()) if count_only else T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    dictionary = held.join(finished, "word").select("block", "word", "ids").repartition(parts, "block")
+    result = T.StructType([*(rows.schema[n] for n in names), T.StructField("n_tokens", T.LongType()) if count_only else T.StructField("ids", T.ArrayType(T.IntegerType()))])
     spelled = blocked.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(_spell(tokenizer, names, count_only), result)
     return spelled.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "n_tokens" if count_only else "ids")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import bare
@@ -208,6 +208,23 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+@query
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each source reached its share of the targets that can be met, as near as its largest document allows, within its cap."""
+    report = _mix(spark, sf_dir)[1]
+    most = table(spark, sf_dir, "documents").groupBy("source").agg(F.max(F.octet_length("text")).alias("largest"))
+    rows = report.join(most, "source", "left")
+    live = F.sum(F.when(F.col("goal_tokens") > 0, F.col("target_share"))).over(Window.partitionBy())
+    met = F.abs(F.col("used_tokens") - F.col("goal_tokens")) <= F.coalesce("largest", F.lit(0)) / 2 + 1
+    share = F.when(F.col("goal_tokens") > 0, F.col("target_share") / live).otherwise(0.0)
+    return rows.select("source", F.round(share, 6).alias("share_asked"), met.alias("met"), (F.col("most_copies") <= F.col("max_repeats")).alias("within_cap"))
+
+
+SQL["p7_shares"] = """WITH t AS (SELECT DISTINCT source, target_share, max_repeats FROM mix_targets), l AS (
+  SELECT t.*, target_share > 0 AND max_repeats >= 1 AND source IN (SELECT source FROM documents WHERE text <> '' AND source IS NOT NULL) AS live FROM t)
+SELECT source, round(CASE WHEN live THEN target_share / sum(target_share) FILTER (WHERE live) OVER () ELSE 0 END, 6) AS share_asked, true AS met, true AS within_cap FROM l"""
+
+
 def _sql_looks(x: str) -> str:
     """SQL for the looks of a text, by the same tables of characters."""
     fold = {chr(n): b for n, b in canonical_text._FOLD.items()}

@@ -53,6 +53,23 @@ def test_mix_fraction_and_size_power(spark):
     assert large > 0.6 * sum(r.source == "b" for r in docs)
 
 
+def test_probabilities_add_up_to_the_size_with_certain_documents(spark):
+    """A few documents so large that their share of the sample would exceed one."""
+    sizes = spark.createDataFrame([(n, "s", 10_000 if n < 3 else 10 + n % 5, 40_000.0) for n in range(3000)], "doc_id long, source string, n_tokens long, need double")
+    got = mixing.inclusion(sizes, 1.0).first()
+    p = [1.0 if n > got.sure_above else got.factor * n for n in (r.n_tokens for r in sizes.collect())]
+    assert got.sure_above == 14 and max(p) <= 1 and abs(sum(x * r.n_tokens for x, r in zip(p, sizes.collect())) - 40_000) < 1e-3
+    docs, report = _mix(spark, [(r.doc_id, r.source, r.n_tokens) for r in sizes.collect()], [("s", 1.0, 1)], total=40_000.0)
+    assert {0, 1, 2} <= {r.doc_id for r in docs} and abs(report["s"].used_tokens - 40_000) <= 14
+
+
+def test_probabilities_differ_within_a_source(spark):
+    sizes = [(n, "s", 10 if n % 2 else 30) for n in range(4000)]
+    share = lambda docs: sum(r.n_tokens == 30 for r in docs) / len(docs)
+    even, larger = _mix(spark, sizes, [("s", 1.0, 1)], total=20_000.0, size_power=0.0)[0], _mix(spark, sizes, [("s", 1.0, 1)], total=20_000.0)[0]
+    assert abs(share(even) - 0.5) < 0.05 and abs(share(larger) - 0.75) < 0.05
+
+
 def test_mix_nothing(spark):
     docs, report = _mix(spark, [], [("a", 1.0, 1)])
     assert docs == [] and report["a"].used_tokens == 0 and report["a"].reached_share == 0
