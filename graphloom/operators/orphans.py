@@ -5,8 +5,8 @@ referring row was loaded. A record that holds such a reference is an orphan itse
 records that refer to it inherit the fault: the cascade follows the foreign keys downward,
 one semi-join per step, until a step finds nothing new.
 
-Plan: lives are reduced to one interval per target and end before the shuffle; references
-and lives meet in one anti-join on the target. A key that holds a large part of all
+Plan: references are read once and written, as short rows that every step reads. Lives are reduced to one
+interval per target and end before the shuffle; references and lives meet in one anti-join on the target. A key that holds a large part of all
 references is spread over ``HOT_SALT`` parts and its few lives are repeated for each, so no
 task holds all of them. Which keys are hot comes from an exact count with map-side
 combining; at most ``1 / HOT_SHARE`` keys can be hot, which bounds what is broadcast.
@@ -60,7 +60,7 @@ def hot_targets(refs: DataFrame) -> DataFrame:
     counts = refs.groupBy("target_table", "target_key").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     hot = counts.join(F.broadcast(total), F.col("n") > F.col("total") * F.lit(HOT_SHARE))
-    return hot.select("target_table", "target_key").limit(int(1 / HOT_SHARE))
+    return hot.select("target_table", "target_key")
 
 
 def direct_orphans(refs: DataFrame, life_rows: DataFrame) -> DataFrame:
@@ -78,21 +78,31 @@ def direct_orphans(refs: DataFrame, life_rows: DataFrame) -> DataFrame:
     return r.join(s, same & alive, "left_anti").select(*REFERENCE).dropDuplicates(["src_table", "src_key", "ref_field", "ref_pos"])
 
 
-def orphan_cascade(refs: DataFrame, orphans: DataFrame) -> DataFrame:
-    """Orphaned records as (rec_table, rec_key, depth): 0 holds a direct orphan reference itself,
-    n refers to a record of depth n - 1. A record has its smallest depth."""
-    frontier = written(orphans.select(F.col("src_table").alias("rec_table"), F.col("src_key").alias("rec_key")).distinct().withColumn("depth", F.lit(0)), "orphans")
-    found, links = frontier, None
+def orphan_cascade(refs: DataFrame, life_rows: DataFrame) -> DataFrame:
+    """References to records that do not exist or are orphaned themselves: columns ``REFERENCE`` and ``depth``.
+
+    Depth 0 is direct: no life of the target covers the reference. Depth n is inherited: the target is a record that
+    holds a reference of depth n - 1, and none of less. Every reference comes out once, so cycles end.
+    """
+    key = ["src_table", "src_key", "ref_field", "ref_pos"]
+    refs = written(refs, "references")
+    frontier = written(direct_orphans(refs, life_rows).withColumn("depth", F.lit(0)), "orphans")
+    found, depth = frontier, 0
     while not frontier.isEmpty():
-        links = links or written(refs.select("src_table", "src_key", "target_table", "target_key").distinct(), "links")
-        down = links.join(frontier, (F.col("target_table") == F.col("rec_table")) & (F.col("target_key") == F.col("rec_key")), "left_semi")
-        step = down.select(F.col("src_table").alias("rec_table"), F.col("src_key").alias("rec_key")).distinct()
-        depth = frontier.select("depth").first()[0] + 1
-        frontier = written(step.join(found, ["rec_table", "rec_key"], "left_anti").withColumn("depth", F.lit(depth)), "orphans")
+        depth += 1
+        records = frontier.select(F.col("src_table").alias("target_table"), F.col("src_key").alias("target_key")).distinct()
+        step = refs.join(records, ["target_table", "target_key"], "left_semi").join(found.select(*key), key, "left_anti")
+        frontier = written(step.select(*REFERENCE, F.lit(depth).alias("depth")).dropDuplicates(key), "orphans")
         found = found.unionByName(frontier)
     return found
 
 
+def orphan_records(cascade: DataFrame) -> DataFrame:
+    """``rec_table, rec_key, depth, as_of`` of every record with such a reference: its least depth, and when it was loaded."""
+    of = cascade.groupBy(F.col("src_table").alias("rec_table"), F.col("src_key").alias("rec_key"))
+    return of.agg(F.min("depth").alias("depth"), F.min("as_of").alias("as_of"))
+
+
 RAW_FIELDS = "h string, head string, r string, relation string, t string, tail string, tail_literal string"
 SPELLED = {"head_id": ("h", "head"), "relation": ("r", "relation"), "tail_id": ("t", "tail"), "tail_literal": ("tail_literal",)}
 

@@ -20,14 +20,16 @@ _REFS = """WITH t AS (
   SELECT * FROM refs r WHERE NOT EXISTS (SELECT 1 FROM lives l WHERE l.kind = r.kind AND l.k = r.k AND l.a <= r.loaded_at AND (l.z IS NULL OR l.z > r.loaded_at))
 ) """
 SQL["p1_found"] = _REFS + "SELECT src_table, src_key, ref_field, ref_pos FROM orphans"
-SQL["p1_report"] = _REFS + """, d AS (SELECT DISTINCT src_table, src_key FROM orphans), i AS (
-  SELECT DISTINCT r.src_table, r.src_key FROM refs r JOIN d ON d.src_table = 'triples' AND r.kind = 't' AND r.k = d.src_key
-  WHERE NOT EXISTS (SELECT 1 FROM d e WHERE e.src_table = r.src_table AND e.src_key = r.src_key)
+SQL["p1_report"] = _REFS + """, d AS (SELECT DISTINCT src_table, src_key FROM orphans), n AS (
+  SELECT r.* FROM refs r JOIN d ON d.src_table = 'triples' AND r.kind = 't' AND r.k = d.src_key
+  WHERE NOT EXISTS (SELECT 1 FROM orphans o WHERE o.src_table = r.src_table AND o.src_key = r.src_key AND o.ref_field = r.ref_field AND o.ref_pos = r.ref_pos)
+), i AS (SELECT DISTINCT src_table, src_key, loaded_at FROM n WHERE NOT EXISTS (SELECT 1 FROM d e WHERE e.src_table = n.src_table AND e.src_key = n.src_key)
 ), o AS (SELECT src_table, strftime(loaded_at, '%Y-%m') AS period, count(*) AS n, count(DISTINCT src_key) AS m FROM orphans GROUP BY ALL
-), h AS (SELECT r.src_table, strftime(r.loaded_at, '%Y-%m') AS period, count(DISTINCT r.src_key) AS n FROM refs r JOIN i USING (src_table, src_key) GROUP BY ALL)
-SELECT e.src_table, e.period, e.n_refs, coalesce(o.n, 0) AS n_orphan_refs, coalesce(o.m, 0) AS n_direct_records, coalesce(h.n, 0) AS n_inherited_records
+), g AS (SELECT src_table, strftime(loaded_at, '%Y-%m') AS period, count(*) AS n FROM n GROUP BY ALL
+), h AS (SELECT src_table, strftime(loaded_at, '%Y-%m') AS period, count(*) AS n FROM i GROUP BY ALL)
+SELECT e.src_table, e.period, e.n_refs, coalesce(o.n, 0) AS n_orphan_refs, coalesce(g.n, 0) AS n_inherited_refs, coalesce(o.m, 0) AS n_direct_records, coalesce(h.n, 0) AS n_inherited_records
 FROM (SELECT src_table, strftime(loaded_at, '%Y-%m') AS period, count(*) AS n_refs FROM refs GROUP BY ALL) e
-LEFT JOIN o USING (src_table, period) LEFT JOIN h USING (src_table, period)"""
+LEFT JOIN o USING (src_table, period) LEFT JOIN g USING (src_table, period) LEFT JOIN h USING (src_table, period)"""
 
 
 _E = """WITH e AS (
@@ -207,15 +209,20 @@ def _as_list(x: str) -> str:
     return f"CASE json_type({x}) WHEN 'ARRAY' THEN {x} WHEN 'OBJECT' THEN json_array({x}) WHEN 'VARCHAR' THEN CASE WHEN json_type({spelled}) = 'ARRAY' THEN {spelled} END END"
 
 
-SQL["p3_found"] = f"""WITH j AS (SELECT DISTINCT id, TRY_CAST(phase2_json AS JSON) AS j FROM phase2_records WHERE json_valid(phase2_json)
+_P3 = f"""WITH j AS (SELECT DISTINCT id, TRY_CAST(phase2_json AS JSON) AS j FROM phase2_records WHERE json_valid(phase2_json)
 ), a AS (SELECT id, {_as_list("json_extract(j, '$.triples_evidence')")} AS l FROM j WHERE json_type(j) = 'OBJECT'
 ), b AS (SELECT id, i, json_extract(l, '$[' || i || ']') AS o FROM (SELECT id, l, unnest(range(CAST(json_array_length(l) AS BIGINT))) AS i FROM a WHERE l IS NOT NULL)
 ), c AS (SELECT id, i, {_as_list("json_extract(o, '$.candidate_evidences')")} AS l FROM b WHERE json_type(o) = 'OBJECT'
 ), d AS (SELECT id, i, k, json_extract(l, '$[' || k || ']') AS o FROM (SELECT id, i, l, unnest(range(CAST(json_array_length(l) AS BIGINT))) AS k FROM c WHERE l IS NOT NULL)
 ), s AS (SELECT DISTINCT ON (question_id, branch_id) question_id || '/' || branch_id AS key, accepted_evidence, bindings FROM branch_states
 ), e AS (SELECT key, unnest(accepted_evidence) AS e, generate_subscripts(accepted_evidence, 1) - 1 AS i FROM s
-), m AS (SELECT key, unnest(map_keys(bindings)) AS name, unnest(map_values(bindings)) AS v FROM s)
+), m AS (SELECT key, unnest(map_keys(bindings)) AS name, unnest(map_values(bindings)) AS v FROM s)"""
+SQL["p3_found"] = _P3 + """
 SELECT 'phase2_records' AS rec_table, id AS rec_key, 'triples_evidence/' || i || '/candidate_evidences/' || k AS child_path FROM d WHERE json_type(o) = 'OBJECT'
 UNION SELECT 'branch_states', key, 'accepted_evidence/' || i FROM e WHERE e IS NOT NULL
 UNION SELECT 'branch_states', key, 'accepted_evidence/' || i || '/source' FROM e WHERE e.source IS NOT NULL
 UNION SELECT 'branch_states', key, 'bindings/' || name FROM m WHERE v IS NOT NULL"""
+SQL["p3_evidence"] = _P3 + """
+SELECT DISTINCT id AS rec_key, 'triples_evidence/' || i || '/candidate_evidences/' || k AS path, CAST(k AS INT) AS pos, 'triples_evidence/' || i AS parent_path, CAST(i AS INT) AS parent_pos FROM d WHERE json_type(o) = 'OBJECT'"""
+SQL["p3_sources"] = _P3 + """
+SELECT DISTINCT key AS rec_key, 'accepted_evidence/' || i || '/source' AS path, 'accepted_evidence/' || i AS parent_path, CAST(i AS INT) AS parent_pos, 'source' AS place FROM e WHERE e.source IS NOT NULL"""

@@ -23,30 +23,29 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def _graph_faults(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All references of the graph, and those to records that are missing or orphaned."""
     triples, titles = table(spark, sf_dir, "triples"), table(spark, sf_dir, "title_triples")
     refs = orphans.graph_references(triples, titles)
-    return refs, orphans.direct_orphans(refs, orphans.graph_lives(table(spark, sf_dir, "entities"), table(spark, sf_dir, "core_entities"), triples))
+    return refs, orphans.orphan_cascade(refs, orphans.graph_lives(table(spark, sf_dir, "entities"), table(spark, sf_dir, "core_entities"), triples))
 
 
 @query
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _graph_faults(spark, sf_dir)[1].select("src_table", "src_key", "ref_field", "ref_pos")
+    """The direct ones of the cascade."""
+    return _graph_faults(spark, sf_dir)[1].where("depth = 0").select("src_table", "src_key", "ref_field", "ref_pos")
 
 
 @query
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per table and month of loading: references, those without a record, records with such a
-    reference, and records that only inherit one."""
+    """Per table and month of loading: references, those without a record, those that inherit the fault, records with
+    an orphan reference, and records that only inherit one."""
     refs, found = _graph_faults(spark, sf_dir)
     month = F.date_format("as_of", "yyyy-MM").alias("period")
-    found = orphans.written(found, "direct")
-    faults = found.groupBy("src_table", month).agg(F.count(F.lit(1)).alias("n_orphan_refs"), F.countDistinct("src_key").alias("n_direct_records"))
-    late = orphans.orphan_cascade(refs, found).where("depth > 0")
-    when = refs.select(F.col("src_table").alias("rec_table"), F.col("src_key").alias("rec_key"), month).distinct()
-    inherited = late.join(when, ["rec_table", "rec_key"]).groupBy(F.col("rec_table").alias("src_table"), "period").agg(F.count(F.lit(1)).alias("n_inherited_records"))
     every = refs.groupBy("src_table", month).agg(F.count(F.lit(1)).alias("n_refs"))
-    counts = ["n_orphan_refs", "n_direct_records", "n_inherited_records"]
-    return every.join(faults, ["src_table", "period"], "left").join(inherited, ["src_table", "period"], "left").select("src_table", "period", "n_refs", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts])
+    faults = found.groupBy("src_table", month).agg(F.count_if(F.col("depth") == 0).alias("n_orphan_refs"), F.count_if(F.col("depth") > 0).alias("n_inherited_refs"))
+    records = orphans.orphan_records(found).groupBy(F.col("rec_table").alias("src_table"), month).agg(F.count_if(F.col("depth") == 0).alias("n_direct_records"), F.count_if(F.col("depth") > 0).alias("n_inherited_records"))
+    counts = ["n_orphan_refs", "n_inherited_refs", "n_direct_records", "n_inherited_records"]
+    return every.join(faults, ["src_table", "period"], "left").join(records, ["src_table", "period"], "left").select("src_table", "period", "n_refs", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts])
 
 
 @query
@@ -57,17 +56,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p3_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate evidences, each with the triple it lies in."""
-    kinds = ["triples_evidence/*", flatten.PHASE2_CHILD]
-    rows = flatten.linked(flatten.evidence_nodes(table(spark, sf_dir, "phase2_records"), kinds).where("kind = 'object'"), *kinds)
-    return rows.select("rec_key", "path", "pos", "parent_path", "parent_pos", "pre", "post", "depth").distinct()
+    nodes = flatten.evidence_nodes(table(spark, sf_dir, "phase2_records"), [flatten.PHASE2_CHILD, flatten.PHASE2_PARENT])
+    rows = flatten.linked(nodes, {flatten.PHASE2_CHILD: flatten.PHASE2_PARENT}).where("kind = 'object'")
+    return rows.select("rec_key", "path", "pos", "parent_path", "parent_pos").distinct()
 
 
 @query
 def p3_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of accepted evidence, each with the evidence it lies in."""
-    kinds = ["accepted_evidence/*", "accepted_evidence/*/source"]
-    rows = flatten.linked(flatten.branch_nodes(table(spark, sf_dir, "branch_states"), kinds).where("kind = 'object'"), *kinds)
-    return rows.select("rec_key", "path", "parent_path", "parent_pos", "pre", "post", "depth").distinct()
+    kinds = {"accepted_evidence/*/source": "accepted_evidence/*"}
+    rows = flatten.linked(flatten.branch_nodes(table(spark, sf_dir, "branch_states"), [*kinds, *kinds.values()]), kinds).where("kind = 'object'")
+    return rows.select("rec_key", "path", "parent_path", "parent_pos", "place").distinct()
 
 
 # Graph access over the evidence tables.

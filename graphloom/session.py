@@ -38,11 +38,18 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one, removed at exit, only where that is unset."""
+    """The folder named by spark.checkpoint.dir; a temporary one, removed at exit, only where that is unset
+    and all tasks run in this process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not one_process(spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return (named or _own_folder()).rstrip("/")
 
 
+def one_process(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows read back from a table in the shared folder.
 

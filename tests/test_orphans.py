@@ -35,19 +35,19 @@ def test_references_keep_places_and_skip_nulls(spark):
 
 
 def test_cascade_depths_and_cycles(spark):
-    def ref(a, b):
-        return ("r", a, "f", 0, "r", b, D(2024, 1, 1))
+    def ref(a, b, pos=0):
+        return ("r", a, "f", pos, "r", b, D(2024, 1, 1))
 
-    refs = _rows(spark, [ref("a", "missing"), ref("b", "a"), ref("c", "b"), ref("d", "c"), ref("c", "d"), ref("z", "z")], REF)
+    refs = _rows(spark, [ref("a", "missing"), ref("b", "a"), ref("c", "b"), ref("d", "c"), ref("c", "d", 1), ref("z", "z")], REF)
     lives = _rows(spark, [("r", k, D(2023, 1, 1), None) for k in "abcdz"], LIFE)
-    got = {r.rec_key: r.depth for r in O.orphan_cascade(refs, O.direct_orphans(refs, lives)).collect()}
-    assert got == {"a": 0, "b": 1, "c": 2, "d": 3}
+    told = O.orphan_cascade(refs, lives)
+    assert {(r.src_key, r.target_key): r.depth for r in told.collect()} == {("a", "missing"): 0, ("b", "a"): 1, ("c", "b"): 2, ("d", "c"): 3, ("c", "d"): 4}
+    assert {r.rec_key: r.depth for r in O.orphan_records(told).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
 
 
 def test_empty(spark):
     refs, lives = _rows(spark, [], REF), _rows(spark, [], LIFE)
-    found = O.direct_orphans(refs, lives)
-    assert found.count() == 0 and O.orphan_cascade(refs, found).count() == 0
+    assert O.direct_orphans(refs, lives).count() == 0 and O.orphan_cascade(refs, lives).count() == 0
 
 
 def test_raw_records(spark):
@@ -55,3 +55,10 @@ def test_raw_records(spark):
     df = _rows(spark, rows, "k string, head_id string, relation string, tail_id string, tail_literal string, raw_record string")
     got = {r.k: tuple(r)[1:] for r in df.select("k", *[O.triple_field(c).alias(c) for c in O.SPELLED]).collect()}
     assert got == {"1": ("A:1", "r", None, "5"), "2": ("x", "y", "z", None), "3": (None,) * 4}
+
+
+def test_shared_folder_is_asked_for_on_several_hosts():
+    from graphloom.session import one_process
+
+    assert one_process("local") and one_process("local[8]") and one_process("local[*, 4]")
+    assert not any(one_process(m) for m in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn", "k8s://host"))
