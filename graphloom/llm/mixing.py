@@ -14,7 +14,8 @@ allows. The random number is a hash of seed and document, so the sample is the s
 
 Plan: sizes are summed per source, then per source and size (one row per number of tokens that occurs),
 then per source and rank interval; the interval in which a source's size is met is the only one that is
-sorted, 1 / BINS of its documents. No source is ever gathered in one task, nothing is collected,
+sorted, 1 / BINS of its documents. The plan, the ranks and that interval of each source are written once and read
+by what follows. No source is ever gathered in one task, nothing is collected,
 and whether a small side is broadcast is left to its measured size.
 
 Edge cases: documents without a source, without tokens, or of a source without a target have no
@@ -28,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.session import written
+
 BINS = 4096
 SEED = 17
 
@@ -62,21 +65,22 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, size_p
     """(documents with their ``copies``, report of shares reached) for ``sizes`` with columns
     ``doc_id, source, n_tokens``, which should be a written table: it is read several times."""
     sizes = sizes.where(F.col("source").isNotNull() & (F.col("n_tokens") > 0))
-    plan = mix_plan(sizes, targets, total)
+    plan = written(mix_plan(sizes, targets, total), "mix-plan")
     docs = sizes.join(plan.where("goal > 0").select("source", "certain", "need"), "source")
     docs = docs.join(inclusion(docs.where("need > 0"), size_power), "source", "left")
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + F.lit(0.5)) / F.lit(2.0**53)
     chance = F.col("factor") * F.pow(F.col("n_tokens").cast("double"), F.lit(size_power))
     rank = F.when((F.col("n_tokens") > F.col("sure_above")) | (chance >= 1), 0.0).otherwise((u / (1 - u)) / (chance / (1 - chance)))
-    docs = docs.withColumn("rank", rank).withColumn("bin", F.least(F.lit(BINS - 1), F.floor(F.lit(BINS) * F.col("rank") / (1 + F.col("rank")))).cast("int"))
+    docs = written(docs.withColumn("rank", rank), "mix-ranks").withColumn("bin", F.least(F.lit(BINS - 1), F.floor(F.lit(BINS) * F.col("rank") / (1 + F.col("rank")))).cast("int"))
     upto = W.partitionBy("source").orderBy("bin")
-    bins = docs.where("rank is not null").groupBy("source", "bin").agg(F.sum("n_tokens").alias("t")).withColumn("through", F.sum("t").over(upto))
-    docs = docs.join(bins.select("source", "bin", "through", (F.col("through") - F.col("t")).alias("before")), ["source", "bin"], "left")
-    sure = docs.where("through <= need").withColumn("taken", F.lit(1))
-    edge = docs.where("before < need and through > need")
+    bins = docs.where("rank is not null").groupBy("source", "bin").agg(F.sum("n_tokens").alias("t"), F.max("need").alias("need")).withColumn("through", F.sum("t").over(upto))
+    edges = bins.where("through > need").groupBy("source").agg(F.min("bin").alias("edge"), F.min_by(F.col("through") - F.col("t"), "bin").alias("before"))
+    docs = docs.join(written(edges, "mix-edges"), "source", "left")
+    sure = docs.where("rank is not null and (edge is null or bin < edge)").withColumn("taken", F.lit(1))
+    edge = docs.where("bin = edge")
     reached = F.col("before") + F.sum("n_tokens").over(W.partitionBy("source").orderBy("rank", "doc_id").rowsBetween(W.unboundedPreceding, 0))
     edge = edge.withColumn("taken", (reached - F.col("n_tokens") / 2 <= F.col("need")).cast("int"))
-    rest = docs.where("before is null or before >= need").withColumn("taken", F.lit(0))
+    rest = docs.where("rank is null or bin > edge").withColumn("taken", F.lit(0))
     chosen = sure.unionByName(edge).unionByName(rest).select("doc_id", "source", "n_tokens", (F.col("certain") + F.col("taken")).alias("copies")).where("copies > 0")
     used = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("used_tokens"), F.sum("copies").alias("n_copies"), F.max("copies").alias("most_copies"))
     report = plan.join(used, "source", "left").select(
