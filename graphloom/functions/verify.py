@@ -12,6 +12,7 @@ NEGATIONS = ["没有", "并未", "并非", "不是", "从未", "不曾", "never"
 #: Qualifiers that change what a relation means.
 QUALIFIERS = ["预科", "短期交流", "访问学者", "进修", "荣誉学位", "交换生"]
 NEGATION_WINDOW = 8
+_NEGATION = "|".join(NEGATIONS)
 
 
 def span_ok(text: Column, start: Column, end: Column, quote: Column) -> Column:
@@ -36,20 +37,14 @@ def negation_before_cue(text: Column, variants: Column) -> Column:
     def negated(v: Column) -> Column:
         at = F.position(v, text)
         begin = F.greatest(F.lit(1), at - NEGATION_WINDOW)
-        before = F.substring(text, begin, at - begin)
-        some = F.lit(False)
-        for sign in NEGATIONS:
-            some = some | F.contains(before, F.lit(sign))
-        return (v != "") & (at > 0) & some
+        return (v != "") & (at > 0) & F.substring(text, begin, at - begin).rlike(_NEGATION)
 
     return F.coalesce(F.exists(variants, negated), F.lit(False))
 
 
 def qualifier_conflict(text: Column, predicate: Column) -> Column:
-    found = F.lit(False)
-    for q in QUALIFIERS:
-        found = found | (F.contains(text, F.lit(q)) & ~F.contains(F.coalesce(predicate, F.lit("")), F.lit(q)))
-    return F.coalesce(found, F.lit(False))
+    told = F.coalesce(predicate, F.lit(""))
+    return F.coalesce(F.exists(F.split(F.lit("|".join(QUALIFIERS)), r"\|"), lambda q: F.contains(text, q) & ~F.contains(told, q)), F.lit(False))
 
 
 def names_match(surface: Column, names: Column) -> Column:
@@ -63,7 +58,7 @@ def _verdict(decision: str, reason: str) -> Column:
 def text_verdict(span: Column, direction: Column, quote: Column, predicate: Column, variants: Column, verify: Column) -> Column:
     """The decision on a candidate read from text, the first reason that applies."""
     return (
-        F.when(~span, _verdict("UNKNOWN", "INVALID_SPAN"))
+        F.when(~span, _verdict("INVALID_SPAN", "INVALID_SPAN"))
         .when(~direction, _verdict("UNKNOWN", "DIRECTION_MISMATCH"))
         .when(~cue_in_text(quote, variants), _verdict("UNKNOWN", "COOCCURRENCE"))
         .when(verify & negation_before_cue(quote, variants), _verdict("CONFLICT", "NEGATION"))

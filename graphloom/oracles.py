@@ -89,45 +89,74 @@ SQL["q51_fingerprint"] = """SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || sub
 SQL["q57_link_reject_reasons"] = _E + _link("SELECT tail_surface AS surface FROM candidates") + """, c AS (SELECT DISTINCT candidate_id, tail_surface AS surface FROM candidates)
 SELECT CASE WHEN n_matches = 0 THEN 'UNLINKABLE' WHEN n_matches > 1 THEN 'AMBIGUOUS_ENTITY' WHEN exact = 1 THEN 'EXACT_NAME' ELSE 'ALIAS_UNIQUE' END AS reason, count(*) AS n_candidates FROM c JOIN link USING (surface) GROUP BY 1"""
 
-_C = """WITH cl AS (
-  SELECT c_custkey, c_name AS name, n_name AS nation, c_nationkey, c_mktsegment AS seg, c_acctbal < 0 AS masked FROM customer JOIN nation ON c_nationkey = n_nationkey
+_NEGATED = "没有|并未|并非|不是|从未|不曾|never|not "
+_QUALIFIED = "预科|短期交流|访问学者|进修|荣誉学位|交换生"
+
+
+def _negated(text: str, cue: str) -> str:
+    return f"(contains({text}, {cue}) AND regexp_matches(substring({text}, greatest(1, instr({text}, {cue}) - 8), instr({text}, {cue}) - greatest(1, instr({text}, {cue}) - 8)), '{_NEGATED}'))"
+
+
+#: What each sentence says is read from the sentence; the segment only words it.
+_C = f"""WITH cl AS (
+  SELECT c_custkey, c_name AS name, n_name AS nation, c_nationkey, r_name AS region, c_mktsegment AS seg, c_acctbal < 0 AS masked FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey
 ), q AS (
   SELECT *, CASE seg WHEN 'AUTOMOBILE' THEN name || ' is not located in ' || nation || '.' WHEN 'FURNITURE' THEN name || ' and ' || nation || ' are listed.'
     WHEN 'MACHINERY' THEN name || ' is located in ' || nation || '(访问学者).' ELSE name || ' is located in ' || nation || '.' END AS quote,
     CASE WHEN seg = 'HOUSEHOLD' THEN nation ELSE name END AS hs, CASE WHEN seg = 'HOUSEHOLD' THEN name ELSE nation END AS ts FROM cl
 ), m AS (SELECT * FROM q WHERE masked
-), p(preset, method, binding, reentry, vt) AS (VALUES ('core00', 'relation_commit', false, false, false), ('core01', 'relation_commit', false, false, true), ('core10', 'relation_commit', true, true, false),
-  ('core11', 'relation_commit', true, true, true), ('simple_bind', 'simple_slot', true, true, true), ('cog_controlled', 'cog_notebook', true, true, true), ('iterative_text', 'iterative_text', true, false, true),
-  ('no_reentry', 'relation_commit', true, false, true), ('verify_graph_off', 'relation_commit', true, true, true)
-), v AS (
-  SELECT q.*, p.*, seg <> 'HOUSEHOLD' AND method IN ('simple_slot', 'cog_notebook') AND contains(quote, ts) AS loose,
-    CASE WHEN seg = 'HOUSEHOLD' THEN 'DIRECTION_MISMATCH' WHEN seg = 'FURNITURE' THEN 'COOCCURRENCE' WHEN vt AND seg = 'AUTOMOBILE' THEN 'NEGATION' WHEN vt AND seg = 'MACHINERY' THEN 'QUALIFIER_MISMATCH' WHEN vt THEN 'TEXT_SUPPORTED' ELSE 'TEXT_PROGRAMMATIC_ACCEPT' END AS r
-  FROM q CROSS JOIN p
-), w AS (
-  SELECT *, CASE WHEN loose THEN upper(method) ELSE r END AS reason, loose OR r LIKE 'TEXT_%' AS ok FROM v
-), x AS (
-  SELECT w.*, CASE WHEN NOT ok THEN reason WHEN seg = 'HOUSEHOLD' THEN 'UNLINKABLE' WHEN NOT binding THEN 'TEXT_BINDING_DISABLED' ELSE 'TEXT_COMMIT' END AS outcome FROM w
+), p(preset, method, binding, reentry, vt, vg) AS (VALUES ('core00', 'relation_commit', false, false, false, true), ('core01', 'relation_commit', false, false, true, true), ('core10', 'relation_commit', true, true, false, true),
+  ('core11', 'relation_commit', true, true, true, true), ('simple_bind', 'simple_slot', true, true, true, true), ('cog_controlled', 'cog_notebook', true, true, true, false), ('iterative_text', 'iterative_text', true, false, true, true),
+  ('no_reentry', 'relation_commit', true, false, true, true), ('verify_graph_off', 'relation_commit', true, true, true, false)
+), s AS (
+  SELECT q.*, p.*, contains(quote, 'located in') AS cue, {_negated("quote", "'located in'")} AS neg, regexp_matches(quote, '{_QUALIFIED}') AS qual, lower(hs) = lower(name) AS dir, contains(quote, ts) AS named FROM q CROSS JOIN p
+), e AS (
+  SELECT *, CASE WHEN masked THEN NULL WHEN NOT vg THEN 'GRAPH_UNVERIFIED_ACCEPT' WHEN cue AND NOT neg THEN 'GRAPH_SOURCE_OK' ELSE 'GRAPH_SOURCE_REJECT' END AS edge,
+    CASE WHEN NOT dir THEN 'DIRECTION_MISMATCH' WHEN method IN ('simple_slot', 'cog_notebook') AND named THEN upper(method) WHEN NOT cue THEN 'COOCCURRENCE' WHEN vt AND neg THEN 'NEGATION' WHEN vt AND qual THEN 'QUALIFIER_MISMATCH' WHEN vt THEN 'TEXT_SUPPORTED' ELSE 'TEXT_PROGRAMMATIC_ACCEPT' END AS r,
+    CASE WHEN vg THEN 'GRAPH_SOURCE_OK' ELSE 'GRAPH_UNVERIFIED_ACCEPT' END AS next FROM s
+), f AS (SELECT *, coalesce(edge IN ('GRAPH_SOURCE_OK', 'GRAPH_UNVERIFIED_ACCEPT'), false) AS by_graph, r IN ('SIMPLE_SLOT', 'COG_NOTEBOOK', 'TEXT_SUPPORTED', 'TEXT_PROGRAMMATIC_ACCEPT') AS holds FROM e
+), x AS (SELECT *, NOT by_graph AND holds AND binding AS committed FROM f
+), y AS (SELECT *, by_graph OR committed AND (reentry OR method = 'iterative_text') AS done FROM x
 ), a AS (
-  SELECT c_custkey, preset, masked, CASE WHEN on_ THEN 'COMPLETE' ELSE 'EXHAUSTED' END AS status, CASE WHEN on_ THEN r_name END AS answer, r_name AS gold,
-    CASE WHEN on_ THEN CASE WHEN masked THEN 'TEXT_COMMIT' ELSE 'GRAPH' END WHEN masked AND outcome = 'TEXT_COMMIT' THEN 'REENTRY_DISABLED' ELSE outcome END AS reason
-  FROM (SELECT *, NOT masked OR (outcome = 'TEXT_COMMIT' AND reentry) AS on_ FROM x) JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
+  SELECT y.*, CASE WHEN done THEN 'COMPLETE' ELSE 'EXHAUSTED' END AS status, CASE WHEN done THEN region END AS answer, region AS gold,
+    CASE WHEN by_graph THEN 'GRAPH,GRAPH' WHEN committed AND reentry THEN 'TEXT,GRAPH' WHEN committed AND done THEN 'TEXT,TEXT' WHEN committed THEN 'TEXT' ELSE '' END AS path,
+    array_to_string(list_sort(list_distinct(list_filter([edge, CASE WHEN by_graph OR committed AND reentry THEN next END, CASE WHEN NOT by_graph THEN r END, CASE WHEN NOT by_graph AND holds THEN 'EXACT_NAME' END,
+      CASE WHEN NOT by_graph AND holds AND NOT binding THEN 'TEXT_BINDING_DISABLED' END, CASE WHEN committed THEN 'FORKED' END, CASE WHEN committed THEN CASE WHEN method IN ('simple_slot', 'cog_notebook') THEN upper(method) ELSE 'TEXT_COMMIT' END END,
+      CASE WHEN committed AND NOT reentry THEN 'REENTRY_DISABLED' END, CASE WHEN committed AND method = 'iterative_text' THEN 'TEXT_SUPPORTED' END], lambda c: c IS NOT NULL))), ',') AS reasons
+  FROM y
 ) """
+_A = "CAST(c_custkey AS BIGINT) AS c_custkey, preset, status, answer, path, reasons"
 SQL["q12_three_hop"] = "SELECT o_orderkey, n_name, r_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE NOT c_acctbal < 0"
-SQL["q18_relation_cue_match"] = _C + "SELECT c_custkey, true AS fits, contains(quote, 'located in') OR contains(quote, 'LOCATED  IN') OR contains(quote, ' ') AS cue FROM m"
-SQL["q19_negation_window"] = _C + "SELECT c_custkey, contains(quote, 'located in') AND regexp_matches(substring(quote, greatest(1, instr(quote, 'located in') - 8), instr(quote, 'located in') - greatest(1, instr(quote, 'located in') - 8)), '没有|并未|并非|不是|从未|不曾|never|not ') AS negated FROM m"
-SQL["q20_qualifier"] = _C + "SELECT c_custkey, regexp_matches(quote, '预科|短期交流|访问学者|进修|荣誉学位|交换生') AS conflict, lower(hs) = lower(name) AS direction FROM m"
-SQL["q21_verify_text"] = _C + "SELECT c_custkey, preset, CASE WHEN ok THEN 'SUPPORTED' WHEN reason = 'NEGATION' THEN 'CONFLICT' ELSE 'UNKNOWN' END AS decision, reason FROM w WHERE masked AND preset IN ('core11', 'core00', 'simple_bind')"
-SQL["q27_text_commit_children"] = _C + "SELECT c_custkey, c_nationkey AS bound_nation, quote, 0 AS char_start, CAST(length(quote) AS INT) AS char_end FROM x WHERE masked AND preset = 'core11' AND outcome = 'TEXT_COMMIT'"
-SQL["q28_successor_reentry"] = _C + "SELECT o_orderkey, status, answer, reason FROM orders JOIN a ON c_custkey = o_custkey WHERE preset = 'core11'"
-SQL["q29_no_reentry"] = _C + "SELECT c_custkey, status, answer, reason FROM a WHERE preset = 'no_reentry'"
-SQL["q30_core_matrix"] = _C + "SELECT preset, status, reason, count(*) AS n FROM a WHERE preset IN ('core00', 'core01', 'core10', 'core11') GROUP BY 1, 2, 3"
-SQL["q31_simple_slot"] = _C + "SELECT c_custkey, status, answer, reason FROM a WHERE preset = 'simple_bind'"
-SQL["q32_notebook"] = _C + "SELECT c_custkey, CASE WHEN status = 'COMPLETE' THEN 'fact' ELSE 'judgment' END AS entry, reason FROM a WHERE preset = 'cog_controlled' AND masked"
-SQL["q33_iterative_text"] = _C + "SELECT preset, status, reason, count(*) AS n FROM a WHERE preset IN ('iterative_text', 'verify_graph_off') GROUP BY 1, 2, 3"
-SQL["q45_method_report"] = _C + "SELECT preset, count(*) AS n, round(avg(CASE WHEN answer IS NULL THEN 0.0 ELSE 1.0 END), 6) AS mean_f1, round(avg(CASE WHEN answer = gold THEN 1 ELSE 0 END), 6) AS mean_em, count(*) FILTER (WHERE status <> 'COMPLETE') AS n_failed FROM a GROUP BY 1"
-SQL["q46_paired_delta"] = _C + """, pair(baseline, other) AS (VALUES ('core00', 'core11'), ('core01', 'core11'), ('core10', 'core11'), ('no_reentry', 'core11'))
-SELECT baseline, other, count(*) AS n, round(avg((b.answer IS NOT NULL)::INT - (c.answer IS NOT NULL)::INT), 6) AS delta FROM pair JOIN a c ON c.preset = baseline JOIN a b ON b.preset = other AND b.c_custkey = c.c_custkey GROUP BY 1, 2"""
-SQL["q58_binding_off"] = _C + "SELECT reason, count(*) AS n FROM a WHERE preset = 'core01' AND masked GROUP BY 1"
+SQL["q18_relation_cue_match"] = _E + """, v AS (SELECT triple_id, relation, string_split(relation, ' ')[1] AS w, array_to_string(list_filter(list_transform(sources, lambda s: s.quote), lambda x: x IS NOT NULL), ' ') AS q FROM e WHERE relation IS NOT NULL)
+SELECT triple_id, contains(relation, 'funded by') OR contains('funded by', relation) AS fits, coalesce(w <> '' AND contains(q, w) OR contains(q, 'located  in') OR contains(q, ' '), false) AS cue FROM v"""
+SQL["q19_negation_window"] = _C + f"SELECT c_custkey, {_negated('quote', chr(39) + 'located in' + chr(39))} AS negated FROM m"
+SQL["q20_qualifier"] = _C + f"SELECT c_custkey, regexp_matches(quote, '{_QUALIFIED}') AS conflict, lower(hs) = lower(name) AS direction FROM m"
+SQL["q21_verify_text"] = f"""WITH c AS (SELECT DISTINCT candidate_id, passage_id, char_start, char_end, quote, predicate_surface AS p, head_surface AS h FROM candidates
+), u AS (SELECT DISTINCT passage_id, raw_text FROM text_units
+), x AS (SELECT *, string_split(p, ' ')[1] AS w, substring(raw_text, char_start + 1, char_end - char_start) = quote AND char_start >= 0 AND char_start < char_end AND char_end <= length(raw_text) AS span,
+    coalesce(contains(trim(regexp_replace(lower(quote), '[\\s\\p{{Z}}]+', ' ', 'g')), trim(regexp_replace(lower(h), '[\\s\\p{{Z}}]+', ' ', 'g'))), false) AS dir FROM c JOIN u USING (passage_id) CROSS JOIN (VALUES (true), (false)) t(checked)
+), y AS (SELECT *, CASE WHEN NOT span THEN 'INVALID_SPAN' WHEN NOT dir THEN 'DIRECTION_MISMATCH' WHEN w = '' OR NOT contains(quote, w) THEN 'COOCCURRENCE' WHEN checked AND {_negated('quote', 'w')} THEN 'NEGATION'
+    WHEN checked AND len(list_filter(string_split('{_QUALIFIED}', '|'), lambda k: contains(quote, k) AND NOT contains(p, k))) > 0 THEN 'QUALIFIER_MISMATCH' WHEN checked THEN 'TEXT_SUPPORTED' ELSE 'TEXT_PROGRAMMATIC_ACCEPT' END AS reason FROM x)
+SELECT candidate_id, checked, CASE WHEN reason = 'INVALID_SPAN' THEN reason WHEN reason = 'NEGATION' THEN 'CONFLICT' WHEN reason LIKE 'TEXT_%' THEN 'SUPPORTED' ELSE 'UNKNOWN' END AS decision, reason FROM y""".replace("\\\\", "\\")
+SQL["q27_text_commit_children"] = _C + "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, 'N:' || c_nationkey AS bound, quote, 1 AS depth FROM x WHERE preset = 'core11' AND committed"
+SQL["q28_successor_reentry"] = _C + "SELECT o_orderkey, status, answer, path, reasons FROM orders JOIN a ON c_custkey = o_custkey WHERE preset = 'core11'"
+SQL["q29_no_reentry"] = _C + f"SELECT {_A} FROM a WHERE preset = 'no_reentry'"
+SQL["q30_core_matrix"] = _C + "SELECT preset, status, path, reasons, count(*) AS n FROM a WHERE preset IN ('core00', 'core01', 'core10', 'core11') GROUP BY ALL"
+SQL["q31_simple_slot"] = _C + f"SELECT {_A} FROM a WHERE preset = 'simple_bind'"
+SQL["q32_notebook"] = _C + """, z AS (SELECT CAST(c_custkey AS BIGINT) AS c_custkey, name, nation, quote, ts, by_graph, committed FROM x WHERE preset = 'cog_controlled')
+SELECT c_custkey, 'followup_query' AS kind, name || ' located in' AS text FROM z WHERE NOT by_graph UNION ALL SELECT c_custkey, 'fact', quote FROM z WHERE NOT by_graph
+UNION ALL SELECT c_custkey, 'judgment', '?nation located in ' || ts FROM z WHERE committed UNION ALL SELECT c_custkey, 'analysis', 'bound ?nation to ' || ts FROM z WHERE committed"""
+SQL["q33_iterative_text"] = _C + "SELECT preset, status, path, reasons, count(*) AS n FROM a WHERE preset IN ('iterative_text', 'verify_graph_off') GROUP BY ALL"
+#: Proofs of the chain with their ends: an edge spells the nation, a sentence what was read from it.
+_S = _C + """, h AS (SELECT a.*, by_graph OR committed AND hs = name AND ts = nation AS bridge, done AS successor, CASE WHEN path = '' THEN 0 ELSE len(string_split(path, ',')) END AS n_proofs FROM a
+), sc AS (SELECT *, CAST(CASE WHEN answer IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS f1, CASE WHEN n_proofs > 0 THEN (bridge::INT + successor::INT) / n_proofs END AS precision FROM h) """
+SQL["q45_method_report"] = _S + "SELECT preset, count(*) AS n, round(avg(f1), 6) AS mean_f1, round(avg(successor::INT), 6) AS successor_rate, round(avg(precision), 6) AS mean_proof_precision, round(avg((precision IS NOT NULL)::INT), 6) AS precision_coverage FROM sc GROUP BY 1"
+SQL["q45b_failures"] = _S + "SELECT status, count(*) AS n FROM sc WHERE status <> 'COMPLETE' GROUP BY 1"
+SQL["q45c_score_cases"] = _S + """SELECT CAST(c_custkey AS BIGINT) AS c_custkey, preset, seg AS "group", status, answer, coalesce(answer = gold, false) AS exact_match, f1 AS token_f1, bridge AS bridge_acquired, successor AS successor_acquired,
+  bridge AND path LIKE '%GRAPH' AS complete_support, precision AS proof_precision, CAST(n_proofs AS INT) AS proof_count, precision IS NOT NULL AS precision_coverage, false AS uncertain FROM sc WHERE preset IN ('core11', 'no_reentry')"""
+SQL["q46_paired_delta"] = _S + """, pair(baseline, other) AS (VALUES ('core00', 'core11'), ('core11', 'simple_bind'), ('core11', 'cog_controlled'), ('core11', 'iterative_text'))
+SELECT baseline, other, 'successor_acquired' AS field, count(*) AS n, round(avg(b.successor::INT - c.successor::INT), 6) AS mean_delta FROM pair JOIN sc c ON c.preset = baseline JOIN sc b ON b.preset = other AND b.c_custkey = c.c_custkey GROUP BY 1, 2"""
+SQL["q58_binding_off"] = _C + "SELECT reasons, count(*) AS n FROM a WHERE preset = 'core01' GROUP BY 1"
 
 _B = """WITH b AS (SELECT DISTINCT ON (question_id, branch_id) * FROM branch_states
 ), pr AS (SELECT question_id, branch_id, status, e FROM (SELECT question_id, branch_id, status, unnest(accepted_evidence) AS e FROM b) WHERE e IS NOT NULL
