@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from graphloom.functions.text import bare
-from graphloom.operators.flatten import evidence_nodes
+from graphloom.operators.flatten import evidence_nodes, parsed
 from graphloom.operators.orphans import triple_field
 from graphloom.session import written
 
@@ -30,23 +30,52 @@ def refuse_gold(df: DataFrame) -> DataFrame:
     return df
 
 
-def blanked(value):
-    if isinstance(value, dict):
-        return {k: "[redacted]" if any(s in k.lower() for s in SECRET) else blanked(v) for k, v in value.items()}
-    return [blanked(v) for v in value] if isinstance(value, list) else value
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s"{}\[\],:]+|\s+', re.S)
 
 
-@F.pandas_udf(T.StringType())
-def scrub(texts: pd.Series) -> pd.Series:
-    """JSON texts with secret values blanked; what is no JSON stays as it is."""
+def blanked(text: str) -> str:
+    """A JSON text with the value of every secret key replaced, at any depth; all else stays letter by letter.
 
-    def one(text):
-        try:
-            return None if text is None else json.dumps(blanked(json.loads(text)), sort_keys=True, ensure_ascii=False)
-        except ValueError:
-            return text
-
-    return texts.map(one)
+    One walk over the tokens: only keys stand before a colon, and a value ends where its brackets close.
+    """
+    if not parsed(text)[1]:
+        return text
+    tokens = _TOKEN.findall(text)
+    after = lambda n: next((m for m in range(n + 1, len(tokens)) if not tokens[m].isspace()), len(tokens))
+    out, at = [], 0
+    while at < len(tokens):
+        colon = after(at) if tokens[at][0] == '"' else len(tokens)
+        if colon < len(tokens) and tokens[colon] == ":" and any(s in json.loads(tokens[at]).lower() for s in SECRET):
+            value = after(colon)
+            out += [*tokens[at:value], '"[redacted]"']
+            open_, at = 0, value
+            while True:
+                open_ += (tokens[at] in "{[") - (tokens[at] in "}]")
+                at += 1
+                if not open_:
+                    break
+        else:
+            out.append(tokens[at])
+            at += 1
+    return "".join(out)
+
+
+def _blank_batches(column: str):
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            yield batch.set_column(at, column, pa.array([blanked(t) for t in batch.column(at).to_pylist()], pa.string()))
+
+    return run
+
+
+def scrub(df: DataFrame, column: str) -> DataFrame:
+    """Rows with secret values blanked in a column of JSON texts; what is no JSON stays as it is.
+
+    Only texts that spell a part of a secret key, escapes aside, leave the JVM.
+    """
+    doubtful = F.coalesce(F.lower(F.col(f"`{column}`")).rlike("|".join([*SECRET, r"\\u"])), F.lit(False))
+    return df.where(~doubtful).unionByName(df.where(doubtful).mapInArrow(_blank_batches(column), df.schema))
 
 
 ROW, KG, EVIDENCE = "triples_evidence/*", "triples_evidence/*/kg_triples/*", "triples_evidence/*/candidate_evidences/*"

@@ -66,8 +66,25 @@ def link_surfaces(surfaces: DataFrame, names: DataFrame) -> DataFrame:
     return hits.select("surface", "n_matches", F.when(F.col("n_matches") == 1, F.col("one")).alias("entity_id"), reason.alias("reason"))
 
 
-def fingerprint(rows: DataFrame) -> DataFrame:
-    """One checksum of a table that does not depend on the order of its rows and needs no gathering."""
-    line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in rows.columns])
-    part = F.conv(F.substring(F.sha2(line, 256), 1, 8), 16, 10).cast("decimal(38,0)")
-    return rows.select(part.alias("p")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("p").cast("string").alias("checksum"))
+def fingerprint(*tables: DataFrame) -> DataFrame:
+    """One checksum of tables of texts that does not depend on the order of rows and needs no gathering: the four words of
+    every row's SHA-256, each summed over all rows. ``tables`` hold one column ``line``; repeated rows count."""
+    lines = tables[0]
+    for t in tables[1:]:
+        lines = lines.unionByName(t)
+    digest = F.sha2("line", 256)
+    words = [F.conv(F.substring(digest, 1 + 16 * n, 16), 16, 10).cast("decimal(20,0)").alias(f"w{n}") for n in range(4)]
+    sums = [F.coalesce(F.sum(f"w{n}"), F.lit(0)).cast("string") for n in range(4)]
+    return lines.select(*words).agg(F.count(F.lit(1)).alias("n_rows"), F.concat_ws("-", *sums).alias("checksum"))
+
+
+def graph_lines(entities: DataFrame, triples: DataFrame, title_triples: DataFrame) -> list[DataFrame]:
+    """What identifies a graph: names of its entities, its triples with their mask, its title map; no sources, no types."""
+    text = lambda *columns: F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("~")) for c in columns]).alias("line")
+    names = lambda c: F.concat_ws(",", F.transform(c, lambda x: F.coalesce(x, F.lit("~"))))
+    held = entities.select("entity_id", "canonical_name", F.when(F.col("aliases").isNotNull(), names("aliases")).alias("aliases")).distinct()
+    return [
+        held.select(text(F.lit("entity"), F.col("entity_id"), F.col("canonical_name"), F.col("aliases"))),
+        triples.select(text(F.lit("triple"), *[F.col(c) for c in ("triple_id", "upstream_index", "head_id", "relation", "tail_id", "tail_literal", "raw_record", "active")])),
+        title_triples.select(text(F.lit("title"), F.col("map_row"), F.col("title"), F.when(F.col("triple_ids").isNotNull(), names("triple_ids")))),
+    ]

@@ -1,50 +1,71 @@
-"""Nearest vectors by dot product: a stated query set against all rows, in blocks."""
+"""Nearest vectors by dot product: a stated query set against all rows, in one scan of them."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that travel to the workers at once; blocks are cut by hash and filled half.
-BLOCK = 2048
+from graphloom.session import written
+
+#: Rows that a task compares at once, and query vectors that it holds beside them.
+CHUNK, BLOCK = 65_536, 2_048
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """``query_id, vec_id, score, rank``: best first, ties by vec_id; a vector is no neighbour of itself.
 
-    Each partition keeps its own best k per query before anything is shuffled.
+    Queries are written once to the shared folder. Every task reads them in blocks beside a chunk of its rows and
+    keeps the best k of the chunk per query, so nothing is collected or broadcast and rows are scanned once.
     """
-    asked = vectors.where(is_query).select("vec_id", "embedding")
-    n_blocks = -(-asked.count() // (BLOCK // 2))
-    number = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n_blocks)))
-    parts = []
-    for n in range(n_blocks):
-        block = asked.where(number == n).collect()
-        held = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in block]), np.array([r[1] for r in block], np.float64)))
-        parts.append(vectors.select("vec_id", "embedding").mapInPandas(_search(held, k), "query_id long, vec_id long, score double"))
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    asked = written(vectors.where(is_query).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), "queries")
+    files = asked.inputFiles()
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    out = rows.mapInArrow(_search(files, k), "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-def _search(held, k: int):
-    def run(batches):
-        names, queries = held.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            ids = pdf["vec_id"].to_numpy()
-            scores = queries @ np.stack(pdf["embedding"].to_numpy()).astype(np.float64).T
+def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    lists = table.column("embedding").combine_chunks()
+    flat = np.asarray(lists.flatten())
+    return np.asarray(table.column("vec_id")), flat.reshape(len(table), -1) if len(table) else np.zeros((0, 0))
+
+
+def _search(files: list[str], k: int):
+    def blocks():
+        import pyarrow.dataset as ds
+
+        for file in files:
+            path = file.removeprefix("file://")
+            source = ds.dataset(path if path == file or path.startswith("/") else file, format="parquet")
+            for batch in source.to_batches(columns=["vec_id", "embedding"], batch_size=BLOCK):
+                if len(batch):
+                    yield _matrix(pa.Table.from_batches([batch]))
+
+    def best_of(held: list[pa.RecordBatch]):
+        ids, rows = _matrix(pa.Table.from_batches(held))
+        order = np.argsort(ids, kind="stable")
+        ids, rows = ids[order], rows[order]
+        for names, queries in blocks():
+            scores = queries @ rows.T
             scores[names[:, None] == ids[None, :]] = -np.inf
-            best = np.lexsort((np.broadcast_to(ids, scores.shape), -scores))[:, :k]
-            rows = np.arange(len(names))[:, None]
-            out = pd.DataFrame({"query_id": np.repeat(names, best.shape[1]), "vec_id": ids[best].ravel(), "score": scores[rows, best].ravel()})
-            yield out[np.isfinite(out["score"])]
+            # Rows are in the order of their ids, so a stable sort settles ties.
+            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            told = np.take_along_axis(scores, best, axis=1).ravel()
+            kept = np.isfinite(told)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best.shape[1])[kept]), pa.array(ids[best].ravel()[kept]), pa.array(told[kept])], ["query_id", "vec_id", "score"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= CHUNK:
+                yield from best_of(held)
+                held, n = [], 0
+        if n:
+            yield from best_of(held)
 
     return run

