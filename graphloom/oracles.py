@@ -266,3 +266,74 @@ SQL["p3_evidence"] = _P3 + """
 SELECT DISTINCT id AS rec_key, 'triples_evidence/' || i || '/candidate_evidences/' || k AS path, CAST(k AS INT) AS pos, 'triples_evidence/' || i AS parent_path, CAST(i AS INT) AS parent_pos FROM d WHERE json_type(o) = 'OBJECT'"""
 SQL["p3_sources"] = _P3 + """
 SELECT DISTINCT key AS rec_key, 'accepted_evidence/' || i || '/source' AS path, 'accepted_evidence/' || i AS parent_path, CAST(i AS INT) AS parent_pos, 'source' AS place FROM e WHERE e.source IS NOT NULL"""
+
+
+#: Plans compiled by rounds: every open pattern with one ungrounded variable proposes to write it, those without are
+#: checks; the round in which a pattern settles is its rank.
+_PLANS = _P3.replace("WITH j AS", "WITH RECURSIVE j AS", 1) + """, qt AS (
+  SELECT id, i, min(CASE WHEN json_type(json_extract(o, '$.query_triple.head')) = 'VARCHAR' THEN json_extract_string(o, '$.query_triple.head') END) AS h,
+    min(CASE WHEN json_type(json_extract(o, '$.query_triple.relation')) = 'VARCHAR' THEN json_extract_string(o, '$.query_triple.relation') END) AS rel,
+    min(CASE WHEN json_type(json_extract(o, '$.query_triple.tail')) = 'VARCHAR' THEN json_extract_string(o, '$.query_triple.tail') END) AS g
+  FROM b WHERE json_type(o) = 'OBJECT' GROUP BY 1, 2
+), pt AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS n, h, coalesce(rel, '') AS rel, g, list_distinct(list_filter([h, g], lambda x: x LIKE '?%')) AS vars FROM qt WHERE h IS NOT NULL AND g IS NOT NULL
+), pl AS (SELECT id, list({'n': n, 'vars': vars, 'loop': h = g AND h LIKE '?%'} ORDER BY n) AS pats FROM pt GROUP BY 1
+), rd AS (
+  SELECT id, pats, CAST([] AS VARCHAR[]) AS grounded, CAST([] AS BIGINT[]) AS settled, CAST([] AS STRUCT(n BIGINT, v VARCHAR)[]) AS writes, CAST([] AS STRUCT(n BIGINT, r INT)[]) AS ranks, 0 AS round, false AS clash, false AS stop FROM pl
+  UNION ALL
+  SELECT id, pats, list_concat(grounded, list_transform(props, lambda p: p.v)), list_concat(settled, list_concat(checks, list_transform(props, lambda p: p.n))), list_concat(writes, props),
+    list_concat(ranks, list_transform(list_concat(checks, list_transform(props, lambda p: p.n)), lambda n: {'n': n, 'r': round})), round + 1, len(list_distinct(list_transform(props, lambda p: p.v))) < len(props),
+    len(list_distinct(list_transform(props, lambda p: p.v))) < len(props) OR len(props) + len(checks) = 0 OR len(settled) + len(props) + len(checks) = len(pats)
+  FROM (
+    SELECT *, list_transform(list_filter(open, lambda p: len(p.free) = 1 AND NOT p.loop), lambda p: {'n': p.n, 'v': p.free[1]}) AS props, list_transform(list_filter(open, lambda p: len(p.free) = 0), lambda p: p.n) AS checks
+    FROM (SELECT *, list_transform(list_filter(pats, lambda p: NOT list_contains(settled, p.n)), lambda p: {'n': p.n, 'loop': p.loop, 'free': list_filter(p.vars, lambda v: NOT list_contains(grounded, v))}) AS open FROM rd WHERE NOT stop)
+  )
+), fin AS (
+  SELECT id, pats, writes, ranks, CASE WHEN clash THEN 'PLAN_AMBIGUOUS_WRITER' WHEN len(settled) < len(pats) THEN 'PLAN_CYCLE' END AS reason,
+    list_distinct(flatten(list_transform(pats, lambda p: list_filter(p.vars, lambda v: NOT list_contains(writes, {'n': p.n, 'v': v}))))) AS read
+  FROM rd WHERE stop
+), ans AS (SELECT id, reason, ranks, writes, read, pats, CASE WHEN reason IS NULL THEN list_filter(list_transform(writes, lambda w: w.v), lambda v: NOT list_contains(read, v)) END AS unread FROM fin
+) """
+SQL["q14_plan_compile"] = _PLANS + "SELECT id AS question_id, CASE WHEN reason IS NULL THEN len(pats) ELSE 0 END AS n_constraints, CASE WHEN len(unread) = 1 THEN unread[1] END AS answer, reason FROM ans"
+SQL["q15_topo_ranks"] = _PLANS + """SELECT id AS question_id, 'c' || x.n AS cid, CAST(x.r AS INT) AS rank, len(list_filter(writes, lambda w: w.n = x.n AND list_contains(read, w.v))) = 0 AS terminal
+FROM (SELECT id, writes, read, unnest(ranks) AS x FROM ans WHERE reason IS NULL)"""
+
+
+def _closure(verify: bool, told: str | None = None) -> str:
+    """Closure of plans whose patterns depend on nothing, as all of these tables' do: each is answered by its first edge that holds."""
+    fits = "coalesce(cn <> '' AND (contains(relation, cn) OR contains(cn, relation)), false)"
+    ok = f"located AND {fits} AND rel <> '' AND contains(quotes, rel) AND NOT {_negated('quotes', 'rel')}" if verify else fits
+    code = f"CASE WHEN {ok} THEN 'GRAPH_SOURCE_OK' WHEN NOT located THEN 'SOURCE_UNLOCATABLE' ELSE 'GRAPH_SOURCE_REJECT' END" if verify else f"CASE WHEN {ok} THEN 'GRAPH_UNVERIFIED_ACCEPT' ELSE 'RELATION_MISMATCH' END"
+    graph = _E.removeprefix("WITH ")
+    return _PLANS.rstrip() + ", " + graph.rstrip().replace("e AS (", "ge AS (", 1) + f""", kn AS (SELECT norm, count(DISTINCT k) AS n, min(k) AS k FROM (SELECT norm, regexp_replace(lower(entity_id), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS k FROM nm) GROUP BY 1
+), con AS (
+  SELECT p.id, p.n AS c, p.h, p.g, p.rel, trim(regexp_replace(lower(p.rel), '[\\s\\p{{Z}}]+', ' ', 'g')) AS cn, hk.k AS h1, hk.n AS hn, gk.k AS g1, gk.n AS gn
+  FROM pt p JOIN ans USING (id) LEFT JOIN kn hk ON p.h NOT LIKE '?%' AND hk.norm = trim(regexp_replace(lower(p.h), '[\\s\\p{{Z}}]+', ' ', 'g')) LEFT JOIN kn gk ON p.g NOT LIKE '?%' AND gk.norm = trim(regexp_replace(lower(p.g), '[\\s\\p{{Z}}]+', ' ', 'g')) WHERE ans.reason IS NULL
+), sh AS (SELECT *, coalesce(hn, 0) > 1 OR coalesce(gn, 0) > 1 AS vague, CASE WHEN hn = 1 THEN h1 END AS hid, CASE WHEN gn = 1 THEN g1 END AS gid FROM con
+), po AS (
+  SELECT s.*, e.upstream_index AS ord, e.head_key, e.tail_key, e.relation, array_to_string(list_filter(list_transform(e.sources, lambda x: x.quote), lambda x: x IS NOT NULL), ' ') AS quotes,
+    coalesce(len(list_filter(e.sources, lambda x: x.quote IS NOT NULL AND x.title IS NOT NULL)), 0) > 0 AS located
+  FROM sh s JOIN ge e ON e.active AND (s.hid IS NOT NULL AND e.head_key = s.hid AND (s.g LIKE '?%' OR s.gid IS NOT NULL AND e.tail_key = s.gid) OR s.hid IS NULL AND s.h LIKE '?%' AND s.gid IS NOT NULL AND e.tail_key = s.gid) WHERE NOT vague
+), ve AS (SELECT id, c, h, g, ord, head_key, tail_key, {code} AS code, coalesce({ok}, false) AS ok FROM po
+), fi AS (SELECT id, c, min(ord) AS f, arg_min(CASE WHEN h LIKE '?%' THEN head_key WHEN g LIKE '?%' THEN tail_key ELSE 'x' END, ord) AS bound FROM ve WHERE ok GROUP BY 1, 2
+), co AS (
+  SELECT id, code FROM ve LEFT JOIN fi USING (id, c) WHERE f IS NULL OR ord <= f UNION SELECT id, 'AMBIGUOUS_ENTITY' FROM sh WHERE vague
+), rs AS (SELECT id, string_agg(DISTINCT code, ',' ORDER BY code) AS reasons FROM co GROUP BY 1
+), ct AS (SELECT s.id, count(f) FILTER (WHERE bound IS NOT NULL) AS np, count(f) FILTER (WHERE bound IS NOT NULL AND (s.h LIKE '?%' OR s.g LIKE '?%')) AS nb FROM sh s LEFT JOIN fi USING (id, c) GROUP BY 1)
+""" + (told or "SELECT ct.id AS question_id, CAST(np AS INT) AS n_proofs, CAST(nb AS INT) AS n_bound, coalesce(reasons, '') AS reasons FROM ct LEFT JOIN rs USING (id)")
+
+
+def _outcome(preset: str, verify: bool) -> str:
+    """What a run ends with where no pattern leads to another, so that nothing is read from text."""
+    return f"SELECT * FROM ({_closure(verify, _OUTCOME.format(preset))})"
+
+
+_OUTCOME = """, cn AS (SELECT regexp_replace(lower(entity_id), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS k, min(canonical_name) AS name FROM ent GROUP BY 1
+), wr AS (SELECT a.id, w.n AS c FROM (SELECT id, unnest(writes) AS w, unread FROM ans WHERE reason IS NULL AND len(unread) = 1) a WHERE w.v = unread[1]
+), an AS (SELECT wr.id, name FROM wr JOIN fi USING (id, c) JOIN cn ON cn.k = fi.bound
+), oc AS (SELECT ans.id, ans.reason, len(pats) AS n, coalesce(len(unread) = 1, false) AS asks, np, reasons, name FROM ans LEFT JOIN ct USING (id) LEFT JOIN rs USING (id) LEFT JOIN an USING (id))
+SELECT id AS question_id, '{}' AS preset, CASE WHEN reason IS NOT NULL THEN 'PLAN_UNSUPPORTED' WHEN np = n THEN 'COMPLETE' ELSE 'EXHAUSTED' END AS status, CASE WHEN np = n AND asks THEN name END AS answer, false AS uncertain, coalesce(reason, reasons, '') AS reasons FROM oc"""
+
+
+SQL["q63_answer_rounds"] = _outcome("core11", True) + " UNION ALL " + _outcome("verify_graph_off", False)
+SQL["q62_plan_closure"] = _closure(True)
+SQL["q62b_closure_unverified"] = _closure(False)

@@ -431,18 +431,28 @@ def q62b_closure_unverified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("question_id", F.size("proofs").alias("n_proofs"), F.size("bindings").alias("n_bound"), F.array_join(F.array_sort("reasons"), ",").alias("reasons"))
 
 
-@query
-def q63_answer_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same plans under the default preset and with edges unverified; missing hops are recovered from the question's own sentences."""
+def _answers_of_plans(spark: SparkSession, sf_dir: str, *presets: str) -> DataFrame:
     constraints, names, edges = _planned(spark, sf_dir)
     c = table(spark, sf_dir, "candidates").select("question_id", F.col("constraint_id").alias("cid"), F.struct("retrieval_rank", "candidate_id").alias("pos"), "passage_id", "head_surface", F.col("predicate_surface").alias("predicate"), "tail_surface", "char_start", "char_end", "quote").distinct()
     plans = orphans.written(_patterns(spark, sf_dir).mapInPandas(_compile_batches, PLAN_ROW).groupBy("question_id").agg(F.max("answer").alias("answer"), F.max("reason").alias("reason")), "answers")
-    runs = orphans.written(visits.runs_of(plans, ["core11", "verify_graph_off", "iterative_text"]), "runs")
+    runs = orphans.written(visits.runs_of(plans, list(presets)), "runs")
     branches = orphans.written(visits.execute(runs, constraints, names, edges, _visible(spark, sf_dir), c), "branches")
     out = visits.outcomes(branches, runs, plans, names)
     return out.select("question_id", "preset", "status", "answer", "uncertain", F.array_join("reasons", ",").alias("reasons"))
 
 
+@query
+def q63_answer_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same plans under the default preset and with edges unverified."""
+    return _answers_of_plans(spark, sf_dir, "core11", "verify_graph_off")
+
+
+@query
+def q63b_iterative_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same plans with terminal hops read from the question's own sentences as well."""
+    return _answers_of_plans(spark, sf_dir, "iterative_text")
+
+
 def _branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per branch; re-delivered rows are identical, so any of them stands for all."""
     cols = ["question_id", "branch_id"]
