@@ -179,9 +179,6 @@ SQL["q17_span_ok"] = _B + "SELECT candidate_id, char_start >= 0 AND char_end <=
 _TOP = _B + ", t AS (SELECT question_id, passage_id, row_number() OVER (PARTITION BY question_id ORDER BY doc_index, sent_index, passage_id) AS rank FROM (SELECT DISTINCT question_id, passage_id, doc_index, sent_index, visible, raw_text FROM text_units) WHERE visible) "
 SQL["q23_ordered_topk"] = _TOP + "SELECT question_id, passage_id, CAST(rank AS INT) AS rank FROM t WHERE rank <= 8"
 SQL["q55_scripted_semi"] = _TOP + "SELECT candidate_id FROM (SELECT DISTINCT candidate_id, question_id, passage_id FROM candidates) c WHERE EXISTS (SELECT 1 FROM t WHERE t.rank <= 8 AND t.question_id = c.question_id AND t.passage_id = c.passage_id)"
-SQL["q23b_followup_topk"] = _B + """, nb AS (SELECT question_id, branch_id, list_distinct(list_filter(list_transform(list_filter(map_values(coalesce(bindings, MAP {})), lambda x: x IS NOT NULL), lambda x: x.canonical_name), lambda n: n IS NOT NULL AND n <> '')) AS names FROM b
-), s AS (SELECT question_id, branch_id, passage_id, doc_index, sent_index, 2 * len(list_filter(names, lambda n: contains(raw_text, n))) AS score FROM nb JOIN (SELECT DISTINCT question_id, passage_id, doc_index, sent_index, raw_text FROM text_units) USING (question_id))
-SELECT question_id, branch_id, passage_id, CAST(score AS INT) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id, branch_id ORDER BY score DESC, doc_index, sent_index, passage_id) AS rank FROM s) WHERE rank <= 8"""
 SQL["q23c_lexical_jaccard"] = _B + """, x AS (SELECT candidate_id, list_filter(list_distinct(string_split(trim(regexp_replace(lower(quote), '[\\s\\p{Z}]+', ' ', 'g')), ' ')), lambda w: w <> '') AS q, list_filter(list_distinct(string_split(trim(regexp_replace(lower(raw_text), '[\\s\\p{Z}]+', ' ', 'g')), ' ')), lambda w: w <> '') AS r
   FROM (SELECT DISTINCT candidate_id, passage_id, quote FROM candidates) JOIN (SELECT DISTINCT passage_id, raw_text FROM unit) USING (passage_id))
 SELECT candidate_id, round(CASE WHEN len(q) + len(r) = 0 THEN 0 ELSE len(list_intersect(q, r)) / (len(q) + len(r) - len(list_intersect(q, r))) END, 6) AS score FROM x""".replace("\\\\", "\\")
@@ -192,10 +189,6 @@ SELECT candidate_id, CASE WHEN status <> 'PARSE_ERROR' THEN 0 END AS pos, status
   CAST(CASE status WHEN 'LOCATED' THEN instr(raw_text, quote) - 1 + length(quote) WHEN 'NOT_IN_TEXT' THEN least(1, length(raw_text)) END AS INT) AS char_end FROM x"""
 SQL["q34_fork_cap_ambiguous"] = _B + """SELECT b.question_id, b.branch_id, count(*) AS n_children, greatest(0, count(*) - greatest(0, coalesce(any_value(b.budget).max_active_branches, 3))) AS n_truncated
 FROM b JOIN b k ON k.question_id = b.question_id AND k.parent_branch_id = b.branch_id GROUP BY 1, 2"""
-SQL["q35_run_status"] = _B + """SELECT question_id, CASE WHEN count(*) FILTER (WHERE status = 'COMPLETE') > 1 THEN 'AMBIGUOUS' WHEN count(*) FILTER (WHERE status = 'COMPLETE') = 1 THEN 'COMPLETE'
-  WHEN bool_or(status = 'INVALIDATED') THEN 'INVALIDATED' WHEN bool_or(status = 'BUDGET_EXHAUSTED') THEN 'BUDGET_EXHAUSTED' ELSE 'EXHAUSTED' END AS status, count(*) AS n_branches FROM nf GROUP BY 1"""
-SQL["q36_revoke_cascade"] = _B + """SELECT question_id, branch_id, count(*) FILTER (WHERE coalesce(e.produces_variable = '?place', false) OR coalesce(e.parent_binding_id LIKE '%-place', false)) AS n_revoked, count(*) AS n_proofs
-FROM pr WHERE NOT e.invalidated GROUP BY 1, 2 HAVING n_revoked > 0"""
 SQL["q37_budget_cut"] = _B + """, s AS (SELECT question_id, branch_id, coalesce(budget.steps_used, 0) AS used, coalesce(budget.max_steps, 32) AS most, coalesce(sum(coalesce(budget.steps_used, 0)) OVER (PARTITION BY question_id ORDER BY depth, branch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b)
 SELECT question_id, branch_id, CAST(before AS BIGINT) AS steps_before, before + used <= most AS fits FROM s"""
 SQL["q38_active_chain"] = _B + "SELECT b.question_id, b.branch_id, coalesce(string_agg(e.proof_id, ',' ORDER BY e.acquisition_order, e.proof_id) FILTER (WHERE NOT e.invalidated), '') AS chain FROM b LEFT JOIN pr ON pr.question_id = b.question_id AND pr.branch_id = b.branch_id GROUP BY 1, 2"
@@ -337,3 +330,44 @@ SELECT id AS question_id, '{}' AS preset, CASE WHEN reason IS NOT NULL THEN 'PLA
 SQL["q63_answer_rounds"] = _outcome("core11", True) + " UNION ALL " + _outcome("verify_graph_off", False)
 SQL["q62_plan_closure"] = _closure(True)
 SQL["q62b_closure_unverified"] = _closure(False)
+
+
+_STATES = _PLANS.rstrip() + """, bs AS (SELECT DISTINCT ON (question_id, branch_id) * FROM branch_states
+), av AS (SELECT id AS question_id, CASE WHEN len(unread) = 1 THEN unread[1] END AS var FROM ans) """
+SQL["q35_run_status"] = _STATES + """, u AS (SELECT bs.*, var, CASE WHEN var IS NOT NULL THEN element_at(bindings, var)[1] END AS bd FROM bs LEFT JOIN av USING (question_id) WHERE NOT list_contains(coalesce(reason_codes, []), 'FORKED')
+), w AS (SELECT *, status = 'COMPLETE' AND (var IS NULL OR bd IS NOT NULL) AS done FROM u
+), x AS (SELECT question_id, count(DISTINCT bd.canonical_name) FILTER (WHERE done) AS n, max(bd.canonical_name) FILTER (WHERE done) AS answer, bool_or(done AND var IS NULL) AS checked, bool_or(status = 'INVALIDATED') AS fell, bool_or(status = 'BUDGET_EXHAUSTED') AS cut, count(*) AS n_branches FROM w GROUP BY 1
+), l AS (SELECT question_id, unnest(map_keys(bindings)) AS name, unnest(map_values(bindings)) AS v FROM u WHERE status <> 'INVALIDATED'
+), k AS (SELECT question_id, max(n) > 1 AS competing FROM (SELECT question_id, name, count(DISTINCT coalesce(v.entity_id, 'lit:' || v.canonical_name)) AS n FROM l WHERE v IS NOT NULL GROUP BY 1, 2) GROUP BY 1)
+SELECT question_id, CASE WHEN checked THEN 'COMPLETE' WHEN n > 1 THEN 'AMBIGUOUS' WHEN n = 1 THEN 'COMPLETE' WHEN fell THEN 'INVALIDATED' WHEN cut THEN 'BUDGET_EXHAUSTED' ELSE 'EXHAUSTED' END AS status,
+  CASE WHEN NOT checked AND n = 1 THEN answer END AS answer, NOT checked AND n = 1 AND (cut OR coalesce(competing, false)) AS uncertain, n_branches FROM x LEFT JOIN k USING (question_id)"""
+SQL["q36_revoke_cascade"] = _STATES + """, ev AS (SELECT question_id AS q, branch_id AS b, unnest(accepted_evidence) AS e FROM bs
+), bd AS (SELECT q, b, name, v.binding_id AS bid FROM (SELECT question_id AS q, branch_id AS b, unnest(map_keys(bindings)) AS name, unnest(map_values(bindings)) AS v FROM bs) WHERE v IS NOT NULL
+), ab AS (SELECT DISTINCT q, b, e.parent_binding_id AS bid FROM ev WHERE e.parent_binding_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM bd WHERE bd.q = ev.q AND bd.b = ev.b AND bd.bid = ev.e.parent_binding_id)
+), ids AS (SELECT q, b, name, bid FROM bd UNION SELECT q, b, bid, bid FROM ab
+), pp AS (SELECT a.id AS q, v AS reads, w.v AS writes FROM (SELECT id, writes, unnest(pats) AS p FROM ans WHERE reason IS NULL) a, unnest(a.p.vars) t(v), unnest(a.writes) s(w) WHERE w.n = a.p.n AND v <> w.v
+), pairs AS (SELECT ids.q, ids.b, name AS reads, e.produces_variable AS writes FROM ids JOIN ev ON ev.q = ids.q AND ev.b = ids.b AND ev.e.parent_binding_id = ids.bid WHERE e.produces_variable IS NOT NULL
+  UNION SELECT bs.question_id, bs.branch_id, reads, writes FROM bs JOIN pp ON pp.q = bs.question_id
+), roots AS (SELECT q, b, name AS root FROM bd UNION SELECT q, b, e.produces_variable FROM ev WHERE e.produces_variable IS NOT NULL UNION SELECT q, b, bid FROM ab
+), cl AS (SELECT q, b, root, root AS var FROM roots UNION SELECT cl.q, cl.b, root, writes FROM cl JOIN pairs ON pairs.q = cl.q AND pairs.b = cl.b AND pairs.reads = cl.var
+), dm AS (SELECT q, b, root, string_agg(var, ',' ORDER BY var) AS doomed FROM cl GROUP BY 1, 2, 3
+), dr AS (SELECT cl.q, cl.b, root, string_agg(DISTINCT name, ',' ORDER BY name) AS dropped FROM cl JOIN bd ON bd.q = cl.q AND bd.b = cl.b AND bd.name = cl.var GROUP BY 1, 2, 3
+), lv AS (SELECT q, b, row_number() OVER () AS no, e FROM ev WHERE e IS NOT NULL AND NOT e.invalidated
+), rv AS (
+  SELECT DISTINCT cl.q, cl.b, root, no FROM cl JOIN lv ON lv.q = cl.q AND lv.b = cl.b AND lv.e.produces_variable = cl.var
+  UNION SELECT cl.q, cl.b, root, no FROM cl JOIN ids ON ids.q = cl.q AND ids.b = cl.b AND ids.name = cl.var JOIN lv ON lv.q = cl.q AND lv.b = cl.b AND lv.e.parent_binding_id = ids.bid
+), rr AS (SELECT rv.q, rv.b, root, count(*) AS n, string_agg(e.proof_id, ',' ORDER BY e.proof_id) AS revoked FROM rv JOIN lv USING (no) GROUP BY 1, 2, 3
+), np AS (SELECT q, b, count(*) AS n FROM lv GROUP BY 1, 2)
+SELECT dm.q AS question_id, dm.b AS branch_id, dm.root AS variable, doomed, coalesce(dropped, '') AS dropped, CAST(coalesce(rr.n, 0) AS INT) AS n_revoked, coalesce(revoked, '') AS revoked, CAST(coalesce(np.n, 0) AS INT) AS n_proofs
+FROM dm LEFT JOIN dr USING (q, b, root) LEFT JOIN rr USING (q, b, root) LEFT JOIN np USING (q, b)"""
+SQL["q23b_followup_scores"] = _P3.replace("WITH j AS", "WITH j AS", 1) + """, rl AS (
+  SELECT id, i, max(CASE WHEN json_type(json_extract(o, '$.query_triple_index')) IN ('BIGINT', 'UBIGINT', 'INTEGER', 'VARCHAR', 'DOUBLE') THEN json_extract_string(o, '$.query_triple_index') END) AS given,
+    max(CASE WHEN json_type(json_extract(o, '$.query_triple.relation')) = 'VARCHAR' THEN json_extract_string(o, '$.query_triple.relation') END) AS rel, min(CASE WHEN json_type(json_extract(o, '$.query_triple.relation_variants[0]')) = 'VARCHAR' THEN json_extract_string(o, '$.query_triple.relation_variants[0]') END) AS var FROM b WHERE json_type(o) = 'OBJECT' GROUP BY 1, 2
+), rr AS (SELECT id AS question_id, 'c' || coalesce(given, CAST(i AS VARCHAR)) AS cid, arg_min(coalesce(nullif(rel, ''), var), i) AS relation FROM rl WHERE coalesce(given, rel, var) IS NOT NULL GROUP BY 1, 2
+), bs AS (SELECT DISTINCT ON (question_id, branch_id) * FROM branch_states
+), nb AS (SELECT question_id, branch_id, list_filter(list_transform(list_filter(map_values(coalesce(bindings, MAP {})), lambda x: x IS NOT NULL), lambda x: x.canonical_name), lambda n: n IS NOT NULL AND n <> '') AS names,
+    unnest(CASE WHEN len(list_filter(coalesce(pending_constraints, []), lambda c: c IS NOT NULL)) > 0 THEN list_distinct(list_filter(pending_constraints, lambda c: c IS NOT NULL)) ELSE [NULL] END) AS cid FROM bs
+), un AS (SELECT DISTINCT question_id, passage_id, doc_index, sent_index, visible, raw_text FROM text_units
+), sc AS (SELECT nb.question_id, branch_id, nb.cid, passage_id, doc_index, sent_index, 2 * (len(list_filter(names, lambda n: contains(raw_text, n))) + CAST(coalesce(relation <> '' AND contains(raw_text, relation), false) AS INT)) AS score
+  FROM nb LEFT JOIN rr ON rr.question_id = nb.question_id AND rr.cid = nb.cid JOIN un ON un.question_id = nb.question_id)
+SELECT question_id, branch_id, cid, passage_id, CAST(score AS INT) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id, branch_id, cid ORDER BY score DESC, doc_index, sent_index, passage_id) AS rank FROM sc) WHERE rank <= 8"""

@@ -496,17 +496,6 @@ def q23_ordered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _visible(spark, sf_dir).where("visible").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= TOP_K).select("question_id", "passage_id", "rank")
 
 
-@query
-def q23b_followup_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units of every branch by how many bound names they hold, hidden units included."""
-    names = F.array_distinct(F.transform(F.filter(F.map_values("bindings"), lambda x: x.isNotNull()), lambda x: x["canonical_name"]))
-    b = _branches(spark, sf_dir).select("question_id", "branch_id", F.coalesce(names, F.array().cast("array<string>")).alias("names"))
-    rows = b.join(_visible(spark, sf_dir).drop("visible"), "question_id")
-    points = F.size(F.filter("names", lambda n: n.isNotNull() & (n != "") & F.contains("raw_text", n))) * 2
-    w = Window.partitionBy("question_id", "branch_id").orderBy(F.desc("score"), "doc_index", "sent_index", "passage_id")
-    return rows.withColumn("score", points).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= TOP_K).select("question_id", "branch_id", "passage_id", "score", "rank")
-
-
 def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The relation of every constraint of a question; the first variant stands for one that is missing."""
     row = "triples_evidence/*"
@@ -519,7 +508,7 @@ def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def q23d_followup_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q23b_followup_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units of every branch and pending constraint by the names bound and the relation that they hold, hidden units included."""
     names = F.transform(F.filter(F.map_values("bindings"), lambda x: x.isNotNull()), lambda x: x["canonical_name"])
     asked = F.array_distinct(F.filter("pending_constraints", lambda c: c.isNotNull()))
@@ -568,20 +557,25 @@ def q34_fork_cap_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q35_run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status of a question from its branches, by precedence."""
+    """Outcome of a question from its branches: distinct answers to the plan's variable, then revoked, then cut by the budget; uncertain
+    where a branch stayed unfinished or branches bind a variable differently."""
     b = _branches(spark, sf_dir).where(~F.array_contains(F.coalesce("reason_codes", F.array().cast("array<string>")), "FORKED"))
+    plans = _patterns(spark, sf_dir).mapInPandas(_compile_batches, PLAN_ROW).groupBy("question_id").agg(F.max("answer").alias("variable"))
+    b = b.join(plans, "question_id", "left")
+    bound = F.when(F.col("bindings").isNotNull() & F.col("variable").isNotNull(), F.col("bindings")[F.col("variable")])
+    done = (F.col("status") == "COMPLETE") & (F.col("variable").isNull() | bound.isNotNull())
     has = lambda s: F.max((F.col("status") == s).cast("int")) == 1
-    n = F.count_if(F.col("status") == "COMPLETE")
-    status = F.when(n > 1, "AMBIGUOUS").when(n == 1, "COMPLETE").when(has("INVALIDATED"), "INVALIDATED").when(has("BUDGET_EXHAUSTED"), "BUDGET_EXHAUSTED").otherwise("EXHAUSTED")
-    return b.groupBy("question_id").agg(status.alias("status"), F.count(F.lit(1)).alias("n_branches"))
-
-
-@query
-def q36_revoke_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What revoking '?place' takes from each branch: its binding, proofs that produce it, and proofs that stand on it."""
-    p = _proofs(_branches(spark, sf_dir)).where("not invalidated")
-    hit = (F.col("produces_variable") == "?place") | F.col("parent_binding_id").endswith("-place")
-    return p.groupBy("question_id", "branch_id").agg(F.count_if(F.coalesce(hit, F.lit(False))).alias("n_revoked"), F.count(F.lit(1)).alias("n_proofs")).where("n_revoked > 0")
+    each = b.groupBy("question_id").agg(
+        F.countDistinct(F.when(done, bound["canonical_name"])).alias("n_answers"), F.max(F.when(done, bound["canonical_name"])).alias("answer"), F.max(done & F.col("variable").isNull()).alias("checked"),
+        has("INVALIDATED").alias("fell"), has("BUDGET_EXHAUSTED").alias("cut"), F.count(F.lit(1)).alias("n_branches"),
+    )
+    live = b.where("status <> 'INVALIDATED'").select("question_id", F.explode("bindings").alias("name", "v")).where("v is not null")
+    value = F.coalesce("v.entity_id", F.concat(F.lit("lit:"), "v.canonical_name"))
+    competing = live.groupBy("question_id", "name").agg(F.countDistinct(value).alias("n")).groupBy("question_id").agg((F.max("n") > 1).alias("competing"))
+    n = F.col("n_answers")
+    status = F.when(F.col("checked"), "COMPLETE").when(n > 1, "AMBIGUOUS").when(n == 1, "COMPLETE").when(F.col("fell"), "INVALIDATED").when(F.col("cut"), "BUDGET_EXHAUSTED").otherwise("EXHAUSTED")
+    one = ~F.col("checked") & (n == 1)
+    return each.join(competing, "question_id", "left").select("question_id", status.alias("status"), F.when(one, F.col("answer")).alias("answer"), (one & (F.col("cut") | F.coalesce("competing", F.lit(False)))).alias("uncertain"), "n_branches")
 
 
 def _dependency_batches(batches):
@@ -594,7 +588,7 @@ def _dependency_batches(batches):
 
 
 @query
-def q36b_revoke_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q36_revoke_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What revoking each variable of a branch takes from it, through all that depends on it."""
     plans = _patterns(spark, sf_dir).mapInPandas(_dependency_batches, "question_id string, reads string, writes string")
     rows = revoke.revocations(_branches(spark, sf_dir), plans)
