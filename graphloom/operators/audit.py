@@ -6,7 +6,7 @@ import json
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import bare
@@ -144,3 +144,21 @@ def phase2_issues(phase2: DataFrame, triples: DataFrame, entities: DataFrame, un
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def audit_records(questions: DataFrame, issues: DataFrame) -> DataFrame:
+    """``question_id, n_hard, n_soft, passed`` of every question: one passes without a hard issue (``question_id, severity``)."""
+    of = lambda s: F.count_if(F.col("severity") == s)
+    found = issues.groupBy("question_id").agg(of("hard").alias("n_hard"), of("soft").alias("n_soft"))
+    rows = questions.select("question_id").distinct().join(found, "question_id", "left").fillna(0, ["n_hard", "n_soft"])
+    return rows.withColumn("passed", F.col("n_hard") == 0)
+
+
+def graph_hints(phase2: DataFrame) -> DataFrame:
+    """Triples of the graph that a record names, each under its lasting id with its place among them; they are hints to
+    look at, never bindings to accept. An item that is no object keeps no place."""
+    nodes = evidence_nodes(phase2, [KG, *[f"{KG}/{f}" for f in FIELDS[KG]]])
+    rows = _items(nodes, KG, 4).where("is_object")
+    at = F.split("path", "/")
+    order = Window.partitionBy("question_id").orderBy(at[1].cast("int"), at[3].cast("int"))
+    return rows.withColumn("compact_index", F.row_number().over(order) - 1).select("question_id", "compact_index", "kg_triple_id", "head_entity_id", "tail_entity_id", "relation")

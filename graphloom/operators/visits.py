@@ -22,6 +22,7 @@ direction are right and texts are verified.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -69,6 +70,17 @@ def followed(asked: DataFrame, units: DataFrame, k: int | str) -> DataFrame:
     return asked.join(units, "question_id").withColumn("score", (held + told) * 2).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= (F.col(k) if isinstance(k, str) else k))
 
 
+#: Takes rows with ``query`` and ``raw_text`` and gives them a ``score``.
+Retriever = Callable[[DataFrame], DataFrame]
+
+
+def lexical_retriever(pool: DataFrame) -> DataFrame:
+    """Sentences by the share of words that they have in common with what is asked."""
+    words = lambda x: F.array_distinct(F.filter(F.split(norm_name(F.col(x)), " "), lambda w: w != ""))
+    both = F.size(F.array_union(words("query"), words("raw_text")))
+    return pool.withColumn("score", F.when(both > 0, F.size(F.array_intersect(words("query"), words("raw_text"))) / both).otherwise(0.0))
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -81,14 +93,17 @@ def _with_codes(df: DataFrame, *codes) -> DataFrame:
     return df.withColumn("reasons", F.array_union("reasons", _some(F.array(*codes))))
 
 
-def execute(runs: DataFrame, constraints: DataFrame, names: DataFrame, edges: DataFrame, units: DataFrame, candidates: DataFrame, forced: DataFrame | None = None, judged: DataFrame | None = None) -> DataFrame:
-    """Finished branches of every run whose question has constraints, with ``status`` and ``seq``, the visit that ended them."""
+def execute(runs: DataFrame, constraints: DataFrame, names: DataFrame, edges: DataFrame, units: DataFrame, candidates: DataFrame, forced: DataFrame | None = None, judged: DataFrame | None = None, retriever: Retriever | None = None) -> DataFrame:
+    """Finished branches of every run whose question has constraints, with ``status`` and ``seq``, the visit that ended them.
+
+    A ``retriever`` ranks the sentences instead of their order or the bound names.
+    """
     names = written(names, "names")
     needed = constraints.select("question_id", F.explode("depends_on").alias("cid")).distinct().withColumn("needed", F.lit(True))
     asked = written(resolved(constraints.join(needed, ["question_id", "cid"], "left").withColumn("needed", F.coalesce("needed", F.lit(False))), names), "asked")
     total = asked.groupBy("question_id").agg(F.countDistinct("cid").alias("n_constraints"))
     called = written(names.groupBy("entity_id").agg(F.collect_set("norm").alias("called"), F.min("canonical").alias("canonical")), "called")
-    reading = (units, candidates, called, names, judged)
+    reading = (units, candidates, called, names, judged, retriever)
     live = runs.join(total, "question_id").select(
         *[c.split()[0] for c in SETTINGS.split(", ")], "n_constraints", F.concat("run_id", F.lit("/b0")).alias("branch_id"), F.lit(None).cast("string").alias("parent_id"),
         F.lit(0).alias("depth"), F.lit(0).cast("long").alias("place"), *[c.alias(n) for n, c in blank_state().items()],
@@ -194,7 +209,7 @@ def _recovered(trying: DataFrame, asked: DataFrame, reading: tuple, visit: int)
     return parents, children
 
 
-def _verdicts(asking: DataFrame, units: DataFrame, candidates: DataFrame, called: DataFrame, names: DataFrame, judged: DataFrame | None) -> DataFrame:
+def _verdicts(asking: DataFrame, units: DataFrame, candidates: DataFrame, called: DataFrame, names: DataFrame, judged: DataFrame | None, retriever: Retriever | None) -> DataFrame:
     """Candidates of each branch's constraint that are examined, in order: codes, decisions, and whether a child is ``born``."""
     settings = ["method", "text_binding", "verify_text", "max_relations", "max_links", "max_active", "n_waiting", "text_top_k"]
     target = asking.select("question_id", "branch_id", "bindings", (F.col("parent_id").isNotNull() & (F.col("method") == "iterative_text")).alias("follows"), "pick.*", *settings)
@@ -205,7 +220,14 @@ def _verdicts(asking: DataFrame, units: DataFrame, candidates: DataFrame, called
     bound = target.where("follows").select("branch_id", F.explode(F.map_values("bindings")).alias("b")).join(called, F.col("b.id") == F.col("entity_id"), "left")
     bound = bound.groupBy("branch_id").agg(F.collect_list(F.coalesce("canonical", "b.literal")).alias("names"))
     after = target.where("follows").select("question_id", "branch_id", "cid", "relation", "text_top_k").join(bound, "branch_id", "left").withColumn("names", F.coalesce("names", F.array().cast(TEXTS)))
-    passages = plain.unionByName(followed(after, units, "text_top_k").select(*place))
+    if retriever is None:
+        passages = plain.unionByName(followed(after, units, "text_top_k").select(*place))
+    else:
+        bearer = called.select(F.col("entity_id").alias("bound_id"), F.col("canonical").alias("bearer"))
+        asks = target.join(bearer, "bound_id", "left").select("question_id", "branch_id", "text_top_k", "follows", F.when(F.col("forward"), F.concat_ws(" ", "bearer", "relation")).otherwise(F.concat_ws(" ", "relation", "bearer")).alias("query"))
+        pool = asks.join(units, "question_id").where("follows or visible")
+        best = Window.partitionBy("branch_id").orderBy(F.desc("score"), "doc_index", "sent_index", "passage_id")
+        passages = retriever(pool).withColumn("rank", F.row_number().over(best)).where("rank <= text_top_k").select(*place)
     rows = target.join(candidates, ["question_id", "cid"]).join(passages, ["branch_id", "passage_id"])
     mine = Window.partitionBy("branch_id")
     rows = rows.withColumns({"nth": F.row_number().over(mine.orderBy("pos", "passage_id")), "n_found": F.count(F.lit(1)).over(mine)}).where("nth <= max_relations")

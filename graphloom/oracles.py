@@ -220,7 +220,16 @@ SQL["q49_localization_audit"] = """WITH c AS (SELECT DISTINCT * FROM candidates)
   UNION ALL SELECT question_id, 'soft', 'blank head' FROM c WHERE head_surface IS NULL OR trim(head_surface) = ''
   UNION ALL SELECT question_id, 'hard', 'empty span' FROM c WHERE char_start >= char_end)
 SELECT question_id, severity, message, count(*) AS n FROM i GROUP BY 1, 2, 3"""
-SQL["q52_cache_key"] = "SELECT DISTINCT candidate_id, sha256(concat_ws('|', question_id, constraint_id, branch_id, prompt_hash)) AS cache_key FROM candidates"
+_KEYS = _B + """, sg AS (SELECT question_id, branch_id, depth > 0 AS follows, array_to_string(list_sort(list_transform(list_filter(map_entries(coalesce(bindings, MAP {})), lambda e: e.value IS NOT NULL), lambda e: e.key || '=' || coalesce(e.value.entity_id, e.value.canonical_name))), ';') AS sig FROM b
+), ck AS (SELECT candidate_id, sha256(concat_ws('|', 'v1', question_id, constraint_id, predicate_surface, coalesce(sig, ''), 'iterative_text', prompt_hash, '8', CAST(coalesce(follows, false) AS VARCHAR), 'ordered')) AS cache_key
+  FROM (SELECT DISTINCT candidate_id, question_id, constraint_id, branch_id, predicate_surface, prompt_hash FROM candidates) LEFT JOIN sg USING (question_id, branch_id)) """
+SQL["q52_cache_key"] = _KEYS + "SELECT candidate_id, cache_key FROM ck"
+SQL["q52b_cache_probes"] = _KEYS + "SELECT cache_key, count(*) AS n_probes, count(*) - 1 AS n_hits FROM ck GROUP BY 1"
+SQL["q54_extraction_prompts"] = _TOP + """, pc AS (SELECT DISTINCT question_id, cid FROM (SELECT question_id, unnest(pending_constraints) AS cid FROM b) WHERE cid IS NOT NULL
+), tx AS (SELECT t.question_id, string_agg('[' || t.passage_id || '] ' || raw_text, chr(10) ORDER BY rank, t.passage_id, raw_text) AS lines FROM t JOIN (SELECT DISTINCT question_id, passage_id, raw_text FROM text_units) u ON u.question_id = t.question_id AND u.passage_id = t.passage_id WHERE rank <= 8 GROUP BY 1
+), us AS (SELECT question_id || '/' || cid AS ask, 'constraint: ' || cid || chr(10) || 'relation: funded by' || chr(10) || 'known end: ' || question_id || chr(10) || 'passages:' || chr(10) || coalesce(lines, '') || chr(10)
+  || 'Answer: {"relations": [{"passage_id": "", "quote": "", "head": "", "predicate": "", "tail": ""}]}' AS u FROM pc LEFT JOIN tx USING (question_id))
+SELECT ask, sha256(u) AS prompt_hash, CAST(length(u) AS INT) AS token_bound FROM us"""
 SQL["q59_no_successor_flag"] = _E + """, b AS (SELECT DISTINCT ON (question_id, branch_id) * FROM branch_states
 ), x AS (SELECT question_id, branch_id, unnest(map_values(bindings)) AS v FROM b
 ), y AS (SELECT DISTINCT question_id, branch_id, regexp_replace(lower(v.entity_id), '[^\\p{L}\\p{N}]', '', 'g') AS head_key FROM x WHERE v.entity_id IS NOT NULL AND NOT v.is_literal)
@@ -371,3 +380,9 @@ SQL["q23b_followup_scores"] = _P3.replace("WITH j AS", "WITH j AS", 1) + """, rl
 ), sc AS (SELECT nb.question_id, branch_id, nb.cid, passage_id, doc_index, sent_index, 2 * (len(list_filter(names, lambda n: contains(raw_text, n))) + CAST(coalesce(relation <> '' AND contains(raw_text, relation), false) AS INT)) AS score
   FROM nb LEFT JOIN rr ON rr.question_id = nb.question_id AND rr.cid = nb.cid JOIN un ON un.question_id = nb.question_id)
 SELECT question_id, branch_id, cid, passage_id, CAST(score AS INT) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id, branch_id, cid ORDER BY score DESC, doc_index, sent_index, passage_id) AS rank FROM sc) WHERE rank <= 8"""
+SQL["q49c_audit_rollup"] = "WITH i AS (" + SQL["q49_localization_audit"] + """), s AS (SELECT question_id, sum(n) FILTER (WHERE severity = 'hard') AS h, sum(n) FILTER (WHERE severity = 'soft') AS w FROM i GROUP BY 1)
+SELECT id AS question_id, CAST(coalesce(h, 0) AS BIGINT) AS n_hard, CAST(coalesce(w, 0) AS BIGINT) AS n_soft, coalesce(h, 0) = 0 AS passed FROM (SELECT DISTINCT id FROM phase2_records) LEFT JOIN s ON s.question_id = id"""
+SQL["q49d_graph_hints"] = _P3 + f""", kl AS (SELECT id, i, {_as_list("json_extract(o, '$.kg_triples')")} AS l FROM b WHERE json_type(o) = 'OBJECT'
+), ke AS (SELECT id, i, k, json_extract(l, '$[' || k || ']') AS o FROM (SELECT id, i, l, unnest(range(CAST(json_array_length(l) AS BIGINT))) AS k FROM kl WHERE l IS NOT NULL)
+), kg AS (SELECT id, i, k, max(json_extract_string(o, '$.kg_triple_id')) AS kg_triple_id, max(json_extract_string(o, '$.head_entity_id')) AS head_entity_id, max(json_extract_string(o, '$.tail_entity_id')) AS tail_entity_id, max(json_extract_string(o, '$.relation')) AS relation FROM ke WHERE json_type(o) = 'OBJECT' GROUP BY 1, 2, 3)
+SELECT id AS question_id, CAST(row_number() OVER (PARTITION BY id ORDER BY i, k) - 1 AS INT) AS compact_index, kg_triple_id, head_entity_id, tail_entity_id, relation FROM kg"""

@@ -709,10 +709,45 @@ def q49b_evidence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q49_localization_audit(spark, sf_dir).unionByName(found.groupBy("question_id", "severity", "message").agg(F.count(F.lit(1)).alias("n")))
 
 
+@query
+def q49c_audit_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of every question by severity, and whether it passes."""
+    questions = table(spark, sf_dir, "phase2_records").select(F.col("id").alias("question_id"))
+    return audit.audit_records(questions, q49_localization_audit(spark, sf_dir).select("question_id", "severity", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))))
+
+
+@query
+def q49d_graph_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.graph_hints(table(spark, sf_dir, "phase2_records"))
+
+
 @query
 def q52_cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "candidates").select("candidate_id", "question_id", "constraint_id", "branch_id", "prompt_hash").distinct()
-    return c.select("candidate_id", F.sha2(F.concat_ws("|", "question_id", "constraint_id", "branch_id", "prompt_hash"), 256).alias("cache_key"))
+    """The key under which the sentences read for a candidate's constraint are kept: version, question, constraint, predicate, bindings,
+    method, prompt, number of sentences, follow-up and retriever."""
+    c = table(spark, sf_dir, "candidates").select("candidate_id", "question_id", "constraint_id", "branch_id", "predicate_surface", "prompt_hash").distinct()
+    bound = F.transform(F.filter(F.map_entries("bindings"), lambda e: e["value"].isNotNull()), lambda e: F.concat_ws("=", e["key"], F.coalesce(e["value"]["entity_id"], e["value"]["canonical_name"])))
+    b = _branches(spark, sf_dir).select("question_id", "branch_id", F.array_join(F.array_sort(F.coalesce(bound, F.array().cast("array<string>"))), ";").alias("signature"), (F.col("depth") > 0).alias("follows"))
+    rows = c.join(b, ["question_id", "branch_id"], "left")
+    key = F.concat_ws("|", F.lit("v1"), "question_id", "constraint_id", "predicate_surface", F.coalesce("signature", F.lit("")), F.lit("iterative_text"), "prompt_hash", F.lit(str(TOP_K)), F.coalesce("follows", F.lit(False)).cast("string"), F.lit("ordered"))
+    return rows.select("candidate_id", F.sha2(key, 256).alias("cache_key"))
+
+
+@query
+def q52b_cache_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each key is asked for, and how many of these need no search."""
+    return q52_cache_key(spark, sf_dir).groupBy("cache_key").agg(F.count(F.lit(1)).alias("n_probes"), (F.count(F.lit(1)) - 1).alias("n_hits"))
+
+
+@query
+def q54_extraction_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompt for every constraint of a question that some branch has pending, with its first visible sentences."""
+    pending = _branches(spark, sf_dir).select("question_id", F.explode("pending_constraints").alias("cid")).where("cid is not null").distinct()
+    ask = F.concat_ws("/", "question_id", "cid")
+    units = _visible(spark, sf_dir).select("question_id", "passage_id", "raw_text").distinct()
+    top = q23_ordered_topk(spark, sf_dir).join(units, ["question_id", "passage_id"]).join(pending, "question_id").select(ask.alias("ask"), "rank", "passage_id", "raw_text")
+    asked = pending.select(ask.alias("ask"), "cid", F.lit("funded by").alias("relation"), F.col("question_id").alias("bound"))
+    return model.extraction_prompts(asked, top).select("ask", "prompt_hash", F.length("user").alias("token_bound"))
 
 
 @query

@@ -20,16 +20,21 @@ def require_path(path: str, directory: bool = False) -> str:
     return path
 
 
+#: What ends a line besides the line feed and the carriage return.
+LINE_ENDS = "[\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``line_no, value`` of every line, numbered from 0 over the file in order.
 
     Rows are numbered inside each partition; one row per partition carries where it begins.
     """
     n = F.monotonically_increasing_id()
-    lines = spark.read.text(require_path(path)).select(F.shiftright(n, 33).alias("part"), n.bitwiseAND((1 << 33) - 1).alias("at"), "value")
+    cut = spark.read.text(require_path(path)).select(F.explode(F.split("value", LINE_ENDS)).alias("value"))
+    lines = cut.select(F.shiftright(n, 33).alias("part"), n.bitwiseAND((1 << 33) - 1).alias("at"), "value")
     sizes = lines.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     begins = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("begin"))
-    return lines.join(F.broadcast(begins), "part").select((F.col("begin") + F.col("at")).alias("line_no"), "value")
+    return lines.join(begins, "part").select((F.col("begin") + F.col("at")).alias("line_no"), "value")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -42,12 +47,18 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.select("line_no", "r.*").drop("_broken")
 
 
-def read_json_list(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a JSON list, or of the list under ``data``."""
-    df = spark.read.option("multiLine", "true").json(require_path(path))
-    if df.columns == ["data"]:
-        df = df.select(F.explode("data").alias("r")).where("r is not null").select("r.*")
-    return df
+def read_json_list(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Rows of a JSON list, or of the list under ``data``; items that are no objects are left out.
+
+    Such a file is one value and is read by one task; its items are told apart there and parsed wherever they land. Without a
+    ``schema`` (DDL) it is inferred from all items.
+    """
+    text = spark.read.text(require_path(path), wholetext=True)
+    items = F.coalesce(F.from_json("value", "array<string>"), F.from_json("value", "data array<string>")["data"])
+    rows = text.select(F.explode(items).alias("item")).where(F.ltrim("item").startswith("{"))
+    if schema is None:
+        return spark.read.json(rows.rdd.map(lambda r: r[0]))
+    return rows.select(F.from_json("item", schema).alias("r")).select("r.*")
 
 
 def read_graph_directory(spark: SparkSession, path: str, namespace: str) -> dict[str, DataFrame]:

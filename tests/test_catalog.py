@@ -158,3 +158,17 @@ def test_presets_by_question(spark):
     got = {r.run_id: r for r in runs.collect()}
     assert sorted(got) == ["q/cog_controlled", "q/core11", "r/cog_controlled", "r/core11"] and not got["q/cog_controlled"].verify_graph and got["q/core11"].max_steps == 5 and got["q/core11"].text_top_k == 8
     assert runs.schema.simpleString() == spark.createDataFrame([], V.SETTINGS).schema.simpleString()
+
+
+def test_a_retriever_decides_what_is_read(world):
+    """With one sentence to read, order takes the author's, a retriever the one that says what is asked."""
+    tables = dict(world[3])
+    one = {"runs": tables["runs"].where("run_id = 'normal_missing_edge'").withColumn("text_top_k", F.lit(1))}
+    plain = V.execute(**(tables | one)).where("parent_id is not null").count()
+
+    def by_cue(pool):
+        return pool.withColumn("score", F.contains("raw_text", F.lit("毕业")).cast("int"))
+
+    assert plain == 0 and V.execute(**(tables | one), retriever=by_cue).where("parent_id is not null").count() == 1
+    rows = tables["units"].sparkSession.createDataFrame([("a b", "A  b c"), ("a", "z"), ("", "")], "query string, raw_text string")
+    assert [round(r.score, 3) for r in V.lexical_retriever(rows).collect()] == [0.667, 0.0, 0.0]

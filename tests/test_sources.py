@@ -21,6 +21,37 @@ def test_lines_numbers_blanks_and_faults(spark, tmp_path):
         S.require_path(str(tmp_path / "none"))
 
 
+def test_other_line_ends(spark, tmp_path):
+    p = tmp_path / "ends.jsonl"
+    p.write_text('{"a": 1}\u2028{"a": 2}\x85\n{"a": 3}\r\n{"a": 4}', encoding="utf-8")
+    assert [tuple(r) for r in S.read_json_lines(spark, str(p), "a long").orderBy("line_no").collect()] == [(0, 1), (1, 2), (3, 3), (4, 4)]
+
+
+def test_lists_leave_out_what_is_no_object(spark, tmp_path):
+    p = tmp_path / "mixed.json"
+    p.write_text(json.dumps([{"id": "1"}, 5, None, [1], "x", {"id": "2", "y": {"z": 1}}]))
+    assert sorted(r.id for r in S.read_json_list(spark, str(p)).collect()) == ["1", "2"] == sorted(r.id for r in S.read_json_list(spark, str(p), "id string").collect())
+
+
+def test_settings(tmp_path):
+    from graphloom.plans.settings import read_settings
+
+    p = tmp_path / "s.yaml"
+    p.write_text("engine:\n  preset: simple_bind\n  verify_text: false\n  max_steps: 7\n")
+    got = read_settings(str(p))
+    assert (got["method"], got["verify_text"], got["verify_graph"], got["max_steps"], got["max_active"]) == ("simple_slot", False, True, 7, 3)
+    for body in ("- 1", "engine: 3", "max_steps: many", "max_step: 3", "preset: none", "verify_text: 1"):
+        p.write_text(body)
+        with pytest.raises(S.InputError):
+            read_settings(str(p))
+
+
+def test_judgments(spark):
+    rows = [("1", '{"decision": "supported"}'), ("2", '{"decision": "maybe"}'), ("3", "no json"), ("4", None)]
+    got = {r.id: (r.decision, r.reason) for r in M.judgments(spark.createDataFrame(rows, "id string, content string"), ["id"], "content").collect()}
+    assert got == {"1": ("SUPPORTED", "MODEL_SUPPORTED"), **{k: ("UNKNOWN", "MODEL_PARSE_ERROR") for k in "234"}}
+
+
 def test_lists(spark, tmp_path):
     for n, body in enumerate(([{"id": "1"}, {"id": "2"}], {"data": [{"id": "1"}, {"id": "2"}]})):
         p = tmp_path / f"{n}.json"
