@@ -24,6 +24,13 @@ def public_view(questions: DataFrame) -> DataFrame:
     return questions.drop(*[c for c in questions.columns if c in GOLD])
 
 
+def split_gold(questions: DataFrame, key: str, order: str, answers: str) -> tuple[DataFrame, DataFrame]:
+    """(questions without gold columns, ``key, answer``): the row that comes last overrides earlier ones, several answers are joined."""
+    told = F.array_join(F.filter(answers, lambda a: a.isNotNull()), " | ") if questions.schema[answers].dataType.typeName() == "array" else F.col(answers)
+    gold = questions.groupBy(key).agg(F.max_by(told, order).alias("answer"))
+    return public_view(questions.drop(answers)), gold
+
+
 def refuse_gold(df: DataFrame) -> DataFrame:
     if found := sorted(GOLD & set(df.columns)):
         raise ValueError(f"gold columns in an inference input: {', '.join(found)}")

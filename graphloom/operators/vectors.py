@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -69,3 +71,18 @@ def _search(files: list[str], k: int):
             yield from best_of(held)
 
     return run
+
+
+def cosine(a: Column, b: Column) -> Column:
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    size = F.sqrt(dot(a, a) * dot(b, b))
+    return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
+
+
+def rerank(coarse: DataFrame, vectors: DataFrame, scorer: Callable[[Column, Column], Column], k: int) -> DataFrame:
+    """``query_id, vec_id, score, rank``: the coarse neighbours of each query by a second, dearer score of both vectors."""
+    side = lambda key, name: vectors.select(F.col("vec_id").alias(key), F.col("embedding").alias(name))
+    rows = coarse.select("query_id", "vec_id").join(side("query_id", "asked"), "query_id").join(side("vec_id", "held"), "vec_id")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    rows = rows.select("query_id", "vec_id", F.round(scorer(F.col("asked"), F.col("held")), 6).alias("score"))
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import norm_name
 from graphloom.functions.verify import names_match, span_ok, text_verdict
+from graphloom.operators.audit import refuse_gold
 from graphloom.operators.closure import PROOF, TEXTS, blank_state, closure, ends, parent_of, proven, resolved, shape_of, vague
 from graphloom.session import written
 
@@ -98,6 +99,8 @@ def execute(runs: DataFrame, constraints: DataFrame, names: DataFrame, edges: Da
 
     A ``retriever`` ranks the sentences instead of their order or the bound names.
     """
+    for rows in (runs, constraints, names, edges, units, candidates):
+        refuse_gold(rows)
     names = written(names, "names")
     needed = constraints.select("question_id", F.explode("depends_on").alias("cid")).distinct().withColumn("needed", F.lit(True))
     asked = written(resolved(constraints.join(needed, ["question_id", "cid"], "left").withColumn("needed", F.coalesce("needed", F.lit(False))), names), "asked")

@@ -61,7 +61,7 @@ SQL["q03_outgoing"] = _E + "SELECT head_key, count(*) AS n_edges, min(upstream_i
 SQL["q04_incoming"] = _E + "SELECT tail_key, count(*) AS n_edges, min(upstream_index) AS first_index, max(upstream_index) AS last_index FROM e WHERE active AND tail_key IS NOT NULL GROUP BY 1"
 _T = "WITH x AS (SELECT map_row, unnest(triple_ids) AS triple_id, generate_subscripts(triple_ids, 1) - 1 AS pos FROM title_triples) "
 SQL["q05_mask_active_titles"] = _T + "SELECT map_row, count(*) AS n_ids, count(*) FILTER (WHERE t.active AND t.deleted_at IS NULL) AS n_active FROM x LEFT JOIN triples t USING (triple_id) WHERE triple_id IS NOT NULL GROUP BY 1"
-SQL["q06_forced_candidates"] = _T + "SELECT map_row, CAST(min(pos) AS INT) AS pos, arg_min(triple_id, pos) AS triple_id FROM x JOIN triples t USING (triple_id) WHERE t.active GROUP BY 1"
+SQL["q06_forced_candidates"] = _T + "SELECT map_row, string_agg(triple_id, ',' ORDER BY pos) AS ids FROM x JOIN triples t USING (triple_id) WHERE t.active GROUP BY 1"
 SQL["q07_both_endpoints"] = _E + "SELECT head_key, tail_key, count(*) AS n_edges, min(upstream_index) AS first_index FROM e WHERE active AND head_key IS NOT NULL AND tail_key IS NOT NULL GROUP BY 1, 2"
 SQL["q08_entity_literal"] = _E + "SELECT head_key, tail_literal, count(*) AS n_edges, min(upstream_index) AS first_index FROM e WHERE active AND head_key IS NOT NULL AND tail_literal IS NOT NULL GROUP BY 1, 2"
 SQL["q09_shape_classify"] = _E + _link("SELECT head_surface AS surface FROM candidates UNION SELECT tail_surface FROM candidates") + """, c AS (SELECT DISTINCT candidate_id, head_surface, tail_surface FROM candidates), r AS (
@@ -192,7 +192,8 @@ FROM b JOIN b k ON k.question_id = b.question_id AND k.parent_branch_id = b.bran
 SQL["q37_budget_cut"] = _B + """, s AS (SELECT question_id, branch_id, coalesce(budget.steps_used, 0) AS used, coalesce(budget.max_steps, 32) AS most, coalesce(sum(coalesce(budget.steps_used, 0)) OVER (PARTITION BY question_id ORDER BY depth, branch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b)
 SELECT question_id, branch_id, CAST(before AS BIGINT) AS steps_before, before + used <= most AS fits FROM s"""
 SQL["q38_active_chain"] = _B + "SELECT b.question_id, b.branch_id, coalesce(string_agg(e.proof_id, ',' ORDER BY e.acquisition_order, e.proof_id) FILTER (WHERE NOT e.invalidated), '') AS chain FROM b LEFT JOIN pr ON pr.question_id = b.question_id AND pr.branch_id = b.branch_id GROUP BY 1, 2"
-SQL["q39_reason_rollup"] = _B + "SELECT question_id, string_agg(DISTINCT r, ',' ORDER BY r) AS reasons FROM (SELECT question_id, unnest(reason_codes) AS r FROM b) WHERE r IS NOT NULL GROUP BY 1"
+SQL["q39_reason_rollup"] = _B + """, r AS (SELECT question_id, depth, branch_id, unnest(reason_codes) AS r, generate_subscripts(reason_codes, 1) AS p FROM b), f AS (SELECT question_id, r, min({'d': depth, 'b': branch_id, 'p': p}) AS fst FROM r WHERE r IS NOT NULL GROUP BY 1, 2)
+SELECT question_id, string_agg(r, ',' ORDER BY fst) AS reasons FROM f GROUP BY 1"""
 _G = """WITH an AS (SELECT candidate_id, regexp_replace(lower(ground_truth_answer), '[^\\p{L}\\p{N}]', '', 'g') AS g, regexp_replace(lower(tail_surface), '[^\\p{L}\\p{N}]', '', 'g') AS t
   FROM (SELECT DISTINCT candidate_id, question_id, tail_surface FROM candidates) JOIN (SELECT DISTINCT id AS question_id, ground_truth_answer FROM phase2_records) USING (question_id)) """.replace("\\\\", "\\")
 SQL["q40_exact_match"] = _G + "SELECT candidate_id, CASE WHEN g IS NULL THEN NULL ELSE coalesce(g = t, false) END AS em FROM an"
@@ -234,7 +235,7 @@ SQL["q59_no_successor_flag"] = _E + """, b AS (SELECT DISTINCT ON (question_id,
 ), x AS (SELECT question_id, branch_id, unnest(map_values(bindings)) AS v FROM b
 ), y AS (SELECT DISTINCT question_id, branch_id, regexp_replace(lower(v.entity_id), '[^\\p{L}\\p{N}]', '', 'g') AS head_key FROM x WHERE v.entity_id IS NOT NULL AND NOT v.is_literal)
 SELECT * FROM y WHERE head_key NOT IN (SELECT head_key FROM e WHERE active AND head_key IS NOT NULL)""".replace("\\\\", "\\")
-SQL["q60_replay_chain"] = _B + "SELECT p.question_id, p.e.kind AS kind, count(*) AS n_proofs, count(DISTINCT p.e.proof_id) AS n_ids FROM pr p JOIN nf USING (question_id, branch_id) WHERE NOT p.e.invalidated AND nf.status <> 'INVALIDATED' GROUP BY 1, 2"
+SQL["q60_replay_chain"] = _B + """SELECT p.question_id, string_agg(p.e.proof_id, ',' ORDER BY p.e.acquisition_order, p.e.proof_id, branch_id) AS chain, count(DISTINCT p.e.proof_id) AS n_ids FROM pr p JOIN nf USING (question_id, branch_id) WHERE NOT p.e.invalidated AND nf.status <> 'INVALIDATED' GROUP BY 1"""
 SQL["q24_vector_topk"] = """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
 SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
 
@@ -386,3 +387,7 @@ SQL["q49d_graph_hints"] = _P3 + f""", kl AS (SELECT id, i, {_as_list("json_extra
 ), ke AS (SELECT id, i, k, json_extract(l, '$[' || k || ']') AS o FROM (SELECT id, i, l, unnest(range(CAST(json_array_length(l) AS BIGINT))) AS k FROM kl WHERE l IS NOT NULL)
 ), kg AS (SELECT id, i, k, max(json_extract_string(o, '$.kg_triple_id')) AS kg_triple_id, max(json_extract_string(o, '$.head_entity_id')) AS head_entity_id, max(json_extract_string(o, '$.tail_entity_id')) AS tail_entity_id, max(json_extract_string(o, '$.relation')) AS relation FROM ke WHERE json_type(o) = 'OBJECT' GROUP BY 1, 2, 3)
 SELECT id AS question_id, CAST(row_number() OVER (PARTITION BY id ORDER BY i, k) - 1 AS INT) AS compact_index, kg_triple_id, head_entity_id, tail_entity_id, relation FROM kg"""
+SQL["q50b_gold_records"] = """WITH x AS (SELECT id, received_at, array_to_string(list_filter([ground_truth_answer, nullif(string_split(question, ' ')[1], '')], lambda a: a IS NOT NULL), ' | ') AS a FROM phase2_records)
+SELECT id, arg_max(a, received_at) AS answer FROM x GROUP BY 1"""
+SQL["q24b_two_stage"] = "WITH t AS (" + SQL["q24_vector_topk"] + """), s AS (SELECT query_id, t.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM t JOIN embeddings q ON q.vec_id = query_id JOIN embeddings v ON v.vec_id = t.vec_id)
+SELECT query_id, vec_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""

@@ -101,31 +101,6 @@ def topo_ranks(plan: Plan) -> dict[str, int]:
     return ranks
 
 
-def has_successor(plan: Plan, cid: str) -> bool:
-    return any(cid in c.depends_on for c in plan.constraints)
-
-
-def ready_for_recovery(plan: Plan, proven: set[str], attempts: dict[str, int], limit: int, terminal_too: bool = False) -> list[str]:
-    """Open constraints that text may answer, in order of rank and place."""
-    ranks = topo_ranks(plan)
-    out = [
-        (ranks[c.cid], n, c.cid)
-        for n, c in enumerate(plan.constraints)
-        if c.cid not in proven and set(c.depends_on) <= proven and attempts.get(c.cid, 0) < limit and (terminal_too or not c.terminal and has_successor(plan, c.cid))
-    ]
-    return [cid for _, _, cid in sorted(out)]
-
-
 def dependencies(plan: Plan) -> set[tuple[str, str]]:
     """(read, written) for every variable that some constraint writes from another."""
     return {(t.text, w) for c in plan.constraints for t in (c.head, c.tail) if t.kind == "variable" and t.text not in c.writes for w in c.writes}
-
-
-def dependent_variables(plan: Plan, variable: str) -> set[str]:
-    """The variable and all that are written from it, directly or not."""
-    doomed = {variable}
-    while True:
-        more = {w for c in plan.constraints if doomed & {t.text for t in (c.head, c.tail)} - set(c.writes) for w in c.writes} - doomed
-        if not more:
-            return doomed
-        doomed |= more

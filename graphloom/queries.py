@@ -117,9 +117,10 @@ def q05_mask_active_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q06_forced_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first of a title's ids, in their given order, that exists and is active."""
+    """A title's ids in their given order, those only that exist and are active."""
     live = table(spark, sf_dir, "triples").where("active").select("triple_id")
-    return _title_ids(spark, sf_dir).join(live, "triple_id").groupBy("map_row").agg(F.min("pos").alias("pos"), F.min_by("triple_id", "pos").alias("triple_id"))
+    given = _title_ids(spark, sf_dir).join(live, "triple_id").groupBy("map_row").agg(F.array_sort(F.collect_list(F.struct("pos", "triple_id"))).alias("x"))
+    return given.select("map_row", F.array_join(F.transform("x", lambda x: x["triple_id"]), ",").alias("ids"))
 
 
 @query
@@ -614,8 +615,10 @@ def q38_active_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q39_reason_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _branches(spark, sf_dir).select("question_id", F.explode("reason_codes").alias("r")).where("r is not null")
-    return r.groupBy("question_id").agg(F.array_join(F.array_sort(F.collect_set("r")), ",").alias("reasons"))
+    """Codes of a question's branches, each at its first place in the order of branches."""
+    r = _branches(spark, sf_dir).select("question_id", "depth", "branch_id", F.posexplode("reason_codes").alias("pos", "r")).where("r is not null")
+    first = r.groupBy("question_id", "r").agg(F.min(F.struct("depth", "branch_id", "pos")).alias("at"))
+    return first.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "r"))), lambda x: x["r"]), ",").alias("reasons"))
 
 
 @query
@@ -682,6 +685,13 @@ def q50_gold_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.public_view(table(spark, sf_dir, "phase2_records")).select("id", "question", "received_at").distinct()
 
 
+@query
+def q50b_gold_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gold side: the answer of the row that was received last."""
+    rows = table(spark, sf_dir, "phase2_records").withColumn("answers", F.array("ground_truth_answer", F.nullif(F.substring_index("question", " ", 1), F.lit(""))))
+    return audit.split_gold(rows.select("id", "answers", "received_at"), "id", "received_at", "answers")[1]
+
+
 @query
 def q49_localization_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues of candidates and branches against the tables they name, by severity."""
@@ -782,9 +792,10 @@ def q59_no_successor_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q60_replay_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Proofs of each question's branches that still count, as one number per kind."""
+    """Proofs of each question that still count, over branches that are neither forked nor revoked, in the order in which they were acquired."""
     b = _branches(spark, sf_dir).where("status <> 'INVALIDATED'").where(~F.array_contains(F.coalesce("reason_codes", F.array().cast("array<string>")), "FORKED"))
-    return _proofs(b).where("not invalidated").groupBy("question_id", "kind").agg(F.count(F.lit(1)).alias("n_proofs"), F.countDistinct("proof_id").alias("n_ids"))
+    ids = F.array_sort(F.collect_list(F.struct("acquisition_order", "proof_id", "branch_id")))
+    return _proofs(b).where("not invalidated").groupBy("question_id").agg(F.array_join(F.transform(ids, lambda x: x["proof_id"]), ",").alias("chain"), F.countDistinct("proof_id").alias("n_ids"))
 
 
 @query
@@ -793,6 +804,13 @@ def q24_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=20)
 
 
+@query
+def q24b_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest by dot product ranked anew by a second score, here their cosine."""
+    rows = table(spark, sf_dir, "embeddings")
+    return vectors.rerank(vectors.top_k(rows, F.col("vec_id") % 100 == 0, k=20), rows, vectors.cosine, k=5)
+
+
 @query
 def q56_actionable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first pending constraint of each branch, in the order given, that no active proof answers."""

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import score, verify
 from graphloom.operators import audit, graph
-from graphloom.plans.compiler import compile_plan, dependent_variables, has_successor, parse_term, ready_for_recovery, topo_ranks
+from graphloom.plans.compiler import compile_plan, dependencies, parse_term, topo_ranks
 
 
 def p(head, relation, tail, **more):
@@ -20,10 +20,8 @@ def test_terms():
 def test_chain_ranks_and_successors():
     plan = compile_plan(CHAIN)
     assert plan.supported and plan.answer == "?c" and topo_ranks(plan) == {"c0": 0, "c1": 1, "c2": 2}
-    assert has_successor(plan, "c1") and not has_successor(plan, "c2") and [c.terminal for c in plan.constraints] == [False, False, True]
-    assert ready_for_recovery(plan, {"c0"}, {}, 1) == ["c1"] and ready_for_recovery(plan, {"c0"}, {"c1": 1}, 1) == []
-    assert ready_for_recovery(plan, {"c0", "c1"}, {}, 1) == [] and ready_for_recovery(plan, {"c0", "c1"}, {}, 1, terminal_too=True) == ["c2"]
-    assert dependent_variables(plan, "?a") == {"?a", "?u", "?c"}
+    assert [c.terminal for c in plan.constraints] == [False, False, True]
+    assert dependencies(plan) == {("?a", "?u"), ("?u", "?c")}
 
 
 def test_order_does_not_matter():
@@ -85,3 +83,9 @@ def test_secrets_and_gold(spark):
         assert "answer" in str(e)
     else:
         raise AssertionError
+
+
+def test_gold_is_split_off_and_the_last_row_wins(spark):
+    rows = spark.createDataFrame([("1", "q", ["a", None, "b"], 1, "x"), ("1", "q", ["c"], 2, "x"), ("2", "r", None, 1, "x")], "id string, question string, answers array<string>, at int, supporting_facts string")
+    public, gold = audit.split_gold(rows, "id", "at", "answers")
+    assert public.columns == ["id", "question", "at"] and {r.id: r.answer for r in gold.collect()} == {"1": "c", "2": None}
