@@ -112,7 +112,7 @@ def execute(runs: DataFrame, constraints: DataFrame, names: DataFrame, edges: Da
         F.lit(0).alias("depth"), F.lit(0).cast("long").alias("place"), *[c.alias(n) for n, c in blank_state().items()],
     )
     live = written(live, "live")
-    ledger = written(live.select("run_id", F.lit(0).alias("steps"), F.array().cast(TEXTS).alias("tried")), "ledger")
+    ledger = live.select("run_id", F.lit(0).alias("steps"), F.array().cast(TEXTS).alias("tried"))
     columns, finished, visit = live.columns, [], 0
 
     def ends_with(df: DataFrame, status: str) -> DataFrame:
@@ -125,7 +125,7 @@ def execute(runs: DataFrame, constraints: DataFrame, names: DataFrame, edges: Da
         paid = heads.where("steps < max_steps").withColumn("steps", F.col("steps") + 1)
         closing = F.col("parent_id").isNull() | F.col("reentry")
         closed = closure(paid.where(closing), asked, names, edges, forced, F.col("verify_graph"))
-        closed = written(_note_successors(closed, asked).unionByName(paid.where(~closing).select(*closed.columns)), "closed")
+        closed = written((_note_successors(closed, asked) if visit else closed).unionByName(paid.where(~closing).select(*closed.columns)), "closed")
         whole = (F.size(F.array_distinct(F.transform(F.filter("proofs", lambda p: ~p["invalidated"]), lambda p: p["cid"]))) >= F.col("n_constraints")) & consistent()
         finished.append(ends_with(closed.where(whole), "COMPLETE"))
         open_ = closed.where(~whole)
@@ -134,16 +134,19 @@ def execute(runs: DataFrame, constraints: DataFrame, names: DataFrame, edges: Da
         broke = spent.select("run_id").distinct()
         cut = spent.unionByName(waiting.join(broke, "run_id", "left_semi").select(*columns))
         finished.append(ends_with(_with_codes(cut, F.lit("BUDGET_EXHAUSTED")), "BUDGET_EXHAUSTED"))
-        parents, children = _recovered(trying, asked, reading, visit)
-        finished.append(ends_with(_with_codes(parents.where("forked"), F.lit("FORKED")), "FORKED"))
-        finished.append(ends_with(parents.where("not forked and not again"), "EXHAUSTED"))
-        again = parents.where("not forked and again").withColumn("place", F.lit((visit + 1) * VISIT).cast("long"))
-        steps = closed.where(whole).select("run_id", "steps", "tried").unionByName(parents.select("run_id", "steps", "tried"))
-        live = written(_union([waiting.join(broke, "run_id", "left_anti").select(*columns), again.select(*columns), children.select(*columns)]), "live")
+        steps, queued = closed.where(whole).select("run_id", "steps", "tried"), [waiting.join(broke, "run_id", "left_anti").select(*columns)]
+        if not trying.isEmpty():
+            parents, children = _recovered(trying, asked, reading, visit)
+            finished.append(ends_with(_with_codes(parents.where("forked"), F.lit("FORKED")), "FORKED"))
+            finished.append(ends_with(parents.where("not forked and not again"), "EXHAUSTED"))
+            again = parents.where("not forked and again").withColumn("place", F.lit((visit + 1) * VISIT).cast("long"))
+            queued += [again.select(*columns), children.select(*columns)]
+            steps = steps.unionByName(parents.select("run_id", "steps", "tried"))
+        live = written(_union(queued), "live")
         ledger = written(steps, "ledger")
         visit += 1
     out = _union(finished) if finished else ends_with(live, "EXHAUSTED")
-    return _revoked(out, constraints)
+    return out if runs.where("revoke is not null").isEmpty() else _revoked(out, constraints)
 
 
 def consistent():
