@@ -3,7 +3,8 @@
 Method: rows that are byte-identical in the compared columns collapse first, with a count;
 only the distinct survivors are brought to canonical form; they are grouped again on the
 full canonical text and the counts are summed. Both steps combine on the map side, so a
-group that holds a third of all rows arrives as one row per task.
+group that holds a third of all rows arrives as one row per task. The survivors are written
+once and read by both steps that need them.
 
 Members are found without ever collecting a group: survivors of groups with more than one
 row learn the group's smallest index by a join on the canonical text, and rows learn it by
@@ -20,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.session import written
+
 
 def _same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
     test = F.lit(True)
@@ -41,7 +44,7 @@ def canonical_groups(survivors: DataFrame, canonical: dict[str, Column]) -> Data
 
 def copies(rows: DataFrame, raw: list[str], canonical: dict[str, Column], index: str) -> DataFrame:
     """``keep_index, copy_index`` for every row but the first of each record."""
-    survivors = raw_groups(rows, raw, index)
+    survivors = written(raw_groups(rows, raw, index), "survivors")
     repeated = canonical_groups(survivors, canonical).where("n_copies > 1")
     formed = survivors.select(*raw, *[c.alias(n) for n, c in canonical.items()])
     known = formed.join(repeated, _same(formed, repeated, list(canonical))).select(*[formed[c] for c in raw], "keep_index")
