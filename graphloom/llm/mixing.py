@@ -41,9 +41,10 @@ def mix_plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -
     rows = targets.select("source", "target_share", F.col("max_repeats").cast("long").alias("max_repeats")).distinct().join(held, "source", "left").withColumn("available", F.coalesce("available", F.lit(0)).cast("long"))
     rows = rows.withColumn("live", F.coalesce((F.col("available") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") >= 1), F.lit(False)))
     most = F.min(F.when(F.col("live"), F.col("available") * F.col("max_repeats") / F.col("target_share")))
-    bounds = rows.agg(F.sum(F.when(F.col("live"), F.col("target_share"))).alias("whole"), most.alias("most"))  # one row
-    size = F.col("most") * F.col("whole") if total is None else F.least(F.lit(float(total)), F.col("most") * F.col("whole"))
-    rows = rows.join(F.broadcast(bounds), how="cross").withColumn("goal", F.when(F.col("live"), size * F.col("target_share") / F.col("whole")).otherwise(0.0))
+    whole, most = rows.agg(F.sum(F.when(F.col("live"), F.col("target_share")))).scalar(), rows.agg(most).scalar()
+    rows = rows.withColumns({"whole": whole, "size": most}).withColumn("size", F.col("size") * F.col("whole"))
+    size = F.col("size") if total is None else F.least(F.lit(float(total)), F.col("size"))
+    rows = rows.withColumn("goal", F.when(F.col("live"), size * F.col("target_share") / F.col("whole")).otherwise(0.0))
     epochs = F.when(F.col("live"), F.col("goal") / F.col("available")).otherwise(0.0)
     certain = F.floor(epochs + 1e-9)
     return rows.select("source", "target_share", "max_repeats", "available", "goal", certain.cast("long").alias("certain"), F.greatest(F.lit(0.0), F.col("goal") - certain * F.col("available")).alias("need"))
@@ -87,5 +88,5 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, size_p
         "source", "target_share", "max_repeats", F.col("available").alias("available_tokens"), F.col("goal").alias("goal_tokens"),
         *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("used_tokens", "n_copies", "most_copies")],
     )
-    every = report.agg(F.greatest(F.lit(1), F.sum("used_tokens")).alias("every"))  # one row
-    return chosen, report.join(F.broadcast(every), how="cross").withColumn("reached_share", F.col("used_tokens") / F.col("every")).drop("every")
+    every = report.agg(F.greatest(F.lit(1), F.sum("used_tokens"))).scalar()
+    return chosen, report.withColumn("reached_share", F.col("used_tokens") / every)

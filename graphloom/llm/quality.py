@@ -32,6 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,6 +74,9 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _MOJI = re.compile(r"[ÐÑÃÂâ][\x80-ÿŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]")
 _HIGH = re.compile(r"[À-ÿ¸¨]")
 
+#: Characters that are classed at once.
+WINDOW = 1 << 20
+
 CLASSES = "vowel consonant letter upper digit blank gap stop quote comma delimiter colon bracket dash symbol broken".split()
 ROLES = "speech nominal repeated capital small long none".split()
 LONG = 14
@@ -212,21 +216,23 @@ def events_of(pieces: list[str]) -> Events:
         row[6] = not seen
         count[3] = _STOP.search(piece) is not None
         known.append(mine)
-    points = np.frombuffer(("\n".join(pieces) + "\n" * (n > 0)).encode("utf-32-le", "replace"), np.uint32)
-    ends_here = points == 10
     table = _class_table()
-    kind = table[np.minimum(points, len(table) - 1)]
-    gap = kind == CLASSES.index("blank")
-    gap[1:] &= gap[:-1].copy()
-    gap[:1] = False
-    kind = np.where(gap, CLASSES.index("gap"), kind)
-    owner = np.cumsum(ends_here) - ends_here
-    characters = np.bincount((owner * width + kind)[~ends_here], minlength=n * width).reshape(n, width).astype(np.float32)
-    last = np.flatnonzero(ends_here)
-    first = np.concatenate([[0], last[:-1] + 1]).astype(np.int64)[:n]
-    edges = np.zeros((n, 2 * width), np.float32)
-    edges[np.arange(n), kind[first]] = 1
-    edges[np.arange(n), width + kind[last - 1]] = 1
+    blank, gap = CLASSES.index("blank"), CLASSES.index("gap")
+    classes = lambda text: table[np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), len(table) - 1)]
+    characters, edges = np.zeros((n, width), np.float32), np.zeros((n, 2 * width), np.float32)
+    joined, owner, after_blank = "\n".join(pieces), 0, False
+    for at in range(0, len(joined), WINDOW):
+        text = joined[at : at + WINDOW]
+        kind, ends = classes(text).copy(), np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32) == 10
+        is_blank = kind == blank
+        before = np.concatenate([[after_blank], is_blank[:-1]])
+        kind[is_blank & before] = gap
+        own = np.cumsum(ends) - ends
+        some = np.bincount((own * width + kind)[~ends], minlength=(own[-1] + 1) * width).reshape(-1, width)
+        characters[owner : owner + len(some)] += some
+        owner, after_blank = owner + int(ends.sum()), bool(is_blank[-1])
+    edges[np.arange(n), classes("".join(p[0] for p in pieces))] = 1
+    edges[np.arange(n), width + classes("".join(p[-1] for p in pieces))] = 1
     letters = [CLASSES.index(c) for c in ("vowel", "consonant", "letter", "upper")]
     blanks = [CLASSES.index(c) for c in ("blank", "gap")]
     counts[:, 2] = characters.sum(1) - characters[:, [*letters, *blanks, CLASSES.index("digit")]].sum(1)
@@ -390,15 +396,26 @@ SCHEMA = T.StructType(
     + [T.StructField(n, T.StringType()) for n in ("profile_lang", "kind")]
 )
 NAMES = SCHEMA.fieldNames()
-RUN = 500
+#: Texts that are measured together: at most so many, and so many bytes before the last.
+RUN, RUN_BYTES = 500, 4_000_000
+
+
+def _runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
+    at = 0
+    while at < len(ends):
+        passed = ends[at - 1] if at else 0
+        stop = max(at + 1, min(at + RUN, int(np.searchsorted(ends, passed + RUN_BYTES)) + 1))
+        yield at, stop - at
+        at = stop
 
 
 def _runner(profiles: Profiles | None):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 2 + [pa.float64()] * 5 + [pa.string()] * 2
         for batch in batches:
-            for at in range(0, len(batch), RUN):
-                part = batch.slice(at, RUN)
+            for at, size in _runs(batch.column("text")):
+                part = batch.slice(at, size)
                 made = measure(part.column("text").to_pylist(), profiles)
                 arrays = [part.column(c) for c in part.schema.names[:-1]]
                 yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(made[c], t) for c, t in zip(NAMES, kinds))], [*part.schema.names[:-1], *NAMES])
