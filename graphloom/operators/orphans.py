@@ -58,9 +58,7 @@ def lives(df: DataFrame, target_table: str, key: Column, alive_from: Column, ali
 def hot_targets(refs: DataFrame) -> DataFrame:
     """Targets that hold more than HOT_SHARE of all references: at most 1 / HOT_SHARE rows."""
     counts = refs.groupBy("target_table", "target_key").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    hot = counts.join(F.broadcast(total), F.col("n") > F.col("total") * F.lit(HOT_SHARE))
-    return hot.select("target_table", "target_key")
+    return counts.where(F.col("n") > counts.agg(F.sum("n")).scalar() * F.lit(HOT_SHARE)).select("target_table", "target_key")
 
 
 def direct_orphans(refs: DataFrame, life_rows: DataFrame) -> DataFrame:

@@ -41,8 +41,10 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     c = customers(spark, sf_dir).withColumns({"question_id": F.col("c_custkey").cast("string"), "onward": F.concat("nation", F.lit(f" lies {NEXT} "), "region", F.lit("."))})
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     plan = compile_plan([{"head": "customer", "relation": CUE, "tail": "?nation"}, {"head": "?nation", "relation": NEXT, "tail": "?region"}])
-    shape = spark.createDataFrame(constraint_rows("any", plan), CONSTRAINT).drop("question_id")
-    constraints = c.select("question_id", "name").join(F.broadcast(shape), how="cross").withColumn("head", F.when(F.col("head_kind") == "entity", F.col("name")).otherwise(F.col("head"))).drop("name")
+    fields = [x.split()[0] for x in CONSTRAINT.split(", ")][1:]
+    lit = lambda v: F.array(*map(F.lit, v)).cast("array<string>") if isinstance(v, list) else F.lit(v)
+    patterns = F.explode(F.array(*[F.struct(*[lit(v).alias(k) for k, v in zip(fields, row[1:])]) for row in constraint_rows("any", plan)])).alias("p")
+    constraints = c.select("question_id", "name", patterns).select("question_id", "name", "p.*").withColumn("head", F.when(F.col("head_kind") == "entity", F.col("name")).otherwise(F.col("head"))).drop("name")
     key = lambda kind, k: F.concat(F.lit(f"{kind}:"), k)
     named = lambda df, kind, k, name: df.select(key(kind, k).alias("entity_id"), F.col(name).alias("name"), norm_name(F.col(name)).alias("norm"), F.col(name).alias("canonical"))
     names = named(c, "C", F.col("c_custkey"), "name").unionByName(named(n, "N", F.col("n_nationkey"), "n_name")).unionByName(named(r, "R", F.col("r_regionkey"), "r_name"))

@@ -9,6 +9,7 @@ from graphloom.operators import closure as C
 from graphloom.operators import visits as V
 from graphloom.plans.compiler import compile_plan
 
+#: People, edges, patterns and sentences of the worlds.
 NAMES = {"book": ["星河", "《星河》", "小说《星河》"], "lin": ["林岚"], "uni": ["明川大学", "明川大"], "city": ["临江市"], "hai": ["海川大学"], "haicity": ["海川市"], "u3": ["北泽大学"], "c3": ["北泽市"], "u4": ["南泽大学"], "c4": ["南泽市"]}
 PEOPLE = ["book", "lin", "uni", "city", "hai", "haicity"]
 WORD = re.compile("|".join(sorted({n.strip("《》小说") for v in NAMES.values() for n in v}, key=len, reverse=True)))
