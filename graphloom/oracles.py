@@ -79,12 +79,6 @@ UNION ALL SELECT 'id_with_two_records', count(*) FROM (SELECT entity_id FROM ent
 UNION ALL SELECT 'null_head', count(*) FROM e WHERE head_key IS NULL
 UNION ALL SELECT 'tail_missing', count(*) FROM e WHERE tail_key IS NULL AND tail_literal IS NULL
 UNION ALL SELECT 'tail_twice', count(*) FROM e WHERE tail_key IS NOT NULL AND tail_literal IS NOT NULL""".replace("\\\\", "\\")
-SQL["q22_verify_graph"] = _E + """, v AS (SELECT triple_id, relation, array_to_string(list_filter(list_transform(sources, lambda s: s.quote), lambda x: x IS NOT NULL), ' ') AS q,
-  coalesce(len(list_filter(sources, lambda s: s.quote IS NOT NULL AND s.title IS NOT NULL)), 0) > 0 AS located FROM e WHERE relation IS NOT NULL
-), w AS (SELECT *, relation <> '' AND contains(q, relation) AS cue, instr(q, relation) AS i FROM v
-), y AS (SELECT *, substring(q, greatest(1, i - 8), i - greatest(1, i - 8)) AS b FROM w)
-SELECT triple_id, CASE WHEN NOT located THEN 'UNKNOWN' WHEN cue AND NOT (regexp_matches(b, '没有|并未|并非|不是|从未|不曾|never|not ')) THEN 'SUPPORTED' ELSE 'CONFLICT' END AS decision,
-  CASE WHEN NOT located THEN 'SOURCE_UNLOCATABLE' WHEN cue AND NOT (regexp_matches(b, '没有|并未|并非|不是|从未|不曾|never|not ')) THEN 'GRAPH_SOURCE_OK' ELSE 'GRAPH_SOURCE_REJECT' END AS reason FROM y"""
 _LIST = "array_to_string(list_transform({0}, lambda x: coalesce(x, '~')), ',')"
 SQL["q51_fingerprint"] = f"""WITH en AS (SELECT DISTINCT entity_id, canonical_name, CASE WHEN aliases IS NOT NULL THEN {_LIST.format("aliases")} END AS a FROM (SELECT * FROM core_entities UNION ALL BY NAME SELECT * FROM entities)
 ), l AS (
@@ -135,6 +129,13 @@ _C = f"""WITH cl AS (
       CASE WHEN committed AND NOT reentry THEN 'REENTRY_DISABLED' END, CASE WHEN committed AND method = 'iterative_text' THEN 'TEXT_SUPPORTED' END], lambda c: c IS NOT NULL))), ',') AS reasons
   FROM y
 ) """
+SQL["q22_verify_graph"] = _E + f""", v AS (SELECT triple_id, head_key, relation, string_split(relation, ' ')[1] AS w, array_to_string(list_filter(list_transform(sources, lambda s: s.quote), lambda x: x IS NOT NULL), ' ') AS q,
+  coalesce(len(list_filter(sources, lambda s: s.quote IS NOT NULL AND s.title IS NOT NULL)), 0) > 0 AS located FROM e WHERE relation IS NOT NULL
+), x AS (SELECT *, w <> '' AND (contains(relation, w) OR contains(w, relation)) OR contains(relation, 'located in') OR contains('located in', relation) AS fits, w <> '' AND contains(q, w) OR contains(q, 'Located  in') AS cue,
+  w <> '' AND {_negated("q", "w")} OR {_negated("q", "'Located  in'")} AS neg FROM v
+), y AS (SELECT triple_id, checked, forced, CASE WHEN head_key IS NULL THEN 'DIRECTION_MISMATCH' WHEN NOT checked AND (fits OR forced) THEN 'GRAPH_UNVERIFIED_ACCEPT' WHEN NOT checked THEN 'RELATION_MISMATCH'
+  WHEN NOT located THEN 'SOURCE_UNLOCATABLE' WHEN fits AND coalesce(cue, false) AND NOT coalesce(neg, false) THEN 'GRAPH_SOURCE_OK' ELSE 'GRAPH_SOURCE_REJECT' END AS reason FROM x CROSS JOIN (VALUES (true), (false)) a(checked) CROSS JOIN (VALUES (true), (false)) b(forced))
+SELECT triple_id, checked, forced, CASE WHEN reason IN ('GRAPH_UNVERIFIED_ACCEPT', 'GRAPH_SOURCE_OK') THEN 'SUPPORTED' WHEN reason = 'GRAPH_SOURCE_REJECT' THEN 'CONFLICT' ELSE 'UNKNOWN' END AS decision, reason FROM y"""
 _A = "CAST(c_custkey AS BIGINT) AS c_custkey, preset, status, answer, path, reasons"
 SQL["q12_three_hop"] = "SELECT o_orderkey, n_name, r_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE NOT c_acctbal < 0"
 SQL["q18_relation_cue_match"] = _E + """, v AS (SELECT triple_id, relation, string_split(relation, ' ')[1] AS w, array_to_string(list_filter(list_transform(sources, lambda s: s.quote), lambda x: x IS NOT NULL), ' ') AS q FROM e WHERE relation IS NOT NULL)

@@ -182,12 +182,15 @@ def q13_integrity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q22_verify_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every edge for the first word of its relation, checks on and off, forced and not; an edge without a head has no direction."""
     e = _edges(spark, sf_dir).where("relation is not null")
     sources = F.col("sources")
     quotes = F.concat_ws(" ", F.transform(sources, lambda s: s["quote"]))
     located = F.coalesce(F.exists(sources, lambda s: s["quote"].isNotNull() & s["title"].isNotNull()), F.lit(False))
-    v = verify.graph_verdict(F.lit(True), F.col("relation"), F.array("relation"), quotes, located, F.lit(False), F.lit(True))
-    return e.select("triple_id", v.alias("v")).select("triple_id", "v.decision", "v.reason")
+    variants = F.array(F.substring_index("relation", " ", 1), F.lit("Located  in"))
+    ways = F.explode(F.array(*[F.struct(F.lit(c).alias("checked"), F.lit(f).alias("forced")) for c in (True, False) for f in (True, False)])).alias("w")
+    v = verify.graph_verdict(F.col("head_key").isNotNull(), F.col("relation"), variants, quotes, located, F.col("w.forced"), F.col("w.checked"))
+    return e.select("*", ways).select("triple_id", "w.checked", "w.forced", v.alias("v")).select("triple_id", "checked", "forced", "v.decision", "v.reason")
 
 
 @query
