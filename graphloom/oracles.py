@@ -392,3 +392,48 @@ SQL["q50b_gold_records"] = """WITH x AS (SELECT id, received_at, array_to_string
 SELECT id, arg_max(a, received_at) AS answer FROM x GROUP BY 1"""
 SQL["q24b_two_stage"] = "WITH t AS (" + SQL["q24_vector_topk"] + """), s AS (SELECT query_id, t.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM t JOIN embeddings q ON q.vec_id = query_id JOIN embeddings v ON v.vec_id = t.vec_id)
 SELECT query_id, vec_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
+
+def _leaf(path: str) -> str:
+    """A field's value as text, where it is no container."""
+    x = f"json_extract(o, '{path}')"
+    return f"CASE WHEN json_type({x}) NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN json_extract_string(o, '{path}') END"
+
+
+def _whole(path: str) -> str:
+    x = f"json_extract(o, '{path}')"
+    return f"CASE WHEN json_type({x}) IN ('BIGINT', 'UBIGINT', 'INTEGER', 'UINTEGER', 'HUGEINT') THEN TRY_CAST(json_extract_string(o, '{path}') AS BIGINT) END"
+
+
+_KEYED = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+SQL["q49b_evidence_audit"] = _P3 + f""", ro AS (SELECT id, i, max({_whole("$.query_triple_index")}) AS nth FROM b GROUP BY 1, 2
+), rn AS (SELECT *, coalesce(nth >= 0 AND nth < count(*) OVER (PARTITION BY id), false) AS inside FROM ro
+), kl AS (SELECT id, i, {_as_list("json_extract(o, '$.kg_triples')")} AS l FROM b WHERE json_type(o) = 'OBJECT'
+), ke AS (SELECT id, i, k, json_extract(l, '$[' || k || ']') AS o FROM (SELECT id, i, l, unnest(range(CAST(json_array_length(l) AS BIGINT))) AS k FROM kl WHERE l IS NOT NULL)
+), kg AS (SELECT id, i, k, bool_or(json_type(o) = 'OBJECT') AS obj, max({_leaf("$.kg_triple_id")}) AS t, max({_leaf("$.head_entity_id")}) AS h, max({_leaf("$.tail_entity_id")}) AS g, max({_leaf("$.relation")}) AS r, max({_whole("$.head_entity_id")}) AS hi, max({_whole("$.tail_entity_id")}) AS gi FROM ke GROUP BY 1, 2, 3
+), rc AS (
+  SELECT CAST(upstream_index AS VARCHAR) AS t, CAST(TRY_CAST(regexp_extract({_KEYED.format("CASE WHEN raw_record IS NULL THEN head_id ELSE coalesce(raw_record->>'$.h', raw_record->>'$.head') END")}, '(\\d+)$', 1) AS BIGINT) AS VARCHAR) AS head,
+    CAST(TRY_CAST(regexp_extract({_KEYED.format("CASE WHEN raw_record IS NULL THEN tail_id ELSE coalesce(raw_record->>'$.t', raw_record->>'$.tail') END")}, '(\\d+)$', 1) AS BIGINT) AS VARCHAR) AS tail,
+    {_KEYED.format("CASE WHEN raw_record IS NULL THEN relation ELSE coalesce(raw_record->>'$.r', raw_record->>'$.relation') END")} AS rel FROM triples
+), nd AS (SELECT kg.*, rc.t IS NOT NULL AS known, head, tail, rel FROM kg LEFT JOIN rc USING (t) WHERE obj
+), en AS (SELECT id, unnest([hi, gi]) AS n FROM kg WHERE obj
+), ids AS (SELECT CAST(upstream_id AS BIGINT) AS n FROM core_entities UNION SELECT CAST(upstream_id AS BIGINT) FROM entities
+), ev AS (SELECT id, i, k, max({_whole("$.paragraph_idx")}) AS doc, max({_whole("$.sent_idx")}) AS sent, max({_leaf("$.title")}) AS title, max({_leaf("$.evidence")}) AS evidence, max({_leaf("$.context")}) AS context FROM d WHERE json_type(o) = 'OBJECT' GROUP BY 1, 2, 3
+), se AS (SELECT DISTINCT question_id, doc_index, sent_index, title AS ut, raw_text FROM text_units
+), lo AS (
+  SELECT ev.id, ev.i, ev.k, sent, count(*) FILTER (WHERE (doc IS NULL OR doc = doc_index) AND (sent IS NULL OR sent = sent_index) AND (nullif(title, '') IS NULL OR coalesce(nullif(title, '') = ut, false)) AND (coalesce(nullif(evidence, ''), nullif(context, '')) IS NULL OR contains(raw_text, coalesce(nullif(evidence, ''), nullif(context, ''))))) AS n
+  FROM ev JOIN rn ON rn.id = ev.id AND rn.i = ev.i AND inside JOIN se ON se.question_id = ev.id GROUP BY 1, 2, 3, 4
+), iss AS (
+  SELECT id, 'hard' AS severity, 'no triples evidence' AS message FROM (SELECT DISTINCT id FROM phase2_records) WHERE id NOT IN (SELECT id FROM ro)
+  UNION ALL SELECT id, 'hard', 'query index out of range' FROM rn WHERE NOT inside
+  UNION ALL SELECT id, 'hard', 'kg triple is not an object' FROM kg WHERE NOT obj
+  UNION ALL SELECT id, 'hard', 'kg triple id missing' FROM nd WHERE NOT known
+  UNION ALL SELECT id, 'hard', 'kg triple head mismatch' FROM nd WHERE known AND h IS NOT NULL AND h IS DISTINCT FROM head
+  UNION ALL SELECT id, 'hard', 'kg triple tail mismatch' FROM nd WHERE known AND g IS NOT NULL AND g IS DISTINCT FROM tail
+  UNION ALL SELECT id, 'hard', 'kg triple relation mismatch' FROM nd WHERE known AND {_KEYED.format("r")} IS DISTINCT FROM rel
+  UNION ALL SELECT id, 'hard', 'kg entity id missing' FROM en WHERE n IS NOT NULL AND n NOT IN (SELECT n FROM ids WHERE n IS NOT NULL)
+  UNION ALL SELECT id, 'hard', 'sentence index does not locate quote' FROM lo WHERE sent IS NOT NULL AND n = 0
+  UNION ALL SELECT id, 'soft', 'quote unlocated' FROM lo WHERE sent IS NULL AND n = 0
+  UNION ALL SELECT id, 'soft', 'quote in multiple spans' FROM lo WHERE n > 1)
+SELECT id AS question_id, severity, message, count(*) AS n FROM iss GROUP BY 1, 2, 3
+UNION ALL SELECT * FROM ({SQL["q49_localization_audit"]})"""
