@@ -437,3 +437,7 @@ SQL["q49b_evidence_audit"] = _P3 + f""", ro AS (SELECT id, i, max({_whole("$.que
   UNION ALL SELECT id, 'soft', 'quote in multiple spans' FROM lo WHERE n > 1)
 SELECT id AS question_id, severity, message, count(*) AS n FROM iss GROUP BY 1, 2, 3
 UNION ALL SELECT * FROM ({SQL["q49_localization_audit"]})"""
+SQL["q48b_context_sentences"] = """WITH u AS (SELECT DISTINCT question_id, doc_index, title, sent_index, raw_text FROM text_units
+), d AS (SELECT *, dense_rank() OVER (PARTITION BY question_id ORDER BY doc_index, coalesce(title, '')) - 1 AS di, row_number() OVER (PARTITION BY question_id, doc_index, title ORDER BY sent_index, raw_text) - 1 AS si FROM u)
+SELECT question_id, CAST(di AS INT) AS doc_index, trim(title, ' ') AS title, CAST(si AS INT) AS sent_index, raw_text AS sentence FROM d"""
+SQL["q61_synthetic_cohort"] = "SELECT printf('q%04d', i) AS question_id, 2 AS n_edges, 1 AS n_real, 2 * i + 1 AS real_index, true AS ok FROM range(20) t(i)"

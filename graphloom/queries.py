@@ -12,7 +12,7 @@ from graphloom.functions.text import bare, norm_name
 from graphloom.operators import audit, closure, flatten, graph, orphans, revoke, scoring, vectors, visits
 from graphloom.plans import compiler, workload
 from graphloom.session import table
-from graphloom.sources import model
+from graphloom.sources import json_files, model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 FLAGSHIP = "q28_successor_reentry"
@@ -682,6 +682,20 @@ def q48_sentence_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.max(F.length("s")).alias("longest"), F.sum(F.length("s")).alias("n_chars"))
 
 
+@query
+def q48b_context_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of nested contexts, as question sets spell them: a title with its sentences, a single sentence or an object."""
+    u = table(spark, sf_dir, "text_units").select("question_id", "doc_index", "title", "sent_index", "raw_text").distinct()
+    docs = u.groupBy("question_id", "doc_index", "title").agg(F.transform(F.array_sort(F.collect_list(F.struct("sent_index", "raw_text"))), lambda x: x["raw_text"]).alias("s"))
+    spelled = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    title = F.coalesce(spelled(F.col("title")), F.lit("null"))
+    item = F.when(F.size("s") == 1, F.concat(F.lit("["), title, F.lit(","), spelled(F.col("s")[0]), F.lit("]"))).when(F.col("doc_index") % 2 == 0, F.concat(F.lit("["), title, F.lit(","), F.to_json("s"), F.lit("]")))
+    item = item.otherwise(F.concat(F.lit('{"title":'), title, F.lit(',"sentences":'), F.to_json("s"), F.lit("}")))
+    contexts = docs.select("question_id", F.struct("doc_index", F.coalesce("title", F.lit("")).alias("t"), item.alias("item")).alias("d")).groupBy("question_id").agg(F.array_sort(F.collect_list("d")).alias("d"))
+    context = F.concat(F.lit("["), F.array_join(F.transform("d", lambda d: d["item"]), ","), F.lit("]"))
+    return json_files.sentences(contexts.select("question_id", context.alias("context")), "question_id", "context")
+
+
 @query
 def q50_gold_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The public side of every question; the gold column stays behind."""
@@ -823,6 +837,12 @@ def q56_actionable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("question_id", "branch_id", F.try_element_at(open_, F.lit(1)).alias("cid")).where("cid is not null")
 
 
+@query
+def q61_synthetic_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A made cohort of twenty questions and what its audit says."""
+    return json_files.cohort_audit(json_files.synthetic_cohort(spark, 20))
+
+
 @query
 def q64_snapshot_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all entities with their upstream ids."""

@@ -128,3 +128,11 @@ def synthetic_cohort(spark: SparkSession, n: int) -> DataFrame:
     """n questions, each with a decoy edge at an even place and the real one after it."""
     q = spark.range(n).select(F.format_string("q%04d", "id").alias("question_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("real"), "id")
     return q.select("question_id", (F.col("id") * 2 + F.col("real")).alias("upstream_index"), F.concat(F.lit("syn:"), (F.col("id") * 2).cast("string")).alias("head_id"), F.when(F.col("real") == 1, "member of").otherwise("met").alias("relation"), F.concat(F.lit("syn:"), (F.col("id") * 2 + 1).cast("string")).alias("tail_id"), (F.col("real") == 1).alias("real"))
+
+
+def cohort_audit(cohort: DataFrame) -> DataFrame:
+    """``question_id, n_edges, n_real, real_index, ok``: one decoy and one real edge each, the real one after it with the same ends."""
+    real = F.when(F.col("real"), F.col("upstream_index"))
+    decoy = F.when(~F.col("real"), F.col("upstream_index"))
+    each = cohort.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_edges"), F.count_if("real").alias("n_real"), F.min(real).alias("real_index"), F.min(decoy).alias("decoy_index"), F.countDistinct("head_id", "tail_id").alias("n_ends"))
+    return each.select("question_id", "n_edges", "n_real", "real_index", F.coalesce((F.col("n_edges") == 2) & (F.col("n_real") == 1) & (F.col("real_index") == F.col("decoy_index") + 1) & (F.col("n_ends") == 1), F.lit(False)).alias("ok"))
