@@ -23,7 +23,7 @@ without any content has zero words and the kind ``prose``. Repeated rows each ha
 from __future__ import annotations
 
 import json
-import os
+import pkgutil
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -252,18 +252,15 @@ class Profiles:
             json.dump({"lines": rows(self.lines), "speaks": rows(self.speaks), "documents": rows(self.documents), "kinds": self.kinds}, f)
 
     @staticmethod
-    def load(path: str) -> Profiles:
-        with open(path, encoding="utf-8") as f:
-            told = json.load(f)
+    def read(text: str | bytes) -> Profiles:
+        told = json.loads(text)
         return Profiles(*(np.array(told[k], np.float32) for k in ("lines", "speaks", "documents")), told["kinds"])
 
 
-OWN_PROFILES = os.path.join(os.path.dirname(os.path.abspath(__file__)), "profiles.json")
-
-
 @lru_cache(maxsize=1)
 def own_profiles() -> Profiles:
-    return Profiles.load(OWN_PROFILES)
+    """Those that come with the package, also where it is shipped as an archive."""
+    return Profiles.read(pkgutil.get_data("graphloom.llm", "profiles.json"))
 
 
 def blank_text(text: str | None) -> bool:
