@@ -106,6 +106,8 @@ def execute(runs: DataFrame, constraints: DataFrame, names: DataFrame, edges: Da
     asked = written(resolved(constraints.join(needed, ["question_id", "cid"], "left").withColumn("needed", F.coalesce("needed", F.lit(False))), names), "asked")
     total = asked.groupBy("question_id").agg(F.countDistinct("cid").alias("n_constraints"))
     called = written(names.groupBy("entity_id").agg(F.collect_set("norm").alias("called"), F.min("canonical").alias("canonical")), "called")
+    # Every visit and rank reads the edges; they are made once, narrow.
+    edges = written(edges.where("active"), "edges")
     reading = (units, candidates, called, names, judged, retriever)
     live = runs.join(total, "question_id").select(
         *[c.split()[0] for c in SETTINGS.split(", ")], "n_constraints", F.concat("run_id", F.lit("/b0")).alias("branch_id"), F.lit(None).cast("string").alias("parent_id"),
@@ -219,6 +221,7 @@ def _verdicts(asking: DataFrame, units: DataFrame, candidates: DataFrame, called
     """Candidates of each branch's constraint that are examined, in order: codes, decisions, and whether a child is ``born``."""
     settings = ["method", "text_binding", "verify_text", "max_relations", "max_links", "max_active", "n_waiting", "text_top_k"]
     target = asking.select("question_id", "branch_id", "bindings", (F.col("parent_id").isNotNull() & (F.col("method") == "iterative_text")).alias("follows"), "pick.*", *settings)
+    units = units.join(target.select("question_id").distinct(), "question_id", "left_semi")
     w = Window.partitionBy("question_id").orderBy("doc_index", "sent_index", "passage_id")
     top = units.where("visible").withColumn("rank", F.row_number().over(w))
     place = ["branch_id", "passage_id", "doc_index", "sent_index", "raw_text"]
