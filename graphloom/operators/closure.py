@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import norm_name
 from graphloom.functions.verify import graph_verdict
 from graphloom.plans.compiler import Plan, topo_ranks
-from graphloom.session import written
+from graphloom.session import unsent, written
 
 CONSTRAINT = (
     "question_id string, cid string, idx int, rank int, head_kind string, head string, head_value string, tail_kind string, tail string, tail_value string, "
@@ -68,7 +68,7 @@ def resolved(constraints: DataFrame, names: DataFrame) -> DataFrame:
     known = names.groupBy("norm").agg(F.countDistinct("entity_id").alias("n"), F.min("entity_id").alias("id"))
     out = constraints
     for end in ("head", "tail"):
-        k = known.select(F.col("norm").alias(f"{end}_norm"), F.col("n").alias(f"{end}_n"), F.col("id").alias(f"{end}_const"))
+        k = unsent(known.select(F.col("norm").alias(f"{end}_norm"), F.col("n").alias(f"{end}_n"), F.col("id").alias(f"{end}_const")))
         norm = F.when(F.col(f"{end}_kind") == "entity", norm_name(F.col(end)))
         out = out.withColumn(f"{end}_norm", norm).join(k, f"{end}_norm", "left").drop(f"{end}_norm")
     return out
@@ -77,10 +77,10 @@ def resolved(constraints: DataFrame, names: DataFrame) -> DataFrame:
 def closure(state: DataFrame, constraints: DataFrame, names: DataFrame, edges: DataFrame, forced: DataFrame | None = None, verify: bool | Column = True) -> DataFrame:
     """The state after every constraint that the graph can answer is answered. ``verify`` may be a column of the
     state; constraints may come ``resolved``, and further columns of the state are carried along."""
-    table = constraints if "head_n" in constraints.columns else written(resolved(constraints, names), "constraints")
+    table = constraints if "head_n" in constraints.columns else unsent(written(resolved(constraints, names), "constraints"))
     top = table.agg(F.max("rank")).first()[0]
     for rank in range(0, (top if top is not None else -1) + 1):
-        state = written(_step(state, table.where(F.col("rank") == rank), edges, forced, verify), "state")
+        state = unsent(written(_step(state, table.where(F.col("rank") == rank), edges, forced, verify), "state"))
     return state
 
 
@@ -116,7 +116,7 @@ def shape_of() -> Column:
 
 def _step(state: DataFrame, constraints: DataFrame, edges: DataFrame, forced: DataFrame | None, verify: bool | Column) -> DataFrame:
     checked = F.lit(verify) if isinstance(verify, bool) else verify
-    rows = state.join(constraints, "question_id").where(~proven(F.col("cid")))
+    rows = state.join(unsent(constraints), "question_id").where(~proven(F.col("cid")))
     h, t, shape = ends("head")[0], ends("tail")[0], shape_of()
     asked = rows.select("question_id", "branch_id", "cid", "head", "tail", "head_value", "tail_value", "variants", parent_of(F.col("reads")).alias("parent"), h.alias("h"), t.alias("t"), shape.alias("shape"), checked.alias("checked"))
     told = F.when(F.col("shape") == "literal", F.col("tail")).when(F.col("shape") == "literal_head", F.col("head"))
@@ -125,17 +125,17 @@ def _step(state: DataFrame, constraints: DataFrame, edges: DataFrame, forced: Da
     if forced is None:
         asked = asked.withColumn("given", F.lit(False))
     else:
-        asked = asked.join(forced.select("question_id", "cid", F.lit(True).alias("has")).distinct(), ["question_id", "cid"], "left")
+        asked = asked.join(unsent(forced.select("question_id", "cid", F.lit(True).alias("has")).distinct()), ["question_id", "cid"], "left")
         free = F.when(F.col("shape") == "from_head", F.col("tail_value")).when(F.col("shape") == "from_tail", F.col("head_value"))
         asked = asked.withColumn("given", F.coalesce(F.col("has") & (free == "entity"), F.lit(False))).drop("has")
         asked = asked.withColumn("ask", F.when(F.col("given"), F.to_json(F.struct("ask", "question_id", "cid"))).otherwise(F.col("ask")))
-    asked = written(asked, "asked")
+    asked = unsent(written(asked, "asked"))
     each = asked.where("shape not in ('ambiguous', 'wait')")
     asks = each.select("ask", "shape", "h", "t", "told", "variants", "checked", "given").distinct()
     for name, kind in (("head_name", "string"), ("tail_name", "string"), ("quote", "string"), ("sent_index", "int")):
         if name not in edges.columns:
             edges = edges.withColumn(name, F.lit(None).cast(kind))
-    e = edges.where("active").select("triple_id", "ord", "head_id", "tail_id", "tail_literal", F.col("relation").alias("edge_relation"), "quotes", "located", "head_name", "tail_name", "quote", "sent_index")
+    e = unsent(edges).where("active").select("triple_id", "ord", "head_id", "tail_id", "tail_literal", F.col("relation").alias("edge_relation"), "quotes", "located", "head_name", "tail_name", "quote", "sent_index")
     by_head = asks.where("not given and shape in ('from_head', 'both', 'literal')").join(e, F.col("h") == F.col("head_id"))
     by_head = by_head.where("shape = 'from_head' or (shape = 'both' and tail_id = t) or (shape = 'literal' and tail_literal = told)")
     by_tail = asks.where("not given and shape in ('from_tail', 'literal_head')").join(e, F.col("t") == F.col("tail_id"))
@@ -156,12 +156,12 @@ def _step(state: DataFrame, constraints: DataFrame, edges: DataFrame, forced: Da
     before = lambda r: F.col(r).isNotNull() & (F.col("first").isNull() | (F.col(r) < F.col("first")))
     none = F.array().cast(TEXTS)
     some = lambda a: F.filter(a, lambda x: x.isNotNull())
-    best = best.select(
+    best = unsent(best).select(
         "ask", "first", "edge", some(F.array(*[F.when(before(r), F.lit(r)) for r in REFUSED])).alias("refused"),
         some(F.array(*[F.when(before(r), F.lit(d)) for r, d in REFUSED.items()])).alias("refusals"),
     )
     earlier = pool.select("ask", place.alias("place")).join(best.where("size(refused) > 0").select("ask", "first"), "ask").where("place < first").groupBy("ask").agg(F.count(F.lit(1)).alias("n_rejected"))
-    got = asked.join(best, "ask", "left").join(earlier, "ask", "left")
+    got = asked.join(best, "ask", "left").join(unsent(earlier), "ask", "left")
     literal = (F.col("shape") == "from_head") & (F.col("tail_value") == "literal")
     pair = lambda a, b: F.struct(a.alias("id"), b.alias("literal"))
     value = F.when(literal, pair(nil, F.nullif(F.col("edge.tail_literal"), F.lit("")))).when(F.col("shape") == "from_head", pair(F.col("edge.tail_id"), nil)).when(F.col("shape") == "from_tail", pair(F.col("edge.head_id"), nil))
@@ -181,7 +181,7 @@ def _step(state: DataFrame, constraints: DataFrame, edges: DataFrame, forced: Da
         F.array_sort(F.collect_list(F.when(done, proof))).alias("proven"), F.array_distinct(F.flatten(F.collect_list(reason))).alias("why"), F.array_distinct(F.flatten(F.collect_list(decided))).alias("decided"),
     )
     carried = [c for c in state.columns if c not in ("question_id", "branch_id", "bindings", "proofs", "reasons", "decisions")]
-    out = state.join(news, "branch_id", "left")
+    out = state.join(unsent(news), "branch_id", "left")
     return out.select(
         "question_id", "branch_id",
         F.map_concat("bindings", F.map_from_entries(F.coalesce("bound", F.array().cast("array<struct<variable:string,value:struct<id:string,literal:string>>>")))).alias("bindings"),

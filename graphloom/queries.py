@@ -11,7 +11,7 @@ from graphloom.functions import score, verify
 from graphloom.functions.text import bare, norm_name
 from graphloom.operators import audit, closure, flatten, graph, orphans, revoke, scoring, vectors, visits
 from graphloom.plans import compiler, workload
-from graphloom.session import table
+from graphloom.session import table, unsent
 from graphloom.sources import json_files, model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,7 +224,7 @@ def _answered(spark: SparkSession, sf_dir: str, *presets: str) -> DataFrame:
     """Status, answer, the kinds of proofs that lead to it, and all codes, per customer and preset."""
     outcomes, branches, _ = _run(spark, sf_dir, *presets)
     path = visits.chain(branches).groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cid", "kind"))), lambda x: x["kind"]), ",").alias("path"))
-    rows = outcomes.join(path, "run_id", "left")
+    rows = outcomes.join(unsent(path), "run_id", "left")
     return rows.select(F.col("question_id").cast("long").alias("c_custkey"), "preset", "status", "answer", F.coalesce("path", F.lit("")).alias("path"), F.array_join("reasons", ",").alias("reasons"))
 
 
