@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.score import exact_match, token_f1
 from graphloom.operators.visits import chain
+from graphloom.session import unsent
 
 #: Methods that are compared, baseline first, and what is compared.
 PAIRS = [("core00", "core11"), ("core11", "simple_bind"), ("core11", "cog_controlled"), ("core11", "iterative_text")]
@@ -24,7 +25,7 @@ def score_cases(outcomes: DataFrame, branches: DataFrame, gold: DataFrame) -> Da
     told = chain(branches).groupBy("run_id").agg(F.collect_list(pair).alias("pairs"), F.concat_ws(" ", F.collect_list("quote")).alias("quotes"))
     ids = branches.select("run_id", F.explode(F.transform("proofs", lambda p: p["triple_id"])).alias("id")).groupBy("run_id").agg(F.collect_set("id").alias("ids"))
     kind = "array<struct<head:string,relation:string,tail:string>>"
-    rows = outcomes.join(gold.withColumnRenamed("answer", "gold"), "question_id").join(told, "run_id", "left").join(ids, "run_id", "left")
+    rows = outcomes.join(unsent(gold.withColumnRenamed("answer", "gold")), "question_id").join(unsent(told), "run_id", "left").join(unsent(ids), "run_id", "left")
     rows = rows.withColumns({"pairs": F.coalesce(F.col("pairs").cast(kind), F.array().cast(kind)), "quotes": F.coalesce("quotes", F.lit("")), "ids": F.coalesce("ids", F.array().cast("array<string>"))})
     has = lambda field: F.coalesce(F.exists("pairs", lambda p: same(p, F.col(field))), F.lit(False))
 

@@ -1,6 +1,6 @@
 """What a query needs in the driver does not grow with the questions."""
 
-from graphloom.operators import closure, visits
+from graphloom.operators import closure, scoring, visits
 from graphloom.plans import workload
 from graphloom.session import written
 
@@ -20,5 +20,6 @@ def test_no_table_of_runs_or_questions_is_broadcast(spark, small, monkeypatch):
     runs = noting(visits.runs_of(t["plans"], ["core11"]), "runs")
     branches = noting(visits.execute(runs, *[t[k] for k in ("constraints", "names", "edges", "units", "candidates")]), "branches")
     outcomes = noting(visits.outcomes(branches, runs, t["plans"], t["names"]), "outcomes")
+    scores = noting(scoring.score_cases(outcomes, branches, t["gold"]), "scores")
     assert sent == []
-    assert outcomes.count() == runs.count()
+    assert scores.count() == runs.count()
