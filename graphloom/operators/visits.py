@@ -106,8 +106,8 @@ def execute(runs: DataFrame, constraints: DataFrame, names: DataFrame, edges: Da
     asked = unsent(written(resolved(constraints.join(unsent(needed), ["question_id", "cid"], "left").withColumn("needed", F.coalesce("needed", F.lit(False))), names), "asked"))
     total = asked.groupBy("question_id").agg(F.countDistinct("cid").alias("n_constraints"))
     called = unsent(written(names.groupBy("entity_id").agg(F.collect_set("norm").alias("called"), F.min("canonical").alias("canonical")), "called"))
-    # Every visit and rank reads the edges; they are made once, narrow.
-    edges = written(edges.where("active"), "edges")
+    # Every visit and rank reads the edges, every recovery units and candidates; they are made once, so no plan repeats how.
+    edges, units, candidates = written(edges.where("active"), "edges"), unsent(written(units, "units")), unsent(written(candidates, "candidates"))
     reading = (units, candidates, called, names, judged, retriever)
     live = runs.join(total, "question_id").select(
         *[c.split()[0] for c in SETTINGS.split(", ")], "n_constraints", F.concat("run_id", F.lit("/b0")).alias("branch_id"), F.lit(None).cast("string").alias("parent_id"),
